@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, near_dedup, substring_dedup
+from . import decontam, lm_scoring, mixing, near_dedup, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.query,
         "op3_substring_dedup": substring_dedup.query,
+        "op5_lm_scoring": lm_scoring.query,
         "op7_decontaminate": decontam.query,
+        "op8_mix_sources": mixing.query,
         "op9_near_dedup": near_dedup.query,
     }
 
