@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -23,8 +23,8 @@ from .wordbytes import Words, mix64, powers, sequence_digest, windows, words_of
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 #: A pair whose signatures agree on a smaller part isn't verified: at 0.8 that is over six standard deviations away.
 HOPEFUL = 0.56
-#: Candidate pairs a band row that are listed outright; beyond, further pivots are taken first.
-PAIRS_A_ROW = 2
+#: Candidate pairs a band row that are listed outright; beyond, pivots are taken first: one, then so many at a time.
+PAIRS_A_ROW, PIVOTS = 4, 16
 
 
 def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, d1, d2, n_words, keys, sketch): digests of the word sequence, band keys, and 32 bits of each component."""
+    """(doc_id, d1, d2, n_words, keys, sketch): digests of the word sequence, band keys, and 8 bits of each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,12 +91,12 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", band
                 whole = lambda x, k, kind: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(x.reshape(-1), kind))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sequence_digest(words, 1).view(np.int64)), pa.array(sequence_digest(words, 2).view(np.int64)), pa.array(np.diff(words.first).astype(np.int64)),
-                     whole(keys, bands, pa.int64()), whole((signature >> np.uint64(32)).astype(np.uint32).view(np.int32), bands * rows, pa.int32())],
+                     whole(keys, bands, pa.int64()), whole((signature >> np.uint64(32)).astype(np.uint8).view(np.int8), bands * rows, pa.int8())],
                     names=["doc_id", "d1", "d2", "n_words", "keys", "sketch"],
                 )
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long, keys array<long>, sketch array<int>")
+    return narrow.mapInArrow(run, "doc_id long, d1 long, d2 long, n_words long, keys array<long>, sketch array<tinyint>")
 
 
 def similarity(x: dict[int, int] | tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -145,10 +145,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     different other texts found linked with the document's text by verified candidate pairs. Texts without words (null, empty) link with nothing; a null doc_id has no
     row; of repeated rows with one id the text that sorts first counts; an empty table gives no rows.
 
-    In each band, all members are first compared with one pivot. What is linked with it is in its class, so only pairs
-    of members in different classes remain; while these are many, the smallest classes give further pivots, and at last
-    all that remain are compared. So no pair of different classes that shares a band is left out, and a large group of
-    near copies costs a few comparisons for each member.
+    Where the bands have few pairs for their rows, all are compared. Else all members of a band are first compared with
+    the one that meets most others. What is linked with it is in its class, so only pairs of members in different
+    classes remain; while these are many, the smallest classes give further pivots, and at last all that remain are
+    compared. So no pair of different classes that shares a band is left out, and a large group of near copies costs a
+    few comparisons for each member.
     """
     spark = docs.sparkSession
     sketches = stored(signatures(docs.where(F.col(doc_id).isNotNull()), doc_id, text), "sketches")
@@ -158,31 +159,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = members.where("doc_id = rep").select("doc_id")
     rep_sketches = sketches.join(reps.hint("merge"), "doc_id").select("doc_id", "keys", "sketch").dropDuplicates(["doc_id"])
     rows = rep_sketches.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = stored(rows.join(shared.hint("merge"), "key"), "bands")
-    at = rows.select(F.col("rep").alias("doc_id")).distinct()
+    degrees = stored(rows.groupBy("rep").agg(F.sum("n").alias("degree")), "degrees")
+    rows = rows.select("key", "rep").join(degrees.hint("merge"), "rep")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).where("doc_id is not null")
+    at = degrees.select(F.col("rep").alias("doc_id"))
     texts = stored(texts.join(at.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     sketches_of = stored(rep_sketches.join(at.hint("merge"), "doc_id", "left_semi").select("doc_id", "sketch"), "sketches")
 
     links = classes = None
     seen: list[DataFrame] = []
-    for turn in range(100):
-        own = rows.withColumn("class", F.col("rep")) if classes is None else rows.join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
-        own = stored(own.select("key", "rep", "class"), "bands")
-        sizes = own.groupBy("key", "class").agg(F.count("*").alias("n"), F.min("rep").alias("least"))
-        bands = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.count("*").alias("classes"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min_by("least", F.struct("n", "least")).alias("pivot")).where("classes > 1")
-        bands = stored(bands, "pivots")
+    most_pairs = last = None
+    while not last:
+        own = rows.withColumn("class", F.col("rep"))
+        if classes is not None:
+            own = rows.join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+        sizes = own.groupBy("key", "class").agg(F.count("*").alias("size"))
+        bands = sizes.groupBy("key").agg(F.sum("size").alias("rows"), F.count("*").alias("classes"), F.sum(F.col("size") * F.col("size")).alias("squares")).where("classes > 1")
+        bands = stored(bands, "bands")
         n_rows, n_pairs = bands.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2), F.lit(0))).first()
         if not n_rows:
             break
-        last = n_pairs <= PAIRS_A_ROW * n_rows
-        left, right = own.select("key", F.col("rep").alias("a"), F.col("class").alias("class_a")), own.select("key", F.col("rep").alias("b"), F.col("class").alias("class_b"))
-        if last:
-            pairs = left.join(bands.select("key").hint("merge"), "key").join(right.hint("merge"), "key").where("class_a < class_b")
-        else:
-            pivots = bands.select("key", F.col("pivot").alias("a")).join(left.hint("merge"), ["key", "a"])
-            pairs = pivots.join(right.hint("merge"), "key").where("class_a <> class_b")
+        most_pairs = most_pairs or PAIRS_A_ROW * n_rows
+        last = n_pairs <= most_pairs
+        own = own.join(bands.select("key").hint("merge"), "key", "left_semi")
+        if classes is not None:
+            own = own.join(sizes.hint("merge"), ["key", "class"])
+        own = stored(own, "bands")
+        right = own.select("key", F.col("rep").alias("b"), F.col("class").alias("class_b"))
+        left = own
+        if not last and classes is None:
+            left = own.groupBy("key").agg(F.max_by(F.struct("rep", "class"), F.struct("degree", -F.col("rep"))).alias("p")).select("key", "p.*")
+        elif not last:
+            at = F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("degree"), "rep"))
+            left = stored(own.withColumn("at", at).where(F.col("at") <= PIVOTS).select("key", "rep", "class"), "pivots")
+        left = left.select("key", F.col("rep").alias("a"), F.col("class").alias("class_a"))
+        pairs = left.join(right.hint("merge"), "key").where("class_a < class_b" if last else "class_a <> class_b")
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         fresh = pairs
         for s in seen:
@@ -193,10 +206,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found = stored(_verified(close, texts, least), "links")
         links = found if links is None else links.union(found)
         classes = components(links)
-        if last:
-            break
-        rest = own.join(bands.select("key", F.col("pivot").alias("rep")).hint("merge"), ["key", "rep"], "left_anti").join(bands.select("key").hint("merge"), "key", "left_semi")
-        rows = stored(rest.select("key", "rep"), "bands")
+        if not last:
+            rows = own.join(left.select("key", F.col("a").alias("rep")).hint("merge"), ["key", "rep"], "left_anti").select("key", "rep", "degree")
     if links is None:
         links, classes = spark.createDataFrame([], "a long, b long, similarity double"), spark.createDataFrame([], "node long, component long")
     n_links = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
