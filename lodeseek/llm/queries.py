@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm_scoring, mixing, near_dedup, substring_dedup, toxicity
+from . import ann, chat_format, decontam, lm_scoring, mixing, near_dedup, substring_dedup, token_rollup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.query,
+        "op2_token_counts": token_rollup.query,
         "op3_substring_dedup": substring_dedup.query,
+        "op4_chat_format": chat_format.query,
         "op5_lm_scoring": lm_scoring.query,
+        "op6_ann_search": ann.query,
         "op7_decontaminate": decontam.query,
         "op8_mix_sources": mixing.query,
         "op9_near_dedup": near_dedup.query,
@@ -21,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring_dedup.SQL}
+    return {"op3_substring_dedup": substring_dedup.SQL, "op4_chat_format": chat_format.SQL}
