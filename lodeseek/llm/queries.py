@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_format, decontam, lm_scoring, mixing, near_dedup, substring_dedup, token_rollup, toxicity
+from . import ann, chat_format, decontam, html_extract, lm_scoring, mixing, near_dedup, substring_dedup, token_rollup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": decontam.query,
         "op8_mix_sources": mixing.query,
         "op9_near_dedup": near_dedup.query,
+        "op10_html_extract": html_extract.query,
     }
 
 
