@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -21,10 +21,10 @@ from .shared import dropped, read_table, slices, stored, text_column, text_or_em
 from .wordbytes import Words, mix64, powers, sequence_digest, windows, words_of
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
-#: A pair whose signatures agree on a smaller part isn't verified: at 0.8 that is over six standard deviations away.
-HOPEFUL = 0.56
-#: Candidate pairs a band row that are listed outright; beyond, pivots are taken first: one, then so many at a time.
-PAIRS_A_ROW, PIVOTS = 4, 16
+#: A pair whose signatures agree on a smaller part isn't verified: at 0.8 that is four standard deviations away.
+HOPEFUL = 0.66
+#: Pairs of a band for each of its rows beyond which pivots are taken first; rows of a band that one task compares.
+PAIRS_A_ROW, CHUNK = 4, 1000
 
 
 def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,6 +138,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _hopeful_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """(a, b): pairs of different classes that share a band and agree on enough of their sketches, once each.
+
+    The conditions stand in the join, so a pair that fails isn't made into a row; a pair is taken in the smallest key
+    that it shares. A large band is dealt over chunks of its rows, each met by all rows of the band.
+    """
+    n_chunks = F.ceil(F.col("rows") / CHUNK)
+    own = rows.join(bands.select("key", n_chunks.alias("n_chunks")).hint("merge"), "key")
+    at = F.when(F.col("n_chunks") > 1, F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    left = own.select("key", F.explode(at).alias("chunk"), F.col("rep").alias("a"), F.col("class").alias("class_a"), F.col("keys").alias("keys_a"), F.col("sketch").alias("sketch_a"))
+    right = own.select(F.col("key").alias("_key"), F.pmod(F.xxhash64("rep"), F.col("n_chunks")).alias("_chunk"), F.col("rep").alias("b"), F.col("class").alias("class_b"), F.col("keys").alias("keys_b"), F.col("sketch").alias("sketch_b"))
+    agreeing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
+    same = (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))
+    hopeful = (agreeing >= int(HOPEFUL * BANDS * ROWS)) & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))
+    return left.join(right.hint("merge"), same & hopeful).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links): one row for each distinct doc_id. class_id: the smallest id that links reach.
 
@@ -145,11 +162,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     different other texts found linked with the document's text by verified candidate pairs. Texts without words (null, empty) link with nothing; a null doc_id has no
     row; of repeated rows with one id the text that sorts first counts; an empty table gives no rows.
 
-    Where the bands have few pairs for their rows, all are compared. Else all members of a band are first compared with
-    the one that meets most others. What is linked with it is in its class, so only pairs of members in different
-    classes remain; while these are many, the smallest classes give further pivots, and at last all that remain are
-    compared. So no pair of different classes that shares a band is left out, and a large group of near copies costs a
-    few comparisons for each member.
+    Where bands have many pairs for their rows, all members of a band are first compared with the one that meets most
+    others: what is linked with it is in its class, and only pairs of members in different classes remain. Of these,
+    all that share a band are compared by their sketches, and by their whole texts where the sketches leave hope.
     """
     spark = docs.sparkSession
     sketches = stored(signatures(docs.where(F.col(doc_id).isNotNull()), doc_id, text), "sketches")
@@ -162,52 +177,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = stored(rows.join(shared.hint("merge"), "key"), "bands")
     degrees = stored(rows.groupBy("rep").agg(F.sum("n").alias("degree")), "degrees")
-    rows = rows.select("key", "rep").join(degrees.hint("merge"), "rep")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).where("doc_id is not null")
     at = degrees.select(F.col("rep").alias("doc_id"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).where("doc_id is not null")
     texts = stored(texts.join(at.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    sketches_of = stored(rep_sketches.join(at.hint("merge"), "doc_id", "left_semi").select("doc_id", "sketch"), "sketches")
-
-    links = classes = None
-    seen: list[DataFrame] = []
-    most_pairs = last = None
-    while not last:
-        own = rows.withColumn("class", F.col("rep"))
-        if classes is not None:
-            own = rows.join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
-        sizes = own.groupBy("key", "class").agg(F.count("*").alias("size"))
+    looks = rep_sketches.select(F.col("doc_id").alias("rep"), "keys", "sketch").join(degrees.hint("merge"), "rep")
+    rows = stored(rows.select("key", "rep").join(looks.hint("merge"), "rep").withColumn("class", F.col("rep")), "rows")
+
+    links, tested = None, None
+    while True:
+        sizes = rows.groupBy("key", "class").agg(F.count("*").alias("size"))
         bands = sizes.groupBy("key").agg(F.sum("size").alias("rows"), F.count("*").alias("classes"), F.sum(F.col("size") * F.col("size")).alias("squares")).where("classes > 1")
         bands = stored(bands, "bands")
         n_rows, n_pairs = bands.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2), F.lit(0))).first()
         if not n_rows:
             break
-        most_pairs = most_pairs or PAIRS_A_ROW * n_rows
-        last = n_pairs <= most_pairs
-        own = own.join(bands.select("key").hint("merge"), "key", "left_semi")
-        if classes is not None:
-            own = own.join(sizes.hint("merge"), ["key", "class"])
-        own = stored(own, "bands")
-        right = own.select("key", F.col("rep").alias("b"), F.col("class").alias("class_b"))
-        left = own
-        if not last and classes is None:
-            left = own.groupBy("key").agg(F.max_by(F.struct("rep", "class"), F.struct("degree", -F.col("rep"))).alias("p")).select("key", "p.*")
-        elif not last:
-            at = F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("degree"), "rep"))
-            left = stored(own.withColumn("at", at).where(F.col("at") <= PIVOTS).select("key", "rep", "class"), "pivots")
-        left = left.select("key", F.col("rep").alias("a"), F.col("class").alias("class_a"))
-        pairs = left.join(right.hint("merge"), "key").where("class_a < class_b" if last else "class_a <> class_b")
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        fresh = pairs
-        for s in seen:
-            fresh = fresh.join(s.hint("merge"), ["a", "b"], "left_anti")
-        seen.append(pairs)
-        close = fresh.join(sketches_of.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")).hint("merge"), "a").join(sketches_of.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")).hint("merge"), "b")
-        close = close.where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) >= HOPEFUL * BANDS * ROWS).select("a", "b")
-        found = stored(_verified(close, texts, least), "links")
+        last = tested is not None or n_pairs <= PAIRS_A_ROW * n_rows
+        if last:
+            pairs = _hopeful_pairs(rows, bands)
+        else:
+            pivot = rows.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"))
+            pairs = pivot.join(bands.select("key").hint("merge"), "key", "left_semi").join(rows.select("key", "rep").hint("merge"), "key").where("pivot <> rep")
+            pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        tested = stored(pairs, "pairs")
+        found = stored(_verified(tested, texts, least), "links")
         links = found if links is None else links.union(found)
         classes = components(links)
-        if not last:
-            rows = own.join(left.select("key", F.col("a").alias("rep")).hint("merge"), ["key", "rep"], "left_anti").select("key", "rep", "degree")
+        if last:
+            break
+        rows = rows.drop("class").join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
+        rows = stored(rows, "rows")
     if links is None:
         links, classes = spark.createDataFrame([], "a long, b long, similarity double"), spark.createDataFrame([], "node long, component long")
     n_links = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
