@@ -1 +1,6 @@
+"""The queries of the library by name, and the SQL that gives the same rows."""
 
+from . import retrieval
+
+QUERIES = dict(retrieval.QUERIES)
+ORACLES = dict(retrieval.ORACLES)
