@@ -1,6 +1,7 @@
 """The queries of the library by name, and the SQL that gives the same rows."""
 
-from . import retrieval
+from . import documents, retrieval
 
-QUERIES = dict(retrieval.QUERIES)
-ORACLES = dict(retrieval.ORACLES)
+_PARTS = (retrieval, documents)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
