@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .shared import read_table, stored, text_or_empty
 
 #: Rows of a source in one bin of ranks; each bin is sorted by a task of its own.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 #: A table of sources up to so many rows is broadcast, a longer one joined by shuffling.
 FEW_SOURCES = 20_000
 SEED = 20_240_601
