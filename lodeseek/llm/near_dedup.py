@@ -23,8 +23,9 @@ from .wordbytes import Words, mix64, powers, sequence_digest, windows, words_of
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
 #: A pair whose signatures agree on a smaller part isn't verified: at 0.8 that is four standard deviations away.
 HOPEFUL = 0.66
-#: Pairs of a band for each of its rows beyond which pivots are taken first; rows of a band that one task compares.
-PAIRS_A_ROW, CHUNK = 4, 1000
+#: Pairs of bands for each of their rows beyond which pivots are taken first; rows beyond which a band is compared in
+#: blocks, and those of a chunk.
+PAIRS_A_ROW, LARGE, CHUNK = 4, 64, 1000
 
 
 def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,19 +143,73 @@ def _hopeful_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
     """(a, b): pairs of different classes that share a band and agree on enough of their sketches, once each.
 
     The conditions stand in the join, so a pair that fails isn't made into a row; a pair is taken in the smallest key
-    that it shares. A large band is dealt over chunks of its rows, each met by all rows of the band.
+    that it shares.
     """
-    n_chunks = F.ceil(F.col("rows") / CHUNK)
-    own = rows.join(bands.select("key", n_chunks.alias("n_chunks")).hint("merge"), "key")
-    at = F.when(F.col("n_chunks") > 1, F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).otherwise(F.array(F.lit(0).cast("long")))
-    left = own.select("key", F.explode(at).alias("chunk"), F.col("rep").alias("a"), F.col("class").alias("class_a"), F.col("keys").alias("keys_a"), F.col("sketch").alias("sketch_a"))
-    right = own.select(F.col("key").alias("_key"), F.pmod(F.xxhash64("rep"), F.col("n_chunks")).alias("_chunk"), F.col("rep").alias("b"), F.col("class").alias("class_b"), F.col("keys").alias("keys_b"), F.col("sketch").alias("sketch_b"))
+    own = rows.join(bands.select("key").hint("merge"), "key", "left_semi")
+    left = own.select("key", F.col("rep").alias("a"), F.col("class").alias("class_a"), F.col("keys").alias("keys_a"), F.col("sketch").alias("sketch_a"))
+    right = own.select(F.col("key").alias("_key"), F.col("rep").alias("b"), F.col("class").alias("class_b"), F.col("keys").alias("keys_b"), F.col("sketch").alias("sketch_b"))
     agreeing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
-    same = (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))
-    hopeful = (agreeing >= int(HOPEFUL * BANDS * ROWS)) & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))
+    same = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))
+    first = F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: F.when(x == y, x)), lambda k: k.isNotNull())
+    hopeful = (agreeing >= int(HOPEFUL * BANDS * ROWS)) & (F.col("key") == F.array_min(first))
     return left.join(right.hint("merge"), same & hopeful).select("a", "b")
 
 
+def _block_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity): verified links that join the classes within large bands, found in blocks of their rows.
+
+    A band is cut into chunks, and each pair of chunks is one group of bounded size. There the sketches are compared as
+    matrices, and pairs in the smallest key they share are verified from the likeliest on, unless links found before
+    have joined their classes: so no pair becomes a row unless it is a link that joins two classes.
+    """
+    n_chunks = F.ceil(F.col("rows") / CHUNK).cast("int")
+    own = rows.join(bands.select("key", n_chunks.alias("n_chunks")).hint("merge"), "key").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("other")
+    dealt = own.select("key", "rep", "class", "keys", "sketch", "text", "chunk", other)
+    dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
+
+    def run(block):
+        import pandas as pd
+
+        key, i, j = block["key"].iloc[0], block["i"].iloc[0], block["j"].iloc[0]
+        ids, parts, chunk = block["rep"].to_numpy(), block["class"].to_numpy(), block["chunk"].to_numpy()
+        keys, sketch = np.stack(block["keys"].to_numpy()), np.stack(block["sketch"].to_numpy())
+        raw = [t.encode() for t in block["text"]]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
+        row, element, count = shingles(words_of(np.frombuffer(b"".join(raw), np.uint8), offsets))
+        cut = np.searchsorted(row, np.arange(len(ids) + 1))
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        agreeing = np.zeros((len(left), len(right)), np.uint8)
+        for c in range(sketch.shape[1]):
+            agreeing += sketch[left, c][:, None] == sketch[right, c][None, :]
+        hopeful = (agreeing >= int(HOPEFUL * BANDS * ROWS)) & (parts[left][:, None] != parts[right][None, :])
+        x, y = np.nonzero(hopeful & (ids[left][:, None] < ids[right][None, :])) if i == j else np.nonzero(hopeful)
+        order = np.argsort(-agreeing[x, y].astype(int), kind="stable")
+        x, y = left[x[order]], right[y[order]]
+        class_of = {c: c for c in parts}
+
+        def top(c):
+            while class_of[c] != c:
+                class_of[c] = c = class_of[class_of[c]]
+            return c
+
+        found = []
+        for a, b in zip(x, y, strict=True):
+            if top(parts[a]) == top(parts[b]):
+                continue
+            both = keys[a] == keys[b]
+            if keys[a][both].min() != key:
+                continue
+            sim = similarity((element[cut[a] : cut[a + 1]], count[cut[a] : cut[a + 1]]), (element[cut[b] : cut[b + 1]], count[cut[b] : cut[b + 1]]))
+            if sim >= least:
+                class_of[top(parts[a])] = top(parts[b])
+                found.append((min(ids[a], ids[b]), max(ids[a], ids[b]), sim))
+        return pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links): one row for each distinct doc_id. class_id: the smallest id that links reach.
 
@@ -192,8 +247,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not n_rows:
             break
         last = tested is not None or n_pairs <= PAIRS_A_ROW * n_rows
+        in_blocks = None
         if last:
-            pairs = _hopeful_pairs(rows, bands)
+            large = bands.where(F.col("rows") > LARGE)
+            pairs = _hopeful_pairs(rows, bands.where(F.col("rows") <= LARGE))
+            in_blocks = stored(_block_links(rows, large, texts, least), "links") if large.limit(1).count() else None
         else:
             pivot = rows.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"))
             pairs = pivot.join(bands.select("key").hint("merge"), "key", "left_semi").join(rows.select("key", "rep").hint("merge"), "key").where("pivot <> rep")
@@ -202,6 +260,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         tested = stored(pairs, "pairs")
         found = stored(_verified(tested, texts, least), "links")
+        found = found if in_blocks is None else found.union(in_blocks)
         links = found if links is None else links.union(found)
         classes = components(links)
         if last:
