@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords, present, strip
-from .lines import CAPTION, elements, table_references, with_path
+from .lines import CAPTION, _number, elements, table_references, with_path
 
 # The limit of a packed chunk, labels of the parts of a chunk's content, and marks of odd documents.
 MAX_CHARS = 2000
@@ -55,7 +55,7 @@ def side_footnotes(content_list: DataFrame) -> DataFrame:
     note = strip(F.array_join(F.transform("item.content.table_footnote", lambda c: F.coalesce(c["content"], F.lit(""))), ""))
     rows = items.select("doc_id", "pos", note.alias("note"), F.explode("item.content.table_caption").alias("c")).where("note <> ''")
     rows = rows.withColumn("table_number", F.regexp_extract("c.content", CAPTION, 1)).where("table_number <> ''")
-    return rows.groupBy("doc_id", F.col("table_number").cast("int").alias("table_number")).agg(F.min_by("note", "pos").alias("_side"))
+    return rows.groupBy("doc_id", _number(F.col("table_number")).alias("table_number")).agg(F.min_by("note", "pos").alias("_side"))
 
 
 def pack(paragraphs: DataFrame, by: list[str], max_chars: int = MAX_CHARS) -> DataFrame:

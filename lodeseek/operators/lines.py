@@ -85,7 +85,8 @@ def elements(docs: DataFrame) -> DataFrame:
     is_heading, is_sub, is_en = F.col("kind") == "heading", F.col("kind") == "subheading", F.col("kind") == "caption_en"
     num = F.when(is_heading, part(HEADING, 1)).when(is_sub, part(SUBHEADING, 1))
     title = strip(F.when(is_heading, part(HEADING, 2)).otherwise(part(SUBHEADING, 2)))
-    table_no = F.when(is_en, part(CAPTION_EN, 1)).when(F.col("kind") == "caption", part(CAPTION, 1)).cast("int")
+    table_no = F.when(is_en, part(CAPTION_EN, 1)).when(F.col("kind") == "caption", part(CAPTION, 1))
+    table_no = _number(table_no)
     rest = strip(F.when(is_en, part(CAPTION_EN, 2)).otherwise(part(CAPTION, 2)))
     label = F.concat(F.when(is_en, "Table ").otherwise("表"), table_no.cast("string"), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(""))
     text = F.when(is_heading | is_sub, F.concat(num, F.lit(" "), title)).when(F.col("kind") == "footnote", F.concat(F.lit("注："), strip(part(FOOTNOTE, 1)))).otherwise(label)
@@ -114,7 +115,12 @@ def with_path(found: DataFrame) -> DataFrame:
     return out.withColumn("heading_stack", F.filter(F.array(*shown), lambda x: x.isNotNull())).drop(*[f"_s{d}" for d in range(1, DEEPEST + 1)])
 
 
+def _number(digits: Column) -> Column:
+    """An integer of digits of either width; null if there are too many."""
+    return F.translate(digits, "０１２３４５６７８９", "0123456789").try_cast("int")
+
+
 def table_references(text: Column) -> Column:
     """Sorted numbers of the tables that a text names; a range gives its end points only."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, groups in zip(REFERENCES, ((1, 2), (1, 2), (1,), (1,)), strict=True) for g in groups]
-    return F.array_sort(F.array_distinct(F.concat(*found).cast("array<int>")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(*found), _number), lambda n: n.isNotNull())))

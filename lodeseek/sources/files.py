@@ -23,7 +23,7 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def metadata_files(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, META) of the JSON files; missing strings are empty, a file that can't be read has all of them empty."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
     rows = files.select(stem(F.col("_metadata.file_path")).alias("stem"), F.from_json("value", META).alias("m"))
     return rows.select("stem", *[F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in META.names])
 
@@ -38,7 +38,7 @@ def parsed_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     Bytes that aren't UTF-8 become replacement characters; uuid comes from the side file's name.
     """
-    read = lambda glob: spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
+    read = lambda glob: spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     owner = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("md5")
     texts = read("full.md").select(owner, F.col("value").alias("text"))
     side = read("*_content_list_v2.json").select(owner, F.from_json("value", CONTENT_LIST).alias("pages"), F.regexp_extract("_metadata.file_path", "([^/]+)_content_list_v2\\.json$", 1).alias("uuid"))
