@@ -223,8 +223,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     sketches = stored(signatures(docs.where(F.col(doc_id).isNotNull()), doc_id, text), "sketches")
-    grouped = sketches.where("n_words > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = sketches.where("n_words > 0").select("doc_id", "d1", "d2").join(grouped.hint("merge"), ["d1", "d2"]).select("doc_id", "rep")
+    grouped = sketches.where("n_words > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    grouped = stored(grouped.select("d1", "d2", "rep"), "grouped")  # so that both sides of the join are plain shuffles, which Spark splits where they are skewed
+    members = sketches.where("n_words > 0").select("doc_id", "d1", "d2").join(grouped.hint("merge"), ["d1", "d2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     members = stored(members.groupBy("doc_id").agg(F.min("rep").alias("rep")), "members")
     reps = members.where("doc_id = rep").select("doc_id")
     rep_sketches = sketches.join(reps.hint("merge"), "doc_id").select("doc_id", "keys", "sketch").dropDuplicates(["doc_id"])

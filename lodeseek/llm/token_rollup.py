@@ -137,6 +137,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.apply("1-insert", counted(docs, "insert", 1))
     digest = docs.select("doc_id", F.md5("text").alias("digest"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first.select("digest", "first"), "first")
     again = stored(digest.join(first.hint("merge"), "digest").where("doc_id > first").select("doc_id"), "again")
     versions = F.explode(F.array(F.lit("words-1"), F.lit("bpe-50k-1"))).alias("version")
     gone = again.select(F.lit(2).cast("long").alias("seq"), F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), versions, F.lit(0).cast("long").alias("n_tokens"))
