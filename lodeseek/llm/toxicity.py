@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 
 from .shared import read_table, slices, text_or_empty
 
-#: Words in a window; characters of a segment's least part; bytes of the common part of both dictionaries.
-WINDOW, PART, COMMON = 8, 5, 3800
+#: Words in a window, of two sizes; characters of a segment's least part; bytes of the common part of both dictionaries.
+WINDOWS, PART, COMMON = (8, 13), 5, 8000
 #: Bounds of the labelled sample that is fitted: documents of each class, and their longest text in characters.
 SAMPLE = {1: 1000, 0: 2000}
 LONGEST = 20_000
 #: Bytes saved at which windows are counted.
-MARGINS = (2, 3, 4, 5)
-FEATURES = [*(f"m{m}" for m in MARGINS), "most"]
+MARGINS = (2, 3, 4, 5, 6, 8)
+OF_WINDOW = [*(f"m{m}" for m in MARGINS), "most", "mean", "sum"]
+FEATURES = [*(f"w{w}_{x}" for w in WINDOWS for x in OF_WINDOW), "log_windows"]
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -47,8 +48,7 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def windows_of(text: str, size: int = WINDOW) -> list[bytes]:
-    words = text.lower().split()
+def windows_of(words: list[str], size: int) -> list[bytes]:
     return [" ".join(words[i : i + size]).encode() for i in range(0, len(words), size)]
 
 
@@ -67,7 +67,7 @@ def _parts(text: str) -> set[str]:
     return found
 
 
-def contrast(own: list[str], other: list[str], least_z: float = 4.0, most_segments: int = 300) -> bytes:
+def contrast(own: list[str], other: list[str], least_z: float = 6.0, most_segments: int = 300) -> bytes:
     """Segments of words whose parts occur in significantly more of the own texts than of the other, rarest first."""
     mine, theirs = Counter(), Counter()
     for t in own:
@@ -101,10 +101,11 @@ def contrast(own: list[str], other: list[str], least_z: float = 4.0, most_segmen
 
 
 def margins(docs: DataFrame, toxic: bytes, ordinary: bytes, text: str = "text") -> DataFrame:
-    """docs with n_windows and, of the bytes that the toxic dictionary saves, the features of a text.
+    """docs with _n_windows and, of the bytes that the toxic dictionary saves in the windows of each size, the features.
 
-    m2..m5: windows that save so many bytes, over the root of the number of windows; most: the best window's saving,
-    from 0 to 12. Null and empty texts have no windows and zeros.
+    m2 to m8: windows that save so many, over the root of the number of windows; most: the best one's, from 0 to 12;
+    mean: that of all; sum: that of what each saves beyond 2, up to 9, over the same root. log_windows: of the larger
+    size. Null and empty texts have no windows and zeros.
     """
     names = ["_n_windows", *FEATURES]
 
@@ -115,10 +116,15 @@ def margins(docs: DataFrame, toxic: bytes, ordinary: bytes, text: str = "text")
             for part in slices(batch, text, 4 << 20):
                 out = np.zeros((part.num_rows, len(names)))
                 for i, t in enumerate(part.column(part.schema.get_field_index(text)).to_pylist()):
-                    parts = windows_of(t or "")
-                    if parts:
+                    words, row = (t or "").lower().split(), []
+                    if not words:
+                        continue
+                    for size in WINDOWS:
+                        parts = windows_of(words, size)
                         saved = np.array([len(with_ordinary.compress(x)) - len(with_toxic.compress(x)) for x in parts])
-                        out[i] = [len(parts), *((saved[:, None] >= at_least).sum(0) / math.sqrt(len(parts))), min(max(saved.max(), 0), 12)]
+                        root = math.sqrt(len(parts))
+                        row += [*((saved[:, None] >= at_least).sum(0) / root), min(max(saved.max(), 0), 12), saved.mean(), np.clip(saved - 2, 0, 7).sum() / root]
+                    out[i] = [-(-len(words) // WINDOWS[0]), *row, math.log(1 + len(parts))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[:, k]) for k in range(len(names)))], names=[*part.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -146,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     of = {k: [t for y, t in rows if y == k][: sample[k]] for k in (0, 1)}
     if not of[0] or not of[1]:
         return None
-    samples = [w for t in of[0] for w in windows_of(t)][:100_000]
+    samples = [w for t in of[0] for w in windows_of(t.lower().split(), WINDOWS[0])][:100_000]
     try:
         common = zstandard.train_dictionary(COMMON + 300, samples).as_bytes()[-COMMON:]
     except zstandard.ZstdError:  # too few samples to train on: the windows themselves

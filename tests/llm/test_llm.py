@@ -67,7 +67,7 @@ def test_toxicity_on_odd_tables(spark, odd):
     assert toxicity.fit(odd, labels.limit(0)) is None
     out = toxicity.score(odd, None)
     assert out.count() == len(ODD) and out.columns[: len(odd.columns)] == odd.columns
-    model = toxicity.Model(b"you fool ", b"good day ", (1.0,) * 5, -1.0)
+    model = toxicity.Model(b"you fool ", b"good day ", (1.0,) * len(toxicity.FEATURES), -1.0)
     rated = {r.doc_id: r for r in toxicity.score(odd, model).collect()}
     assert rated[1]._n_windows == 0 and rated[1]._score == pytest.approx(1 / (1 + math.e)) and rated[4]._score == rated[6]._score
     assert toxicity.without_toxic(odd.limit(0), labels).count() == 0
