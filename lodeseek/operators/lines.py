@@ -48,6 +48,11 @@ def lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind)
 
 
+def _number(digits: Column) -> Column:
+    """An integer of digits of either width; null if there are too many."""
+    return F.translate(digits, "０１２３４５６７８９", "0123456789").try_cast("int")
+
+
 def elements(docs: DataFrame) -> DataFrame:
     """(doc_id, at, type, text, number, number_str, depth, html) ordered by at within a document.
 
@@ -72,29 +77,32 @@ def elements(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_flush", F.col("kind").isin("blank", "heading", "subheading", "caption", "footnote") | (F.col("kind").isin("table", "equation", "details") & F.col("_opens")))
     rows = rows.withColumn("_para", F.sum(F.col("_flush").cast("int")).over(upto)).withColumn("_end", F.min(F.when(F.col("_flush"), F.col("ord"))).over(after))
 
-    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda v: v[c]), by)
-    none_int, none = F.lit(None).cast("int"), F.lit(None).cast("string")
-    paragraphs = rows.where("kind = 'text'").groupBy("doc_id", "_para").agg(joined("line", " ").alias("text"), F.min("_end").alias("_end"), F.max("ord").alias("_last"))
-    paragraphs = paragraphs.select("doc_id", F.struct(F.coalesce("_end", F.lit(2**31 - 1)).alias("ord"), F.lit(0).alias("after")).alias("at"), F.lit("paragraph").alias("type"), strip(F.col("text")).alias("text"), none_int.alias("number"), none.alias("number_str"), none_int.alias("depth"), none.alias("html")).where("text <> ''")
-    blocks = rows.where("kind in ('table', 'equation')").groupBy("doc_id", "seg", "kind").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), joined("raw", "\n").alias("raw"))
-    whole = F.when((F.col("kind") == "table") & (F.col("n") == 1) & F.col("raw").rlike(TABLE_END), F.col("raw")).otherwise(strip(F.col("raw")))
-    at = F.struct(F.col("ord"), F.lit(1).alias("after")).alias("at")
-    blocks = blocks.select("doc_id", at, F.col("kind").alias("type"), whole.alias("text"), none_int.alias("number"), none.alias("number_str"), none_int.alias("depth"), F.when(F.col("kind") == "table", whole).alias("html"))
-    x = F.col("line")
+    # one group for each element, in the partitioning of the windows: a paragraph, a block, or a line of its own
+    kind = F.col("kind")
+    in_block = kind.isin("table", "equation")
+    of = F.when(kind == "text", "p").when(in_block, "b").otherwise("s")
+    rows = rows.where(kind.isin("text", "table", "equation", "heading", "subheading", "caption", "caption_en", "footnote"))
+    rows = rows.withColumns({"_of": of, "_n": F.when(kind == "text", F.col("_para")).when(in_block, F.col("seg").cast("long")).otherwise(F.col("ord").cast("long"))})
+    shown = F.struct("ord", F.when(in_block, F.col("raw")).otherwise(F.col("line")).alias("x"))
+    found = rows.groupBy("doc_id", "_of", "_n").agg(F.array_sort(F.collect_list(shown)).alias("xs"), F.first("kind").alias("kind"), F.min("_end").alias("_end"))
+    in_block = kind.isin("table", "equation")
+    plain = F.transform("xs", lambda v: v["x"])
+    x = F.when(in_block, F.array_join(plain, "\n")).otherwise(F.array_join(plain, " "))
+    found = found.withColumn("x", F.when(in_block & ~((kind == "table") & (F.size("xs") == 1) & x.rlike(TABLE_END)), strip(x)).when(kind == "text", strip(x)).otherwise(x)).where("x <> ''")
+    x = F.col("x")
     part = lambda p, g: F.regexp_extract(x, p, g)
-    is_heading, is_sub, is_en = F.col("kind") == "heading", F.col("kind") == "subheading", F.col("kind") == "caption_en"
-    num = F.when(is_heading, part(HEADING, 1)).when(is_sub, part(SUBHEADING, 1))
+    is_heading, is_sub, is_en = kind == "heading", kind == "subheading", kind == "caption_en"
+    found = found.withColumn("num", F.when(is_heading, part(HEADING, 1)).when(is_sub, part(SUBHEADING, 1)))
+    found = found.withColumn("no", _number(F.when(is_en, part(CAPTION_EN, 1)).when(kind == "caption", part(CAPTION, 1))))
     title = strip(F.when(is_heading, part(HEADING, 2)).otherwise(part(SUBHEADING, 2)))
-    table_no = F.when(is_en, part(CAPTION_EN, 1)).when(F.col("kind") == "caption", part(CAPTION, 1))
-    table_no = _number(table_no)
     rest = strip(F.when(is_en, part(CAPTION_EN, 2)).otherwise(part(CAPTION, 2)))
-    label = F.concat(F.when(is_en, "Table ").otherwise("表"), table_no.cast("string"), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(""))
-    text = F.when(is_heading | is_sub, F.concat(num, F.lit(" "), title)).when(F.col("kind") == "footnote", F.concat(F.lit("注："), strip(part(FOOTNOTE, 1)))).otherwise(label)
-    singles = rows.where("kind in ('heading', 'subheading', 'caption', 'caption_en', 'footnote')").select(
-        "doc_id", at, F.when(is_sub, "heading").otherwise(F.col("kind")).alias("type"), text.alias("text"), table_no.alias("number"), num.alias("number_str"), F.least(F.size(F.split(num, "\\.")), F.lit(DEEPEST)).alias("depth"), none.alias("html")
-    )
-    depth = F.when(F.col("type") == "heading", F.col("depth"))
-    return paragraphs.unionByName(blocks).unionByName(singles).withColumn("depth", depth)
+    label = F.concat(F.when(is_en, "Table ").otherwise("表"), F.col("no").cast("string"), F.when(rest != "", F.concat(F.lit(" "), rest)).otherwise(""))
+    text = F.when(is_heading | is_sub, F.concat("num", F.lit(" "), title)).when(kind == "footnote", F.concat(F.lit("注："), strip(part(FOOTNOTE, 1)))).when(kind.isin("caption", "caption_en"), label).otherwise(x)
+    at = F.when(kind == "text", F.struct(F.coalesce("_end", F.lit(2**31 - 1)).alias("ord"), F.lit(0).alias("after"))).otherwise(F.struct(F.col("xs")[0]["ord"].alias("ord"), F.lit(1).alias("after")))
+    return found.select(
+        "doc_id", at.alias("at"), F.when(is_sub, "heading").when(kind == "text", "paragraph").otherwise(kind).alias("type"), text.alias("text"), F.col("no").alias("number"),
+        F.col("num").alias("number_str"), F.when(is_heading | is_sub, F.least(F.size(F.split("num", "\\.")), F.lit(DEEPEST))).alias("depth"), F.when(kind == "table", x).alias("html"),
+    )
 
 
 def with_path(found: DataFrame) -> DataFrame:
@@ -115,11 +123,6 @@ def with_path(found: DataFrame) -> DataFrame:
     return out.withColumn("heading_stack", F.filter(F.array(*shown), lambda x: x.isNotNull())).drop(*[f"_s{d}" for d in range(1, DEEPEST + 1)])
 
 
-def _number(digits: Column) -> Column:
-    """An integer of digits of either width; null if there are too many."""
-    return F.translate(digits, "０１２３４５６７８９", "0123456789").try_cast("int")
-
-
 def table_references(text: Column) -> Column:
     """Sorted numbers of the tables that a text names; a range gives its end points only."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, groups in zip(REFERENCES, ((1, 2), (1, 2), (1,), (1,)), strict=True) for g in groups]
