@@ -23,9 +23,11 @@ def cut(c: Column, n: int, more: str = "...") -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits; a run of Han characters becomes its overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("\\p{IsHan}+|[\\p{L}\\p{N}&&[^\\p{IsHan}]]+"), F.lit(0))
+    low = F.lower(F.coalesce(c, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit("\\p{IsHan}+|[\\p{L}\\p{N}&&[^\\p{IsHan}]]+"), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^\\p{IsHan}") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))))
+    cut_up = F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^\\p{IsHan}") & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))))
+    return F.when(low.rlike("\\p{IsHan}"), cut_up).otherwise(F.regexp_extract_all(low, F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
 
 
 def keywords(c: Column) -> Column:
