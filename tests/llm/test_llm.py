@@ -213,6 +213,40 @@ def test_lm_scores_are_brute_force(spark):
     assert np.allclose(lm_scoring.loss_differences(empty, size), 0)
 
 
+def test_lm_scores_of_every_word_are_brute_force(spark):
+    rng = random.Random(16)
+    docs = [(i, sentence(rng, rng.randrange(0, 40)), i % 3 == 0) for i in range(80)] + [(99, "", False), (None, "tail one", True), (7, "again", False)]
+    docs += [(200 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60)), i % 2 == 0) for i in range(60)]  # over 2,046 words
+    docs += [(300, "w1 rarea w2", True), (301, "w1 rareb w2", False)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, target boolean").repartition(3)
+    vocab = {w for _, t, _ in docs for w in words(t)}
+    assert len(vocab) > lm_scoring.VOCABULARY
+
+    def model(texts):
+        pairs, one = Counter(), Counter()
+        for t in texts:
+            x = ["<s>", *words(t)]
+            pairs.update(zip(x, x[1:]))
+            one.update(x[1:])
+        before, total, w = Counter(), sum(one.values()) + len(vocab), lm_scoring.WEIGHT
+        for (a, _), n in pairs.items():
+            before[a] += n
+        return lambda a, b: math.log((w * pairs[a, b] / before[a] + (1 - w) * (one[b] + 1) / total) if before[a] else (one[b] + 1) / total)
+
+    good, every = model([t for _, t, y in docs if y]), model([t for _, t, _ in docs])
+    want = []
+    for i, t, _ in docs:
+        x = ["<s>", *words(t)]
+        want.append((i or -1, len(x) - 1, pytest.approx(sum(every(a, b) - good(a, b) for a, b in zip(x, x[1:])), abs=1e-6)))
+    for hot, cells in ((lm_scoring.HOT, lm_scoring.CELLS), (10, 500), (0, 500)):
+        got = lm_scoring.score_all(df, hot, cells).collect()
+        rows = sorted((r.doc_id or -1, r.n_tokens, r.loss_difference) for r in got)
+        assert len(rows) == len(want) and all(a == b for a, b in zip(rows, sorted(want, key=lambda r: r[:2])))
+        of = {r.doc_id: r for r in got}
+        assert of[300].loss_difference != of[301].loss_difference and of[99].score is None
+    assert lm_scoring.score_all(df.limit(0)).count() == 0
+
+
 # 6
 
 
