@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,13 @@ AROUND_NAMES = frozenset(
     "outbrain overlay pager pagination paywall popular popup privacy promo promotion promoted recommend recommended related replies reply respond responses rss search share "
     "sharing sidebar sidemenu signup skip skyscraper social sponsor sponsored subscribe taboola tagcloud tags teaser toolbar topbar trending warning widget widgets".split()
 )
+#: Parts of a name beside those of AROUND_NAMES. A name with any other part ("has-sidebar", "comments-open") tells of a state.
+PLAIN_NAMES = frozenset(
+    "area article articles bar block body box btn button center col column container content cookies entry fixed global group holder icon inner item items js left list main "
+    "module news outer page panel post posts primary right row secondary section site story sub text the title top wide wp wrap wrapper".split()
+)
+#: Inside an article these are part of its text.
+ADMONITIONS = frozenset("alert note notice warning".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 MAIN_NAMES = frozenset("article content entry main post story".split())
 
@@ -45,28 +53,80 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "around", "main", "page_has_main", "heading", "item"]
 
 
-def _named(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a tag stands around an article, and whether it holds one."""
-    around, main = name in AROUND_TAGS, name in MAIN_TAGS
+#: Why an element stands around: by its tag, role or hiding, or only by its name or as a form, which may hold the page.
+BY_TAG, BY_NAME = 2, 1
+
+
+def _named(name: str, attributes: str, inside: bool = False) -> tuple[int, bool]:
+    """Whether a tag stands around an article (BY_TAG, BY_NAME or 0), and whether it holds one; inside: it is in one itself."""
+    around, main = name in AROUND_TAGS or name == "header", name in MAIN_TAGS
+    if name in ("html", "body"):
+        return 0, False
     if not attributes.strip():
-        return around or name == "header", main
+        return (BY_NAME if name == "form" else BY_TAG) if around else 0, main
     given = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    names = {w.lower() for k in ("class", "id") for w in _NAME.findall(given.get(k, ""))}
+    found, names = set(), set()
+    for token in (t for k in ("class", "id") for t in given.get(k, "").split()):
+        parts = {w.lower() for w in _NAME.findall(token)}
+        names |= parts
+        if parts & AROUND_NAMES and parts <= AROUND_NAMES | PLAIN_NAMES:
+            found |= parts & AROUND_NAMES
     role = given.get("role", "").lower()
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I)
     main = main or role in MAIN_ROLES or bool(names & MAIN_NAMES)
-    found = names & AROUND_NAMES
     if main and found <= {"header", "meta", "byline", "tags", "links"}:
         found = set()
-    return around or name == "header" or role in AROUND_ROLES or bool(hidden) or bool(found), main
+    if inside and found <= ADMONITIONS:
+        found = set()
+    if name == "main" or (name == "article" and (not inside or names & MAIN_NAMES)):
+        found = set()  # an article in another may be a remark on it
+    if (around and name != "form") or (role in AROUND_ROLES and not (inside and role in ADMONITIONS)) or hidden:
+        return BY_TAG, main
+    return BY_NAME if around or found else 0, main
+
+
+def _holding_all(found: list, kinds: list[int]) -> set[int]:
+    """Elements, around by name only, that hold the page: its article is in them, and none without them.
+
+    found: blocks with the elements around them that stand around, and whether they show an article: they are in a main
+    element or under h1. Outermost first, each is tried as if it weren't around; what holds a page is among the largest.
+    """
+    held: set[int] = set()
+    if any(sign and not elements for _, elements, sign in found):
+        return held
+    sizes: Counter = Counter()
+    for block, elements, _ in found:
+        for x in elements:
+            sizes[x] += block[1] - block[2]
+    for e in sorted(x for x, _ in sizes.most_common(20)):
+        if kinds[e] != BY_NAME:
+            continue
+        inside = outside = signs = long = 0
+        without = False
+        for block, elements, sign in found:
+            plain = block[1] - block[2]
+            others = [x for x in elements if x != e and x not in held]
+            if e not in elements:
+                if not others:
+                    outside += plain
+                    without = without or sign
+            elif not any(kinds[x] == BY_TAG or x < e for x in others):
+                inside += plain
+                signs += sign
+                long += plain >= 10
+        if not without and inside > outside and (signs or (not outside and long >= 3)):
+            held.add(e)
+    return held
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, int]]:
     """(text, words, linked words, around, main, heading, item, offset) of each block of a whole page, in order."""
     page = page or ""
     found: list = []
-    stack: list[tuple[str, bool, bool]] = []
-    around = main = links = 0
+    elements: list[tuple[list[int], bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # name, number of the element if it stands around, else -1, holds an article
+    kinds: list[int] = []
+    main = links = heads = 0
     pieces: list[tuple[str, bool]] = []
     tag_of_block, block_at, at, n = "", 0, 0, len(page)
     lower = ""
@@ -78,14 +138,15 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
             if text:
                 words = len(text.split())
                 linked = sum(len(t.split()) for t, is_link in pieces if is_link)
-                found.append((text, words, min(linked, words), int(around > 0), int(main > 0), int(tag_of_block[:1] == "h" and tag_of_block[1:].isdigit()), int(tag_of_block in ("li", "td", "th", "dd", "dt")), block_at))
+                found.append((text, words, min(linked, words), 0, int(main > 0), int(tag_of_block[:1] == "h" and tag_of_block[1:].isdigit()), int(tag_of_block in ("li", "td", "th", "dd", "dt")), block_at))
+                elements.append(([s[1] for s in stack if s[1] >= 0], main > 0 or heads > 0))
         pieces = []
 
     def pop() -> str:
-        nonlocal around, main, links
-        name, a, m = stack.pop()
-        around -= a
+        nonlocal main, links, heads
+        name, _, m = stack.pop()
         main -= m
+        heads -= name == "h1"
         links -= name == "a"
         return name
 
@@ -142,17 +203,20 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
                 pop()
         if name in ("a", "li", "option", "dt", "dd", "tr") and stack and stack[-1][0] == name:
             pop()
-        a, mn = _named(name, attributes)
+        a, mn = _named(name, attributes, main > 0)
         if name == "header" and main and not (a and attributes.strip() and _named("div", attributes)[0]):
-            a = False  # an article's own head
-        stack.append((name, a, mn))
-        around += a
+            a = 0  # an article's own head
+        stack.append((name, len(kinds) if a else -1, mn))
+        if a:
+            kinds.append(a)
         main += mn
+        heads += name == "h1"
         links += name == "a"
         if name in BLOCK_TAGS:
             tag_of_block = name
     flush()
-    return found
+    held = _holding_all([(b, *e) for b, e in zip(found, elements, strict=True)], kinds) if BY_NAME in kinds else set()
+    return [(*b[:3], int(any(x not in held for x in e)), *b[4:]) for b, (e, _) in zip(found, elements, strict=True)]
 
 
 _KINDS = "struct<text:string,words:double,links:double,words_before:double,links_before:double,words_after:double,links_after:double,around:double,main:double,page_has_main:double,heading:double,item:double,at:bigint>"

@@ -82,4 +82,14 @@ PAGES: list[list[tuple[str, int]]] = [
         ('<article class="story"><header><h1>With a head</h1><p>By the desk.</p></header>' + _p(_SHORT[2], _LONG[2], _LONG[3]) + "<h2>Later</h2>" + _p(_SHORT[0]) + "</article>", 1),
         ('<div id="comments">' + _p(_REMARK, "Yes.", _LONG[1]) + "</div><div>Back to top</div>", 0),
     ],
+    [
+        ("<body class='single has-sidebar'><div id='page' class='with-sidebar'><nav>" + _menu("home", "post") + "</nav>", 0),
+        ("<article class='post comments-open category-social'><h1>On the river</h1>" + _p(_LONG[0], _SHORT[0]) + "<div class='warning'><p>" + _LONG[3] + "</p></div>" + _p(_LONG[2]) + "</article>", 1),
+        ("<div class='comments'>" + _p(_REMARK) + "</div></div>", 0),
+    ],
+    [
+        ("<body><form id='page'><div class='header'><p>The valley</p></div>", 0),
+        ("<div class='body'><h1>In a form</h1>" + _p(_LONG[1], _LONG[3], _SHORT[2]) + "</div>", 1),
+        ("<div class='footer'><p>" + _FINE_PRINT + "</p></div></form></body>", 0),
+    ],
 ]

@@ -463,6 +463,26 @@ def test_an_unseen_layout_and_odd_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_whole_articles_stay(spark):
+    text = [" ".join(f"word{i}of{k}" for i in range(30)) for k in range(3)]
+    ps = "".join(f"<p>{t}</p>" for t in text)
+    menu, foot = "<nav><a href='/'>Home</a></nav>", "<div class='footer'><p>All rights are with the owners of this site.</p></div>"
+    pages = [
+        f"<body class='single has-sidebar'>{menu}<article><h1>Head</h1>{ps}</article>{foot}</body>",
+        f"<body class='sidebar'>{menu}<article><h1>Head</h1>{ps}</article>{foot}</body>",
+        f"<body>{menu}<div id='page' class='with-sidebar'><article><h1>Head</h1>{ps}</article></div>{foot}</body>",
+        f"<body><div id='page' class='sidebar'>{menu}<article><h1>Head</h1>{ps}</article>{foot}</div></body>",
+        f"<body>{menu}<article class='post comments-open category-social'><h1>Head</h1>{ps}</article>{foot}</body>",
+        f"<body>{menu}<article class='sponsored'><h1>Head</h1>{ps}</article>{foot}</body>",
+        f"<body><form id='aspnetForm'>{menu}<div class='body'><h1>Head</h1>{ps}</div>{foot}</form></body>",
+        f"<body>{menu}<article><h1>Head</h1><p>{text[0]}</p><div class='warning'><p>{text[1]}</p></div><p>{text[2]}</p></article>{foot}</body>",
+    ]
+    got = {r.n: r._text for r in html_extract.extract(spark.createDataFrame(list(enumerate(pages)), "n long, html string")).collect()}
+    assert got == {n: "\n".join(["Head", *text]) for n in range(len(pages))}
+    remarks = "<div class='comments'>" + "".join(f"<article><p>{t} {t}</p></article>" for t in text) + "</div>"
+    assert [b[3] for b in html_extract.blocks(f"<body><article><h1>Head</h1><p>{text[0]}</p></article>{remarks}</body>")] == [0, 0, 1, 1, 1]
+
+
 def test_the_tree_fits_its_table(spark):
     is_main = html_extract.train(spark)
     rows = html_extract.labelled(spark).withColumn("p", is_main(F.struct(*html_extract.FEATURES)).cast("double"))
