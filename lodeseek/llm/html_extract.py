@@ -25,7 +25,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+RAW_TAGS = frozenset("script style noscript template svg annotation annotation-xml iframe select textarea title".split())
 #: Tags, roles and parts of class names or ids of what surrounds an article, and of what holds one.
 AROUND_TAGS = frozenset("nav aside footer form button dialog menu head label".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar note".split())
@@ -185,7 +185,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
             continue
         if name in BLOCK_TAGS:
             flush()
-        elif name == "br":
+        elif name in ("br", "mtd"):
             pieces.append((" ", links > 0))
         if closing:
             if any(s[0] == name for s in reversed(stack)):

@@ -483,6 +483,13 @@ def test_whole_articles_stay(spark):
     assert [b[3] for b in html_extract.blocks(f"<body><article><h1>Head</h1><p>{text[0]}</p></article>{remarks}</body>")] == [0, 0, 1, 1, 1]
 
 
+def test_formulas_and_fallbacks_stay():
+    math_ml = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='x'>E=m</annotation></semantics></math>"
+    page = f"<article><p>So {math_ml} holds.</p><p><object data='x'><param name='a'>A map of it.</object> <canvas>A drawing.</canvas><video><source src='v'>A film.</video></p></article>"
+    assert [b[0] for b in html_extract.blocks(page)] == ["So E=m holds.", "A map of it. A drawing.A film."]
+    assert html_extract.blocks("<math><mtr><mtd>1</mtd><mtd>2</mtd></mtr></math>")[0][0] == "1 2"
+
+
 def test_the_tree_fits_its_table(spark):
     is_main = html_extract.train(spark)
     rows = html_extract.labelled(spark).withColumn("p", is_main(F.struct(*html_extract.FEATURES)).cast("double"))
