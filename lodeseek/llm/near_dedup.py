@@ -211,11 +211,12 @@ def _block_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, least: flo
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links): one row for each distinct doc_id. class_id: the smallest id that links reach.
+    """(doc_id, class_id): one row for each distinct doc_id. class_id: the smallest id that links reach.
 
-    Texts with equal sequences of words are one class from the start, stood for by the smallest id; n_links counts the
-    different other texts found linked with the document's text by verified candidate pairs. Texts without words (null, empty) link with nothing; a null doc_id has no
-    row; of repeated rows with one id the text that sorts first counts; an empty table gives no rows.
+    Texts with equal sequences of words are one class from the start, stood for by the smallest id. Links aren't
+    counted: a class is joined by few of its links, and which of them are looked at depends on other groups. Texts
+    without words (null, empty) link with nothing; a null doc_id has no row; of repeated rows with one id the text that
+    sorts first counts; an empty table gives no rows.
 
     Where bands have many pairs for their rows, all members of a band are first compared with the one that meets most
     others: what is linked with it is in its class, and only pairs of members in different classes remain. Of these,
@@ -269,11 +270,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = rows.drop("class").join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("class", F.coalesce("component", "rep")).drop("component")
         rows = stored(rows, "rows")
     if links is None:
-        links, classes = spark.createDataFrame([], "a long, b long, similarity double"), spark.createDataFrame([], "node long, component long")
-    n_links = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of_rep = classes.withColumnRenamed("node", "rep").join(n_links.hint("merge"), "rep", "left")
+        classes = spark.createDataFrame([], "node long, component long")
+    of_rep = classes.withColumnRenamed("node", "rep")
     everyone = sketches.select("doc_id").distinct().join(members.hint("merge"), "doc_id", "left")
-    return everyone.join(of_rep.hint("merge"), "rep", "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return everyone.join(of_rep.hint("merge"), "rep", "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -397,6 +397,18 @@ def test_near_duplicates_are_found(spark):
     assert got == {i: top(i) for i in range(len(docs))}
 
 
+def test_rows_of_a_group_do_not_depend_on_other_groups(spark):
+    rng = random.Random(19)
+
+    def copies(first, n):
+        base = sentence(rng, 120).split()
+        return [(first + i, " ".join([*base[:60], f"x{first + i}", *base[61:]])) for i in range(n)]
+
+    three, large = copies(0, 3), copies(100, 80)
+    alone, beside = (near_dedup.near_duplicates(spark.createDataFrame(d, "doc_id long, text string")).where("doc_id < 3").collect() for d in (three, three + large))
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, beside)) and {r.class_id for r in beside} == {0}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     x, y = rng.integers(1, 2**60, 300).astype(np.uint64), rng.integers(1, 2**60, 300).astype(np.uint64)
