@@ -36,9 +36,21 @@ def allocate(files: DataFrame, keys: DataFrame, by: str = "quota_day") -> DataFr
     """(by, md5, pages, key): best fit of files to keys, each day or tenant on its own.
 
     Files in descending order of pages get the key with the least sufficient remainder, the first on ties, or null.
-    A group is bounded: no more files than keys times pages a day are given a key, and each has a page at least.
+    Of files with equal pages those that get a key come first by md5, and no more than the day's whole remainder
+    divided by their pages: only so many are gathered to be fitted, the others get null. Each file has a page at least;
+    files of unknown pages get null.
     """
     kind = files.schema[by].dataType.simpleString()
+    totals = keys.groupBy(F.col(by).alias("_by")).agg(F.sum(F.greatest("remaining", F.lit(0))).alias("_total"))
+    order = F.struct(F.col("md5").isNull(), "md5")
+    rows = files.select(by, "md5", F.col("pages").cast("bigint").alias("pages"))
+    able = rows.join(F.broadcast(totals), F.col(by).eqNullSafe(F.col("_by"))).where("pages <= _total").withColumn("_salt", F.pmod(F.xxhash64("md5"), F.lit(64)))
+    limit = F.floor(F.col("_total") / F.greatest("pages", F.lit(1)))
+    for spread in (["_salt"], []):  # first within 64 parts of a hot group, so that no task sorts the whole of it
+        able = able.withColumn("_rank", F.rank().over(Window.partitionBy(by, "pages", *spread).orderBy(order))).where((F.col("_rank") <= limit) | (F.col("pages") < 1))
+    last = able.groupBy(F.col(by).alias("_by"), F.col("pages").alias("_pages")).agg(F.max(order).alias("_last"))
+    beyond = F.col("_last").isNull() | (order > F.col("_last"))
+    others = rows.join(F.broadcast(last), F.col(by).eqNullSafe(F.col("_by")) & (F.col("pages") == F.col("_pages")), "left").where(beyond)
 
     def fit(files: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         keys = keys.sort_values("key")
@@ -51,9 +63,10 @@ def allocate(files: DataFrame, keys: DataFrame, by: str = "quota_day") -> DataFr
             if best is not None:
                 left[best] -= int(n)
             got.append(None if best is None else names[best])
-        return files.assign(key=got)[[by, "md5", "pages", "key"]]
+        return files.assign(key=pd.Series(got, files.index, object))[[by, "md5", "pages", "key"]].astype({by: object, "md5": object})
 
-    return files.groupBy(by).cogroup(keys.groupBy(by)).applyInPandas(fit, f"{by} {kind}, md5 string, pages bigint, key string")
+    fitted = able.select(by, "md5", "pages").groupBy(by).cogroup(keys.select(F.col(by).alias("_by"), "key", "remaining").groupBy("_by")).applyInPandas(fit, f"{by} {kind}, md5 string, pages bigint, key string")
+    return fitted.union(others.select(by, "md5", "pages", F.lit(None).cast("string").alias("key")))
 
 
 def batches(allocated: DataFrame, by: str = "quota_day", size: int = FILES_A_BATCH) -> DataFrame:

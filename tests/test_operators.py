@@ -81,6 +81,31 @@ def test_quota_is_best_fit(spark):
     assert {r.md5: r.key for r in ledger.allocate(docs, keys).collect()} == {"a": "k1", "d": "k2", "b": None, "c": "k2", "e": "k1"}
 
 
+def test_quota_gathers_only_what_may_fit(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    docs = [(d, f"{i:05}", rng.choice([1, 2, 3, 7, 40, 90, 200])) for d in ("d", "e", None) for i in range(1500)] + [("f", "x", 1), ("d", "none", None), ("d", "same", 7), ("d", "same", 7)]
+    keys = [("d", "k1", 100), ("d", "k2", 60), ("e", "k1", 150), (None, "k1", 30), ("g", "k1", 5)]
+    want = []
+    for day in ("d", "e", None, "f"):
+        left = {k: n for d, k, n in keys if d == day}
+        for _, m, p in sorted((x for x in docs if x[0] == day), key=lambda x: (-(x[2] or 0), x[1])):
+            best = min((k for k, r in left.items() if p and r >= p), key=lambda k: (left[k], k), default=None)
+            if best:
+                left[best] -= p
+            want.append((day, m, p, best))
+    files_of = spark.createDataFrame(docs, "quota_day string, md5 string, pages bigint")
+    keys_of = spark.createDataFrame(keys, "quota_day string, key string, remaining int")
+    out = ledger.allocate(files_of, keys_of)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    gathered = []
+    plan = type(out.groupBy("quota_day").cogroup(keys_of.groupBy("quota_day")))
+    monkeypatch.setattr(plan, "applyInPandas", lambda self, f, schema: gathered.append(self._gd1._df) or spark.createDataFrame([], schema))
+    ledger.allocate(files_of, keys_of)
+    assert gathered[0].groupBy("quota_day").count().agg(F.max("count")).first()[0] < 600
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "pdf").mkdir()
     (tmp_path / "json").mkdir()
