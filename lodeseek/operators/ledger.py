@@ -148,6 +148,6 @@ FATAL = "(?i)(token|auth|quota|not found|expired)"
 
 
 def batch_failures(batches: DataFrame, errors: DataFrame) -> DataFrame:
-    """(batch_id, md5, status, error_msg): a fatal error of a batch fails each of its documents (md5_list)."""
+    """(batch_id, md5, status, error_msg): a fatal error of a batch fails each of its documents, which are rows (batch_id, md5)."""
     fatal = errors.where(F.col("message").rlike(FATAL)).groupBy("batch_id").agg(F.min("message").alias("error_msg"))
-    return batches.select("batch_id", F.explode("md5_list").alias("md5")).join(fatal, "batch_id").withColumn("status", F.lit("failed")).select("batch_id", "md5", "status", "error_msg")
+    return batches.select("batch_id", "md5").join(fatal, "batch_id").withColumn("status", F.lit("failed")).select("batch_id", "md5", "status", "error_msg")

@@ -167,9 +167,9 @@ def path_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("batch_id")).agg(F.collect_list(F.md5("text")).alias("md5_list"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("batch_id"), F.md5("text").alias("md5"))
     errors = table(spark, sf_dir, "events").select(F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("batch_id"), F.concat(F.when(F.col("event_type") == "error", "Token expired: ").otherwise("seen: "), F.col("props")).alias("message"))
-    return ledger.batch_failures(groups, errors)
+    return ledger.batch_failures(rows, errors)
 
 
 def task_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,20 @@ def test_quota_gathers_only_what_may_fit(spark, monkeypatch):
     assert gathered[0].groupBy("quota_day").count().agg(F.max("count")).first()[0] < 600
 
 
+def test_batch_failures_are_of_rows(spark):
+    from __spark_entry__ import oracle_sql, queries
+
+    from .conftest import DATA
+    from .helpers import assert_same
+
+    rows = spark.createDataFrame([("b", "x"), ("b", "y"), ("b", "y"), ("c", "z"), ("d", "w")], "batch_id string, md5 string")
+    errors = spark.createDataFrame([("b", "token expired"), ("b", "quota"), ("c", "slow"), ("e", "auth")], "batch_id string, message string")
+    got = sorted(map(tuple, ledger.batch_failures(rows, errors).collect()))
+    assert got == [("b", m, "failed", "quota") for m in ("x", "y", "y")]
+    assert_same(queries()["batch_failures"](spark, DATA), DATA, oracle_sql()["batch_failures"])
+    assert queries()["quota_alloc"](spark, DATA).count() > 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "pdf").mkdir()
     (tmp_path / "json").mkdir()
