@@ -49,7 +49,8 @@ class Words:
         return len(self.starts)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, wide_apart: bool = False) -> Words:
+    """Words of the texts between offsets; wide_apart: characters from U+3000 on (no blanks stand between them) are each a word."""
     n_rows = len(offsets) - 1
     inside = IS_WORD[data]
     none = np.zeros(0, np.int64)
@@ -60,11 +61,20 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     before[1:] = inside[:-1]
     edges = offsets[1:-1]
     before[edges[edges < len(data)]] = False
-    starts = np.flatnonzero(inside & ~before)
+    starts = inside & ~before
+    if wide_apart:
+        lead = np.flatnonzero(data >= 0xE3)
+        starts[lead] = True
+        following = lead + np.where(data[lead] >= 0xF0, 4, 3)
+        following = following[following < len(data)]
+        starts[following] |= inside[following]
     after = np.empty_like(inside)
     after[-1] = False
     after[:-1] = inside[1:]
     after[edges[(edges > 0) & (edges <= len(data))] - 1] = False
+    if wide_apart:
+        after[:-1] &= ~starts[1:]
+    starts = np.flatnonzero(starts)
     ends = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(starts, offsets)
     row = np.repeat(np.arange(n_rows), np.diff(first))

@@ -120,31 +120,81 @@ def test_token_counts_are_of_whole_texts(spark, odd):
 # 3
 
 
+def without_earlier_windows(docs, window):
+    """By strings, clause by clause: id -> (text without what earlier windows have, removed stretches)."""
+    seen, out = set(), {}
+    for i, t in docs:
+        clauses, at = [], 0
+        for part in re.findall(r"[^.,;:!?\n]*[.,;:!?\n]+|[^.,;:!?\n]+$", t):
+            w = [(m[0].lower(), at + m.start(), at + m.end()) for m in WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), part))]
+            at += len(part)
+            if w:
+                clauses.append(w)
+        gone = []
+        for k in range(len(clauses)):
+            w = []
+            for c in clauses[k:]:
+                w += c
+                if len(w) >= window:
+                    said = " ".join(x[0] for x in w)
+                    if said in seen:
+                        gone.append((w[0][1], w[-1][2]))
+                    seen.add(said)
+                    break
+        spans = []
+        for start, stop in gone:
+            if spans and start <= spans[-1][1]:
+                spans[-1][1] = max(stop, spans[-1][1])
+            else:
+                spans.append([start, stop])
+        for s in spans:
+            s[1] += len(re.match(r"[^\n0-9A-Za-z\x80-\U0010ffff]*", t[s[1] :])[0])
+            s[1] += t[s[1] : s[1] + 1] == "\n" and (s[0] == 0 or t[s[0] - 1] == "\n")
+        kept, last = "", 0
+        for start, stop in spans:
+            kept, last = kept + t[last:start], stop
+        out[i] = (kept + t[last:], [(start, stop - start) for start, stop in spans])
+    return out
+
+
 def test_substring_dedup_is_brute_force(spark):
     rng = random.Random(4)
-    pool = [sentence(rng, n) for n in (1, 3, 4, 5, 8, 60) for _ in range(4)]
-    docs = [(i, "\n".join(rng.choice(pool) + rng.choice(["", ".", " !"]) for _ in range(rng.randrange(0, 9)))) for i in range(60)]
+    passages = [", ".join(sentence(rng, n).capitalize() for n in (6, 9, 3, 8)) for _ in range(5)]
+    lines = [sentence(rng, n) for n in (1, 3, 8, 15, 25, 40) for _ in range(3)]
+    docs = []
+    for i in range(60):
+        parts = [rng.choice(lines) + rng.choice(["", ".", " !"]) for _ in range(rng.randrange(0, 9))]
+        if i % 2:  # a passage that begins and ends inside other sentences, over the end of a line
+            parts.insert(rng.randrange(len(parts) + 1), f"é own{i} start {rng.choice(passages)}.\n{rng.choice(passages)} end{i}")
+        docs.append((i, "\n".join(parts)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for window in (substring_dedup.WINDOW, 8):
+        got = {r.doc_id: (r.text, [(s.start, s.length) for s in r._removed]) for r in substring_dedup.dedup(df, window=window).collect()}
+        assert got == without_earlier_windows(docs, window) and sum(len(x[1]) for x in got.values()) > 20
+
+
+def test_passages_inside_lines_go_and_short_lines_stay(spark):
+    rng = random.Random(14)
+    passage = ". ".join(sentence(rng, 9) for _ in range(6))  # 54 words
+    short = sentence(rng, 20) + "."
+    docs = [(i, f"{sentence(rng, 40)} {passage if i < 3 else sentence(rng, 30)} {sentence(rng, 20)}\n{short}") for i in range(6)]
     got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    seen = set()
-    for i, t in docs:
-        kept, gone, at = [], [], 0
-        for line in t.split("\n"):
-            norm = " ".join(re.findall(r"[^\W_]+", line.lower()))
-            again = len(norm.split(" ")) >= substring_dedup.MIN_WORDS and norm in seen
-            seen.add(norm)
-            (gone.append((at, len(line))) if again else kept.append(line))
-            at += len(line) + 1
-        assert got[i]._kept == "\n".join(kept) and [(s.start, s.length) for s in got[i]._removed] == gone
+    assert {i for i, r in got.items() if r._removed} == {1, 2} and all(r.text.endswith(short) for r in got.values())
+    wide = "".join(chr(0x4E00 + i * 7) + ("，" if i % 9 == 8 else "") for i in range(120))
+    got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame([(1, f"甲{wide}乙。"), (2, f"丙丁{wide}戊。")], "doc_id long, text string")).collect()}
+    assert got[1] == f"甲{wide}乙。" and len(got[2]) < 40
 
 
 def test_substring_dedup_on_odd_tables(spark, odd):
-    out = substring_dedup.without_repeats(odd)
-    assert out.columns == odd.columns and out.count() == len(ODD)
-    texts = [(r.doc_id, r.text) for r in out.collect()]
-    assert (1, None) in texts and (2, "") in texts and texts.count((3, "a b")) == 2 and (4, LONG) in texts and (6, "") in texts
-    assert substring_dedup.without_repeats(odd.limit(0)).count() == 0
-    paras = spark.createDataFrame([(1, "a b c d\nx\n\ne f g h"), (2, "E f, g h\n\nz")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in substring_dedup.without_repeats(paras, unit="paragraph").collect()}[2] == "z"
+    for df in (odd, odd.withColumn("_removed", F.lit("own")).withColumn("_text", F.lit(1))):
+        out = substring_dedup.without_repeats(df)
+        assert out.columns == df.columns and out.count() == len(ODD)
+        texts = [(r.doc_id, r.text) for r in out.collect()]
+        assert (1, None) in texts and (2, "") in texts and texts.count((3, "a b")) == 2 and (4, LONG) in texts and (6, "") in texts
+        assert substring_dedup.without_repeats(df.limit(0)).count() == 0
+    assert {r._removed for r in out.collect()} == {"own"}
+    lines = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "A b, c d e f\nz")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in substring_dedup.without_repeats(lines, unit="line", window=5).collect()} == {1: "a b c d e f\nx", 2: "z"}
 
 
 # 4
