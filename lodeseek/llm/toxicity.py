@@ -1,8 +1,10 @@
 """Toxicity by compression distance: windows of words are compressed with a dictionary of toxic and one of ordinary text.
 
-Both zstandard dictionaries begin with the same part, trained on ordinary windows; each then has the segments that its
-own class uses significantly more often than the other. A window that compresses shorter with the toxic dictionary by
-some bytes counts as evidence, and a logistic fit on the counts at several thresholds calibrates them to a score.
+zstandard trains both dictionaries: a base on ordinary windows, which both have, and for each class a part trained on
+what sets its windows apart, the segments of words that its documents use significantly more often. (Trained on plain
+windows of each class, dictionaries hold little but what the classes have in common; README has the figures.) A window
+that compresses shorter with the toxic dictionary by some bytes is evidence, and a logistic fit on the counts at
+several thresholds calibrates them to a score.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import functions as F
 
 from .shared import read_table, slices, text_or_empty
 
-#: Words in a window, of two sizes; characters of a segment's least part; bytes of the common part of both dictionaries.
-WINDOWS, PART, COMMON = (8, 13), 5, 8000
+#: Words in a window, of two sizes; characters of a segment's least part; bytes of the base and of a class's own part.
+WINDOWS, PART, COMMON, OWN = (8, 13), 5, 8000, 2000
 #: Bounds of the labelled sample that is fitted: documents of each class, and their longest text in characters.
 SAMPLE = {1: 1000, 0: 2000}
 LONGEST = 20_000
+#: Windows of that sample that the base is trained on, evenly spaced.
+TRAINED_ON = 100_000
 #: Bytes saved at which windows are counted.
 MARGINS = (2, 3, 4, 5, 6, 8)
 OF_WINDOW = [*(f"m{m}" for m in MARGINS), "most", "mean", "sum"]
@@ -67,8 +71,8 @@ def _parts(text: str) -> set[str]:
     return found
 
 
-def contrast(own: list[str], other: list[str], least_z: float = 6.0, most_segments: int = 300) -> bytes:
-    """Segments of words whose parts occur in significantly more of the own texts than of the other, rarest first."""
+def distinctive(own: list[str], other: list[str], least_z: float = 6.0) -> set[str]:
+    """Parts of words that occur in significantly more of the own texts than of the other ones."""
     mine, theirs = Counter(), Counter()
     for t in own:
         mine.update(_parts(t))
@@ -83,21 +87,38 @@ def contrast(own: list[str], other: list[str], least_z: float = 6.0, most_segmen
         p = (a + b) / (n + m)
         return (a / n - b / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12) > least_z
 
-    strong = {x for x in mine if marked(x)}
-    segments: Counter = Counter()
-    for t in own:
-        for w in set(_LETTERS.findall(t.lower())):
-            w = f" {w} "
-            at = [i for i in range(len(w) - PART + 1) if w[i : i + PART] in strong]
-            while at:
-                end = at[0]
-                while at and at[0] <= end + 1:
-                    end = at.pop(0)
-                    first = end if "first" not in locals() or first is None else first
-                segments[w[first : end + PART]] += 1
-                first = None
-    best = [s for s, c in sorted(segments.items(), key=lambda x: (-x[1], x[0]))[:most_segments] if c >= 2]
-    return "".join(reversed(best)).encode()
+    return {x for x in mine if marked(x)}
+
+
+def segments(word: str, parts: set[str]) -> str:
+    """What neighbouring parts of the given ones cover of a word, its ends marked by blanks."""
+    word, out, upto = f" {word} ", "", -1
+    for i in range(len(word) - PART + 1):
+        if word[i : i + PART] in parts:
+            out += word[max(i, upto) : i + PART]
+            upto = i + PART
+    return out
+
+
+def trained(samples: list[bytes], most: int) -> bytes:
+    """The content of a dictionary trained on samples, at most a half of them; the samples where they are too few."""
+    size = min(most, sum(map(len, samples)) // 2)
+    try:
+        return zstandard.train_dictionary(size + 200, samples, k=16, d=6).as_bytes()[-size:]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-most:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The dictionaries of both classes: the base trained on ordinary windows, then each class's own part."""
+    windows = [w for t in ordinary for w in windows_of(t.lower().split(), WINDOWS[0])]
+    base = trained(windows[:: len(windows) // TRAINED_ON + 1], COMMON)
+    out = []
+    for own, other in ((toxic, ordinary), (ordinary, toxic)):
+        parts = distinctive(own, other)
+        found = ("".join(segments(w, parts) for w in _LETTERS.findall(x.decode())) for t in own for x in windows_of(t.lower().split(), WINDOWS[0]))
+        out.append(base + trained([x.encode() for x in found if x], OWN))
+    return out[0], out[1]
 
 
 def margins(docs: DataFrame, toxic: bytes, ordinary: bytes, text: str = "text") -> DataFrame:
@@ -139,8 +160,9 @@ def learning(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model | None:
     """Learn from a bounded sample of labelled rows, chosen by a hash of their ids; None if a class has none.
 
-    docs: doc_id, text; labels: doc_id, toxic. Rows whose crc32(doc_id) mod 5 is 0, null labels, empty texts and texts over LONGEST are
-    not learned from; of contrary labels of one id the toxic one counts.
+    docs: doc_id, text; labels: doc_id, toxic. Rows whose crc32(doc_id) mod 5 is 0, null labels, empty texts and texts
+    over LONGEST are not learned from; of contrary labels of one id the toxic one counts. The logistic fit is made on
+    the texts that the dictionaries were trained on.
     """
     spark, sample = docs.sparkSession, sample or SAMPLE
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learning()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
@@ -152,12 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     of = {k: [t for y, t in rows if y == k][: sample[k]] for k in (0, 1)}
     if not of[0] or not of[1]:
         return None
-    samples = [w for t in of[0] for w in windows_of(t.lower().split(), WINDOWS[0])][:100_000]
-    try:
-        common = zstandard.train_dictionary(COMMON + 300, samples).as_bytes()[-COMMON:]
-    except zstandard.ZstdError:  # too few samples to train on: the windows themselves
-        common = b" ".join(samples)[-COMMON:]
-    toxic, ordinary = common + contrast(of[1], of[0]), common + contrast(of[0], of[1])
+    toxic, ordinary = dictionaries(of[1], of[0])
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -195,4 +212,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = score(docs.withColumn("text", text_or_empty("text")), fit(docs, read_table(spark, sf_dir, "labels")))
-    return rated.select("doc_id", (~learning()).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_n_windows").cast("long").alias("n_windows"))
+    return rated.select("doc_id", F.coalesce(~learning(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_n_windows").cast("long").alias("n_windows"))
