@@ -45,7 +45,8 @@ ADMONITIONS = frozenset("alert note notice warning".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 MAIN_NAMES = frozenset("article content entry main post story".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a value in quotes may hold a >; quotes elsewhere are no quotes, nor are those that never close
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -126,10 +127,13 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
     elements: list[tuple[list[int], bool]] = []
     stack: list[tuple[str, int, bool]] = []  # name, number of the element if it stands around, else -1, holds an article
     kinds: list[int] = []
-    main = links = heads = 0
+    opened: Counter = Counter()  # open elements by name
+    around_open: list[int] = []
+    block_open: list[str] = []
+    main = 0
     pieces: list[tuple[str, bool]] = []
     tag_of_block, block_at, at, n = "", 0, 0, len(page)
-    lower = ""
+    lower, last, quotes = "", page.rfind(">"), True
 
     def flush() -> None:
         nonlocal pieces
@@ -139,15 +143,18 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
                 words = len(text.split())
                 linked = sum(len(t.split()) for t, is_link in pieces if is_link)
                 found.append((text, words, min(linked, words), 0, int(main > 0), int(tag_of_block[:1] == "h" and tag_of_block[1:].isdigit()), int(tag_of_block in ("li", "td", "th", "dd", "dt")), block_at))
-                elements.append(([s[1] for s in stack if s[1] >= 0], main > 0 or heads > 0))
+                elements.append((around_open.copy(), main > 0 or opened["h1"] > 0))
         pieces = []
 
     def pop() -> str:
-        nonlocal main, links, heads
-        name, _, m = stack.pop()
+        nonlocal main
+        name, element, m = stack.pop()
         main -= m
-        heads -= name == "h1"
-        links -= name == "a"
+        opened[name] -= 1
+        if element >= 0:
+            around_open.pop()
+        if name in BLOCK_TAGS:
+            block_open.pop()
         return name
 
     while at < n:
@@ -156,7 +163,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
             text = page[at : n if to < 0 else to]
             if not pieces:
                 block_at = at
-            pieces.append((html_lib.unescape(text) if "&" in text else text, links > 0))
+            pieces.append((html_lib.unescape(text) if "&" in text else text, opened["a"] > 0))
             if to < 0:
                 break
             at = to
@@ -168,9 +175,13 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, at, min(n, at + 20_000)) or _LOOSE.match(page, at)
+        m = None
+        if at < last and page[at + 1 : at + 2] != " ":
+            m = _TAG.match(page, at) if quotes else None
+            if not m and (m := _LOOSE.match(page, at)):
+                quotes = False  # a tag's quotes took in the rest of the page: from here on they mean nothing
         if not m:
-            pieces.append(("<", links > 0))
+            pieces.append(("<", opened["a"] > 0))
             at += 1
             continue
         closing, name, attributes = m[1], m[2].lower(), m[3]
@@ -186,20 +197,19 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
         if name in BLOCK_TAGS:
             flush()
         elif name in ("br", "mtd"):
-            pieces.append((" ", links > 0))
+            pieces.append((" ", opened["a"] > 0))
         if closing:
-            if any(s[0] == name for s in reversed(stack)):
-                while pop() != name:
-                    pass
-            tag_of_block = next((s[0] for s in reversed(stack) if s[0] in BLOCK_TAGS), "")
+            while opened[name] and pop() != name:
+                pass
+            tag_of_block = block_open[-1] if block_open else ""
             continue
         if name in VOID_TAGS or attributes.endswith("/"):
             continue
-        if name in BLOCK_TAGS and any(s[0] == "p" for s in stack[-8:]):  # a block ends an open paragraph
+        if name in BLOCK_TAGS and opened["p"]:  # a block ends an open paragraph
             while pop() != "p":
                 pass
         if name == "body":
-            while any(s[0] == "head" for s in stack):
+            while opened["head"]:
                 pop()
         if name in ("a", "li", "option", "dt", "dd", "tr") and stack and stack[-1][0] == name:
             pop()
@@ -208,11 +218,12 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, int, int, int, in
             a = 0  # an article's own head
         stack.append((name, len(kinds) if a else -1, mn))
         if a:
+            around_open.append(len(kinds))
             kinds.append(a)
         main += mn
-        heads += name == "h1"
-        links += name == "a"
+        opened[name] += 1
         if name in BLOCK_TAGS:
+            block_open.append(name)
             tag_of_block = name
     flush()
     held = _holding_all([(b, *e) for b, e in zip(found, elements, strict=True)], kinds) if BY_NAME in kinds else set()
@@ -224,7 +235,8 @@ _KINDS = "struct<text:string,words:double,links:double,words_before:double,links
 
 def with_neighbours(found: list) -> list[dict]:
     density = [b[2] / b[1] for b in found]
-    has_main = float(any(b[4] and not b[3] for b in found))
+    free = [b for b in found if not b[3]]
+    has_main = float(2 * sum(b[1] for b in free if b[4]) > sum(b[1] for b in free))  # most of what isn't around
     out = []
     for i, b in enumerate(found):
         before, after = i - 1 if i else None, i + 1 if i + 1 < len(found) else None
@@ -268,24 +280,26 @@ def labelled(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{f} double" for f in FEATURES) + ", label double")
 
 
-def train(spark: SparkSession, depth: int = 6):
-    """A function from a block's struct to a boolean column: the fitted tree as nested comparisons."""
+def fitted(spark: SparkSession, depth: int = 8):
+    """The tree that Spark fits to the table: True or False, or (feature, threshold, tree up to it, tree beyond it)."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled(spark)).coalesce(1)
     model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, minInstancesPerNode=2, seed=1).fit(table)
-    return decider(model._call_java("rootNode"))
-
 
-def decider(node):
     def of(node) -> object:
         if node.subtreeDepth() == 0:
             return bool(node.prediction())
         split = node.split()
         return FEATURES[split.featureIndex()], split.threshold(), of(node.leftChild()), of(node.rightChild())
 
-    tree = of(node)
+    return of(model._call_java("rootNode"))
+
+
+def train(spark: SparkSession, depth: int = 8):
+    """A function from a block's struct to a boolean column: the fitted tree as nested comparisons."""
+    tree = fitted(spark, depth)
 
     def column(block: Column, t: object = tree) -> Column:
         if isinstance(t, bool):
@@ -299,14 +313,17 @@ def decider(node):
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without html, with _text: the blocks of main text joined by line feeds, empty if there are none.
 
+    A column named _text is replaced.
+
     White space inside a block is one blank, character references are decoded. Null and empty pages give an empty text;
     unclosed tags end with what surrounds them, an unclosed comment or script with the page; text without any tag is a
     block; rows that repeat are read alike, and other columns pass unread.
     """
     is_main = train(pages.sparkSession)
-    cut = with_blocks(pages, html)
+    others = [c for c in pages.columns if c not in (html, "_text")]
+    cut = with_blocks(pages.select(F.struct(*others).alias("_row"), F.col(html).alias("_html")), "_html")
     text = F.array_join(F.transform(F.filter("_blocks", lambda b: is_main(b)), lambda b: b["text"]), "\n")
-    return cut.withColumn("_text", F.coalesce(text, F.lit(""))).drop("_blocks")
+    return cut.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != html and c != "_text"], F.coalesce(text, F.lit("")).alias("_text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,59 @@ def _p(*texts: str) -> str:
     return "".join(f"<p>{t}</p>" for t in texts)
 
 
+_LINES = ["Home", "The valley post", "Monday", "Sign in", "About us", "Terms", "Printed weekly", "Call 555", "Back to top", "Next page", "Older", "All rights reserved"]
+_TITLES = ["Fields under water", "A box of old letters", "What the second part of the study says", "The mill is for sale again", "How the road came to be empty"]
+
+
+def _unnamed(n: int) -> list[tuple[str, int]]:
+    """A page of which neither tags nor names tell what is what: only its words, its links and what stands beside them do."""
+    box, line = (("div", "div"), ("p", "p"), ("td", "td"), ("section", "p"), ("div", "span"))[n % 5]
+    row = lambda *x: "".join(f"<{box}>{t}</{box}>" for t in x)
+    link = lambda t: f"<a href='/{len(t)}'>{t}</a>"
+    short, long = _SHORT[n % 5 :] + _SHORT[: n % 5], _LONG[n % 4 :] + _LONG[: n % 4]
+    at = 3 * n % len(_LINES)
+    lines = (_LINES[at:] + _LINES[:at])[: 3 + n % 3]
+    top = row(*(link(x) for x in lines)) if n % 3 else row(" | ".join(link(x) for x in lines))
+    if n % 2:
+        top += row(lines[0], lines[1])
+    head = "" if n % 7 == 3 else f"<h1>{_TITLES[n % 5]}</h1>" if n % 4 else row(_TITLES[n % 5])
+    if not head:  # a line of links directly before the text
+        top += row(" | ".join(link(x) for x in lines * (1 + 3 * (n % 3))))
+    body = [long[0], f"{long[1]} {link('the map')} {long[2]}" if n % 2 else f"{link(long[1][:70])}{long[1][70:]} {link(long[2][:20])}{long[2][20:]}", short[0] if n % 2 else long[3], long[2], f"{link(long[3][:80])}{long[3][80:]}" if n % 3 else f"{short[2]} {short[3]} {short[1]}", long[1]][: 4 + n % 3]
+    if n % 4 == 1:
+        body[2:2] = [_TITLES[n % 5] + ", as it was.", short[2], short[1]]
+    if n % 3 == 2:
+        body += [_TITLES[(n + 2) % 5] + ", they said."]
+    more = row(*(link(t) for t in _TITLES[n % 3 : n % 3 + 3])) if n % 2 else row(*(f"{link(t)} {lines[0]}" for t in _TITLES[n % 2 : n % 2 + 3]))
+    if n % 3 == 1:
+        more += row(*(link(f"{t}, and {_TITLES[n % 5].lower()}, with {_TITLES[(n + 1) % 5].lower()}") for t in _TITLES[:2]))
+    if n % 5 == 2:
+        more += row(" ".join(link(x) for x in _LINES * 2))
+    foot = row(*lines[: 2 + n % 2])
+    if n % 4 > 1:  # what stands around is named, the article isn't
+        top = f"<nav>{top}</nav><div class='ad'>{short[3] if n % 3 else long[3]}</div>" if n % 2 else f"<div id='cookie-notice'>{_NOTICE}</div><header>{top}</header>"
+        more = f"<div class='ad'>{(short[2], lines[0], long[0])[n % 3]}</div>" + (f"<aside>{more}</aside>" if n % 3 else "")
+        foot = f"<footer>{(_FINE_PRINT, '&copy; The Post of the valley, &middot; ' + short[2], lines[1])[n % 3]}</footer>"
+    return [("<body>" + top, 0), (head + "".join(f"<{line}>{t}</{line}><hr>" if line == "span" else f"<{line}>{t}</{line}>" for t in body), 1), (more + foot, 0)]
+
+
+def _sources(n: int) -> list[tuple[str, int]]:
+    """A page whose article has linked headings, paragraphs and lists, and short lines side by side."""
+    opened, closed = (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='entry-content'>", "</div>"), ("<div role='main'>", "</div>"))[n % 4]
+    link = lambda t: f"<a href='/{len(t)}'>{t}</a>"
+    title = f"<h1>{link(_TITLES[n % 5]) if n % 2 else _TITLES[n % 5]}</h1>"
+    sources = _p(link(_LONG[n % 4]), _SHORT[4], _SHORT[n % 3]) + "<ul>" + "".join(f"<li>{link(t)}</li>" for t in _TITLES[n % 3 :]) + "</ul>" + _p(link("Map"), _SHORT[(n + 1) % 4], *[_SHORT[4], _SHORT[0], _SHORT[1]][: n % 4])
+    side = f"<aside><p>{_LONG[(n + 1) % 4]}</p>{_menu('older', 'newer')}</aside>" if n % 3 else f"<div class='sidebar'>{_p(link(_TITLES[1]), _LONG[0])}</div>"
+    foot = (f"<footer><p>{_FINE_PRINT}</p>{_menu('terms', 'contact')}</footer>", "<footer>Imprint</footer>", "<div>Imprint</div>")[n // 3 % 3]
+    after = "" if n % 5 > 2 else foot if n % 5 else side + foot
+    top = f"<div>{_NOTICE}</div>" if n % 4 == 1 else f"<div>{_TITLES[n % 5]}, now on sale.</div>" if n % 4 == 3 else ""
+    after += f"<div>{_REMARK}</div>" if n % 6 == 2 else f"<p>{_FINE_PRINT}</p>" if n % 6 == 5 else ""
+    return [("<body><nav>" + _menu(*_LINES[n % 5 : n % 5 + 4]) + "</nav>" + top, 0), (opened + title + _p(_LONG[(n + 2) % 4]) + sources + closed, 1), (after, 0)]
+
+
 PAGES: list[list[tuple[str, int]]] = [
+    *(_sources(n) for n in range(30)),
+    *(_unnamed(n) for n in range(40)),
     [
         ("<html><head><title>Floods</title></head><body><nav>" + _menu("home", "news", "sport", "contact") + "</nav>", 0),
         ('<div class="ad">Buy three lamps and pay for two.</div>', 0),
