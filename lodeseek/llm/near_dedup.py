@@ -21,11 +21,12 @@ from .shared import dropped, read_table, slices, stored, text_column, text_or_em
 from .wordbytes import Words, mix64, powers, sequence_digest, windows, words_of
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 25, 5, 0.8
-#: A pair whose signatures agree on a smaller part isn't verified: at 0.8 that is four standard deviations away.
+#: A pair whose signatures agree on a smaller part isn't verified: at 0.8 that is four standard deviations away. With 0
+#: every pair that shares a band is.
 HOPEFUL = 0.66
 #: Pairs of bands for each of their rows beyond which pivots are taken first; rows beyond which a band is compared in
-#: blocks, and those of a chunk.
-PAIRS_A_ROW, LARGE, CHUNK = 4, 64, 1000
+#: blocks; rows of a chunk, and bytes of its texts.
+PAIRS_A_ROW, LARGE, CHUNK, CHUNK_BYTES = 4, 64, 1000, 4 << 20
 
 
 def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,7 +140,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _hopeful_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
+def _hopeful_pairs(rows: DataFrame, bands: DataFrame, hopeful: float) -> DataFrame:
     """(a, b): pairs of different classes that share a band and agree on enough of their sketches, once each.
 
     The conditions stand in the join, so a pair that fails isn't made into a row; a pair is taken in the smallest key
@@ -151,23 +152,33 @@ def _hopeful_pairs(rows: DataFrame, bands: DataFrame) -> DataFrame:
     agreeing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
     same = (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b"))
     first = F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: F.when(x == y, x)), lambda k: k.isNotNull())
-    hopeful = (agreeing >= int(HOPEFUL * BANDS * ROWS)) & (F.col("key") == F.array_min(first))
-    return left.join(right.hint("merge"), same & hopeful).select("a", "b")
+    enough = (agreeing >= int(hopeful * BANDS * ROWS)) & (F.col("key") == F.array_min(first))
+    return left.join(right.hint("merge"), same & enough).select("a", "b")
 
 
-def _block_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _block_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, least: float, hopeful: float) -> DataFrame:
     """(a, b, similarity): verified links that join the classes within large bands, found in blocks of their rows.
 
-    A band is cut into chunks, and each pair of chunks is one group of bounded size. There the sketches are compared as
-    matrices, and pairs in the smallest key they share are verified from the likeliest on, unless links found before
-    have joined their classes: so no pair becomes a row unless it is a link that joins two classes.
+    The rows of a band's largest class and its other rows are cut into chunks, by rows and by bytes. Each chunk of the
+    others meets each chunk of either kind, as one group of bounded size; two chunks of the largest class never meet.
+    There the sketches are compared as matrices, and pairs in the smallest key they share are verified from the
+    likeliest on, unless links found before have joined their classes: so no pair becomes a row unless it is a link
+    that joins two classes.
     """
-    n_chunks = F.ceil(F.col("rows") / CHUNK).cast("int")
-    own = rows.join(bands.select("key", n_chunks.alias("n_chunks")).hint("merge"), "key").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("other")
-    dealt = own.select("key", "rep", "class", "keys", "sketch", "text", "chunk", other)
-    dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other")
+    own = rows.join(bands.select("key").hint("merge"), "key", "left_semi").join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+    own = stored(own, "large")
+    sizes = own.groupBy("key", "class").agg(F.count("*").alias("size"), F.sum(F.octet_length("text")).alias("bytes"))
+    plan = sizes.groupBy("key").agg(F.max_by(F.struct("class", "size", "bytes"), F.struct("size", -F.col("class"))).alias("top"), F.sum("size").alias("size"), F.sum("bytes").alias("bytes"))
+    chunks = lambda size, of: F.greatest(F.ceil(size / CHUNK), F.ceil(of / CHUNK_BYTES), F.lit(1)).cast("int")
+    plan = plan.select("key", F.col("top.class").alias("largest"), chunks(F.col("top.size"), F.col("top.bytes")).alias("n_largest"), chunks(F.col("size") - F.col("top.size"), F.col("bytes") - F.col("top.bytes")).alias("n_others"))
+    plan = stored(plan, "chunks")
+    own = own.join(plan.hint("merge"), "key").withColumn("other", F.col("class") != F.col("largest"))
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.when(F.col("other"), F.col("n_others")).otherwise(F.col("n_largest"))).cast("int"))
+    # chunks of the others are 0, 1, ...; those of the largest class -1, -2, ...
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    meets = F.when(F.col("other"), F.concat(upto(F.col("n_others")), F.transform(upto(F.col("n_largest")), lambda x: -1 - x))).otherwise(upto(F.col("n_others")))
+    dealt = own.withColumn("chunk", F.when(F.col("other"), F.col("chunk")).otherwise(-1 - F.col("chunk"))).select("key", "rep", "class", "keys", "sketch", "text", "chunk", F.explode(meets).alias("meets"))
+    dealt = dealt.withColumn("i", F.least("chunk", "meets")).withColumn("j", F.greatest("chunk", "meets")).drop("meets")
 
     def run(block):
         import pandas as pd
@@ -183,8 +194,8 @@ def _block_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, least: flo
         agreeing = np.zeros((len(left), len(right)), np.uint8)
         for c in range(sketch.shape[1]):
             agreeing += sketch[left, c][:, None] == sketch[right, c][None, :]
-        hopeful = (agreeing >= int(HOPEFUL * BANDS * ROWS)) & (parts[left][:, None] != parts[right][None, :])
-        x, y = np.nonzero(hopeful & (ids[left][:, None] < ids[right][None, :])) if i == j else np.nonzero(hopeful)
+        enough = (agreeing >= int(hopeful * BANDS * ROWS)) & (parts[left][:, None] != parts[right][None, :])
+        x, y = np.nonzero(enough & (ids[left][:, None] < ids[right][None, :])) if i == j else np.nonzero(enough)
         order = np.argsort(-agreeing[x, y].astype(int), kind="stable")
         x, y = left[x[order]], right[y[order]]
         class_of = {c: c for c in parts}
@@ -210,7 +221,7 @@ def _block_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, least: flo
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, hopeful: float = HOPEFUL) -> DataFrame:
     """(doc_id, class_id): one row for each distinct doc_id. class_id: the smallest id that links reach.
 
     Texts with equal sequences of words are one class from the start, stood for by the smallest id. Links aren't
@@ -220,7 +231,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Where bands have many pairs for their rows, all members of a band are first compared with the one that meets most
     others: what is linked with it is in its class, and only pairs of members in different classes remain. Of these,
-    all that share a band are compared by their sketches, and by their whole texts where the sketches leave hope.
+    all that share a band are compared by their sketches, and by their whole texts where the sketches leave hope, which
+    hopeful=0 leaves to all.
     """
     spark = docs.sparkSession
     sketches = stored(signatures(docs.where(F.col(doc_id).isNotNull()), doc_id, text), "sketches")
@@ -252,10 +264,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         in_blocks = None
         if last:
             large = bands.where(F.col("rows") > LARGE)
-            pairs = _hopeful_pairs(rows, bands.where(F.col("rows") <= LARGE))
-            in_blocks = stored(_block_links(rows, large, texts, least), "links") if large.limit(1).count() else None
+            pairs = _hopeful_pairs(rows, bands.where(F.col("rows") <= LARGE), hopeful)
+            in_blocks = stored(_block_links(rows, large, texts, least, hopeful), "links") if large.limit(1).count() else None
         else:
-            pivot = rows.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"))
+            pivot = stored(rows.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot")), "pivots")
             pairs = pivot.join(bands.select("key").hint("merge"), "key", "left_semi").join(rows.select("key", "rep").hint("merge"), "key").where("pivot <> rep")
             pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
         if tested is not None:
@@ -271,7 +283,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = stored(rows, "rows")
     if links is None:
         classes = spark.createDataFrame([], "node long, component long")
-    of_rep = classes.withColumnRenamed("node", "rep")
+    of_rep = stored(classes.withColumnRenamed("node", "rep"), "classes")  # a plain scan, so that Spark splits a rep that many share
+    for table in (grouped, degrees, texts, rows):
+        dropped(table)
     everyone = sketches.select("doc_id").distinct().join(members.hint("merge"), "doc_id", "left")
     return everyone.join(of_rep.hint("merge"), "rep", "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"))
 

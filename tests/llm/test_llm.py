@@ -422,7 +422,7 @@ def test_near_duplicates_are_found(spark):
         for k in rng.sample(range(len(w)), rng.randrange(6)):
             w[k] = f"x{i}"
         docs.append((len(docs), " ".join(w)))
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
     sets = []
     for _, t in docs:
         w = words(t)
@@ -444,7 +444,28 @@ def test_near_duplicates_are_found(spark):
             if p >= 0.8:
                 a, b = sorted((top(i), top(j)))
                 parent[b] = a
-    assert got == {i: top(i) for i in range(len(docs))}
+    for hopeful in (near_dedup.HOPEFUL, 0.0):
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, hopeful=hopeful).collect()}
+        assert got == {i: top(i) for i in range(len(docs))}
+
+
+def test_large_bands_in_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 20)
+    rng = random.Random(29)
+    base = sentence(rng, 300).split()
+    docs = []
+    for i in range(120):  # most are near each other, some only near a text that is far from the rest
+        w = list(base)
+        for k in range(i % 40, 300, 40):
+            w[k] = f"y{i % 7}"
+        docs.append((i, " ".join(w)))
+    docs.append((500, "wörd " * 20_000 + docs[0][1]))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    monkeypatch.setattr(near_dedup, "LARGE", 1)
+    assert want == {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} and want[500] == 500
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 5000)
+    assert want == {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
 
 
 def test_rows_of_a_group_do_not_depend_on_other_groups(spark):
