@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,21 +135,29 @@ def rolled_up(steps: Column) -> Column:
 
 
 def resolve_paths(wanted: DataFrame, tasks: DataFrame, objects: DataFrame, papers: DataFrame) -> DataFrame:
-    """(key, path, via): a task's raw path by id, md5 or batch, else the first object below the key, else below the paper's md5."""
+    """(key, path, via): a task's raw path by id, md5, the beginning of its md5 or batch, else the first object below the key, else below the paper's md5.
+
+    Of several tasks that a key fits the one with the least id counts.
+    """
     first = lambda c: tasks.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("key")).agg(F.min_by("raw_path", "id").alias(f"by_{c}"))
     below = objects.groupBy(F.split("path", "/")[0].alias("key")).agg(F.min("path").alias("by_object"))
     via_paper = papers.select(F.col("doc_id").cast("string").alias("key"), "md5").join(below.select(F.col("key").alias("md5"), F.col("by_object").alias("by_paper")), "md5").groupBy("key").agg(F.min("by_paper").alias("by_paper"))
     out = wanted.select("key").distinct()
-    ways = ["by_id", "by_md5", "by_batch_id", "by_object", "by_paper"]
-    for t in (first("id"), first("md5"), first("batch_id"), below, via_paper):
-        out = out.join(t, "key", "left")
+    lengths = [r[0] for r in out.select(F.length("key").alias("n")).where("n between 1 and 31").distinct().orderBy("n").collect()]  # at most 31
+    begins = tasks.where("md5 is not null").select("id", "raw_path", F.explode(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.substring("md5", F.lit(1), n))).alias("key"))
+    begins = begins.groupBy("key").agg(F.min_by("raw_path", "id").alias("by_prefix"))
+    ways = ["by_id", "by_md5", "by_prefix", "by_batch_id", "by_object", "by_paper"]
+    for t in (first("id"), first("md5"), begins, first("batch_id"), below, via_paper):
+        out = out.join(t.hint("merge"), "key", "left")
     return out.select("key", F.coalesce(*ways).alias("path"), F.coalesce(*[F.when(F.col(w).isNotNull(), F.lit(w)) for w in ways]).alias("via"))
 
 
-FATAL = "(?i)(token|auth|quota|not found|expired)"
+# Parts of messages that say a batch can't be continued.
+FATAL = ["找不到任务", "没有权限", "Token 错误", "Token 过期"]
 
 
 def batch_failures(batches: DataFrame, errors: DataFrame) -> DataFrame:
     """(batch_id, md5, status, error_msg): a fatal error of a batch fails each of its documents, which are rows (batch_id, md5)."""
-    fatal = errors.where(F.col("message").rlike(FATAL)).groupBy("batch_id").agg(F.min("message").alias("error_msg"))
-    return batches.select("batch_id", "md5").join(fatal, "batch_id").withColumn("status", F.lit("failed")).select("batch_id", "md5", "status", "error_msg")
+    is_fatal = reduce(lambda x, y: x | y, [F.col("message").contains(m) for m in FATAL])
+    fatal = errors.where(is_fatal).groupBy("batch_id").agg(F.min("message").alias("error_msg"))
+    return batches.select("batch_id", "md5").join(fatal.hint("merge"), "batch_id").withColumn("status", F.lit("failed")).select("batch_id", "md5", "status", "error_msg")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import dot, doubles, norm, unit
+from ..functions.vectors import doubles, norm, unit
+from ..sources.shared import stored
 from .ranking import top_k
 
 #: Query vectors of one pass; each pass broadcasts so many at most.
@@ -26,23 +32,78 @@ def wrong_dimension(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.where(F.col("embedding").isNull() | (F.size("embedding") != dim))
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine, rounded to 6 places, ties by chunk_id.
+QUERY_ROW = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("chunk_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
-    queries: query_id, embedding. They are packed into one row of bounded size for each pass, which goes to every
-    partition of the vectors; vectors are read once a pass and never shuffled whole.
-    """
-    asked = prepared(queries.withColumnRenamed("query_id", "chunk_id")).withColumnRenamed("chunk_id", "query_id")
-    n_passes = max(1, -(-asked.count() // QUERIES_A_PASS))
+
+class Best:
+    """The k best rows of each query so far: scores in descending order, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.ids, self.scores = k, [np.zeros(0, np.int64)] * n, [np.zeros(0)] * n
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(self.scores[q]) == self.k:
+            hopeful = scores >= self.scores[q][-1]
+            ids, scores = ids[hopeful], scores[hopeful]
+        if len(ids):
+            ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
+            at = np.lexsort((ids, -scores))[: self.k]
+            self.ids[q], self.scores[q] = ids[at], scores[at]
+
+
+def _passes(queries: DataFrame) -> list[DataFrame]:
+    """The queries in passes of a bounded number."""
+    n_passes = max(1, -(-queries.count() // QUERIES_A_PASS))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_passes)) == i) for i in range(n_passes)]
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows (chunk_id, vector, norm, cell) of each query (query_id, vector, norm, cells), within its cells."""
     found = None
-    for i in range(n_passes):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_passes)) == i).select("query_id", F.col("vector").alias("qv"), F.col("norm").alias("qn"))
-        packed = F.broadcast(part.agg(F.collect_list(F.struct("query_id", "qv", "qn")).alias("qs")))
-        rows = prepared(vectors).join(packed, F.lit(True)).select("chunk_id", "vector", "norm", F.explode("qs").alias("q"))
-        hits = rows.select(F.col("q.query_id").alias("query_id"), "chunk_id", F.round(dot(F.col("vector"), F.col("q.qv")) / (F.col("norm") * F.col("q.qn")), 6).alias("score"))
-        hits = top_k(hits, k)
+    for asked in _passes(queries):
+        got = asked.select("query_id", "vector", "norm", "cells").collect()  # QUERIES_A_PASS on average
+        by_cell: dict[tuple, list[int]] = {}
+        for i, q in enumerate(got):
+            for c in q["cells"]:
+                by_cell.setdefault((len(q["vector"]), c), []).append(i)
+        table = {at: (np.array(of), np.array([got[i]["vector"] for i in of]) / np.array([got[i]["norm"] for i in of])[:, None]) for at, of in by_cell.items()}
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([q["query_id"] for q in got], np.int64), table))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, of = shared.value
+            best = Best(len(names), k)
+            for batch in batches:
+                ids, norms, cells = (batch.column(c).to_numpy() for c in (0, 2, 3))
+                sizes = np.diff(batch.column(1).offsets.to_numpy())
+                values, first = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+                for dim, cell in set(zip(sizes.tolist(), cells.tolist(), strict=True)) & set(of):
+                    at = np.flatnonzero((sizes == dim) & (cells == cell))
+                    who, matrix = of[dim, cell]
+                    vectors = values[first[at][:, None] + np.arange(dim)[None, :]] / norms[at][:, None]
+                    scores = np.round(matrix @ vectors.T, 6)
+                    for q, s in zip(who, scores, strict=True):
+                        best.add(q, ids[at], s)
+            n = [len(x) for x in best.ids]
+            if sum(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=QUERY_ROW.names)
+
+        hits = rows.select(F.col("chunk_id").cast("long"), "vector", "norm", "cell").mapInArrow(run, QUERY_ROW)
         found = hits if found is None else found.unionByName(hits)
-    return found
+    return stored(top_k(found, k), "hits")  # k rows a query, which joins with themselves read again
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return prepared(queries.withColumnRenamed("query_id", "chunk_id")).withColumnRenamed("chunk_id", "query_id")
+
+
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cosine, rounded to 6 places, ties by chunk_id; ids are whole numbers.
+
+    queries: query_id, embedding. A pass of bounded size goes to every partition of the vectors, which multiplies
+    matrices and keeps the best k of each query; vectors are read once a pass and never shuffled. Only vectors of a
+    query's own length are compared with it.
+    """
+    return _search(prepared(vectors).withColumn("cell", F.lit(0)), _asked(queries).withColumn("cells", F.array(F.lit(0))), k)
 
 
 def fit_cells(vectors: DataFrame, n_cells: int = 128, sample: int = 100_000, seed: int = 1) -> KMeansModel:
@@ -54,16 +115,15 @@ def fit_cells(vectors: DataFrame, n_cells: int = 128, sample: int = 100_000, see
 
 
 def with_cell(vectors: DataFrame, model: KMeansModel) -> DataFrame:
+    """(chunk_id, vector, norm, cell): worth storing where more than one batch of queries comes."""
     rows = prepared(vectors).withColumn("features", array_to_vector(unit(F.col("vector"))))
     return model.transform(rows).select("chunk_id", "vector", "norm", F.col("prediction").alias("cell"))
 
 
-def cell_top_k(queries: DataFrame, vectors: DataFrame, model: KMeansModel, k: int = 200, n_probe: int = 16) -> DataFrame:
-    """As exact_top_k, over the n_probe cells nearest to each query: an equi-join on the cell."""
-    centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    asked = prepared(queries.withColumnRenamed("query_id", "chunk_id")).select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("qv"), F.col("norm").alias("qn"))
-    near = asked.join(F.broadcast(centres), F.lit(True))  # a centre a cell: a bounded table
-    near = near.withColumn("_d", F.aggregate(F.zip_with(unit(F.col("qv")), "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    probes = top_k(near, n_probe, order=[F.asc("_d"), F.asc("cell")], rank="probe").select("query_id", "qv", "qn", "cell")
-    rows = with_cell(vectors, model).join(probes.hint("merge"), "cell")
-    return top_k(rows.select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("qv")) / (F.col("norm") * F.col("qn")), 6).alias("score")), k)
+def cell_top_k(queries: DataFrame, rows: DataFrame, model: KMeansModel, k: int = 200, n_probe: int = 16) -> DataFrame:
+    """As exact_top_k, over the n_probe cells nearest to each query. rows: with_cell's. All cells are an exact search."""
+    centres = np.array(model.clusterCenters())
+    asked = _asked(queries)
+    apart = F.array(*[F.struct(F.aggregate(F.zip_with(unit(F.col("vector")), F.lit(c.tolist()), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
+    near = F.slice(F.array_sort(apart), 1, n_probe)
+    return _search(rows, asked.withColumn("cells", F.transform(near, lambda x: x["cell"])), k)

@@ -73,10 +73,12 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members named after the pages' addresses."""
+    """Bundles of ten documents, whose members' names follow from language and source."""
     docs = table(spark, sf_dir, "documents")
-    name = F.when(F.col("lang") == "en", "full.md").when(F.col("lang") == "fr", F.concat("source", F.lit(".PNG"))).when(F.col("lang") == "de", F.concat("source", F.lit(".json"))).otherwise(F.concat(F.lit("."), "source"))
-    return files.bundle_members(docs.select(F.concat(F.lit("out/"), "doc_id", F.lit("/"), name).alias("path"))).groupBy("kind", "content_type").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
+    ext = F.when(F.col("source") == "src0", ".bmp").when(F.col("source") == "src1", ".PNG").when(F.col("source") == "src2", ".svg").when(F.col("source") == "src3", ".jpeg").otherwise(".png")
+    name = F.when(F.col("lang") == "en", "full.md").when(F.col("lang") == "fr", F.concat("source", ext)).when(F.col("lang") == "de", F.concat("source", F.lit(".json"))).otherwise(F.concat(F.lit("."), "source"))
+    members = docs.select(F.floor(F.col("doc_id") / 10).alias("bundle"), F.col("doc_id").alias("seq"), F.concat(F.lit("out/"), "doc_id", F.lit("/"), name).alias("path"))
+    return files.bundle_members(members).groupBy("kind", "content_type").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
 
 
 def folder_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +165,13 @@ def path_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = tasks(spark, sf_dir).where("status = 'parsed'")
     papers = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"))
     wanted = papers.select(F.col("doc_id").cast("string").alias("key")).union(papers.select("md5")).union(papers.select(F.concat(F.lit("b"), F.floor(F.col("doc_id") / 10).cast("string"))))
+    wanted = wanted.union(papers.select(F.substring("md5", 1, 8)))
     return ledger.resolve_paths(wanted, known, objects(spark, sf_dir), papers)
 
 
 def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("batch_id"), F.md5("text").alias("md5"))
-    errors = table(spark, sf_dir, "events").select(F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("batch_id"), F.concat(F.when(F.col("event_type") == "error", "Token expired: ").otherwise("seen: "), F.col("props")).alias("message"))
+    errors = table(spark, sf_dir, "events").select(F.concat(F.lit("src"), F.col("user_id").cast("string")).alias("batch_id"), F.concat(F.when(F.col("event_type") == "error", "Token 过期: ").when(F.col("event_type") == "signup", "HTTP 404 找不到任务 ").when(F.col("event_type") == "view", "Token expired, not found: ").otherwise("quota: "), F.col("props")).alias("message"))
     return ledger.batch_failures(rows, errors)
 
 
@@ -217,7 +220,9 @@ ORACLES = {
     "export_outcomes": "select case when lang = 'fr' then 'no_uuid' when doc_id in (select doc_id from labels) then 'exists' else 'uploaded' end as outcome, count(*) as n from documents group by 1",
     "output_names": "select doc_id, case when lang = 'en' then 'u' || doc_id else doc_id || '_' || substr(md5(text), 1, 8) end || '.json' as name from documents",
     "quarantine": "select event_id, event_type <> 'error' as valid, case when event_type <> 'error' then (props->>'k')::bigint end as k from events",
-    "bundle_kinds": "select case lang when 'en' then 'full_md' when 'fr' then 'image' else 'other' end as kind, case lang when 'en' then 'text/markdown' when 'fr' then 'image/png' when 'de' then 'application/json' else 'application/octet-stream' end as content_type, count(*) as n, count(distinct case when lang = 'en' then '' else source end) as n_names from documents group by 1, 2",
+    "bundle_kinds": r"""with m as (select doc_id // 10 as bundle, doc_id, case lang when 'en' then 'full.md' when 'fr' then source || case source when 'src0' then '.bmp' when 'src1' then '.PNG' when 'src2' then '.svg' when 'src3' then '.jpeg' else '.png' end when 'de' then source || '.json' else '.' || source end as name from documents),
+        k as (select *, case when name = 'full.md' then case when doc_id = max(doc_id) filter (name = 'full.md') over (partition by bundle) then 'full_md' else 'superseded' end when regexp_matches(name, '\.(jpg|jpeg|png|webp|gif|bmp)$') then 'image' else 'other' end as kind from m)
+        select kind, case when name = 'full.md' then 'text/markdown' when kind = 'image' then case when name like '%.bmp' then 'image/bmp' when name like '%.jpeg' then 'image/jpeg' else 'image/png' end else 'application/octet-stream' end as content_type, count(*) as n, count(distinct name) as n_names from k group by 1, 2""",
     "folder_inventory": f"with {_TASKS} select bucket, count(distinct string_split(path, '/')[1]) as n_folders, count(*) as n_objects from o group by bucket",
     "parsed_ids": f"with {_TASKS} select distinct string_split(path, '/')[1] as md5 from o",
     "dedup_decision": f"""with {_TASKS}, k as (select md5, max(status) as status, max(kb_id) as kb_id from t where status <> 'pending' group by md5), a as (select distinct string_split(path, '/')[1] as md5 from o),
@@ -240,12 +245,14 @@ ORACLES = {
     "step_rollup": f"""with {_STEPS_SQL} select doc_id, case when 'failed' in (chunking, embedding, es_write) then 'failed' when 'running' in (chunking, embedding, es_write) then 'running' when chunking = 'done' and embedding = 'done' and es_write = 'done' then 'done' end as state
         from (select doc_id, coalesce(chunking, '') as chunking, coalesce(embedding, '') as embedding, coalesce(es_write, '') as es_write from st)""",
     "path_resolution": f"""with {_TASKS}, p as (select doc_id, md5(text) as md5 from documents), k as (select * from t where status = 'parsed'),
-        w as (select doc_id::varchar as key from p union select md5 from p union select 'b' || (doc_id // 10) from p),
+        w as (select doc_id::varchar as key from p union select md5 from p union select 'b' || (doc_id // 10) from p union select left(md5, 8) from p),
+        x as (select w.key, arg_min(raw_path, id) as p from w join k on starts_with(k.md5, w.key) and length(w.key) < 32 group by 1),
         i as (select id::varchar as key, raw_path as p from k), m as (select md5 as key, arg_min(raw_path, id) as p from k group by 1), b as (select batch_id as key, arg_min(raw_path, id) as p from k group by 1),
         ob as (select string_split(path, '/')[1] as key, min(path) as p from o group by 1), pa as (select doc_id::varchar as key, ob.p from p join ob on ob.key = p.md5)
-        select w.key, coalesce(i.p, m.p, b.p, ob.p, pa.p) as path, case when i.p is not null then 'by_id' when m.p is not null then 'by_md5' when b.p is not null then 'by_batch_id' when ob.p is not null then 'by_object' when pa.p is not null then 'by_paper' end as via
-        from w left join i on i.key = w.key left join m on m.key = w.key left join b on b.key = w.key left join ob on ob.key = w.key left join pa on pa.key = w.key""",
-    "batch_failures": "with e as (select 'src' || user_id as batch_id, min('Token expired: ' || props) as error_msg from events where event_type = 'error' group by 1) select source as batch_id, md5(text) as md5, 'failed' as status, error_msg from documents join e on e.batch_id = source",
+        select w.key, coalesce(i.p, m.p, x.p, b.p, ob.p, pa.p) as path, case when i.p is not null then 'by_id' when m.p is not null then 'by_md5' when x.p is not null then 'by_prefix' when b.p is not null then 'by_batch_id' when ob.p is not null then 'by_object' when pa.p is not null then 'by_paper' end as via
+        from w left join i on i.key = w.key left join m on m.key = w.key left join x on x.key = w.key left join b on b.key = w.key left join ob on ob.key = w.key left join pa on pa.key = w.key""",
+    "batch_failures": """with e as (select 'src' || user_id as batch_id, min(case event_type when 'error' then 'Token 过期: ' else 'HTTP 404 找不到任务 ' end || props) as error_msg from events where event_type in ('error', 'signup') group by 1)
+        select source as batch_id, md5(text) as md5, 'failed' as status, error_msg from documents join e on e.batch_id = source""",
     "task_state": """with r as (select user_id || '-' || ts::date as md5, case event_type when 'purchase' then 'done' when 'error' then 'failed' else 'running' end as state, props, ts, event_id from events),
         f as (select md5, min(ts) as t0, max(ts) as last from r group by md5),
         z as (select md5, arg_min(state, (ts, event_id)) as state, arg_min(props, (ts, event_id)) as props, min(ts) as ts from r where state <> 'running' group by md5),

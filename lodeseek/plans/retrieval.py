@@ -8,20 +8,47 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import answers, plugins, ranking, text_index, vector_index
 from ..sources import tables
+from ..sources.shared import stored
 
 FIELDS = {"content": "text", "title_cn": "text", "keywords_cn": "keyword"}
 PAYLOAD = ["doc_id", "content", "title_cn", "journal", "title", "heading_stack"]
 
 
+_built: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make):
+    """What make() stores in the shared folder, built once for each application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> text_index.Index:
+    return _once(spark, sf_dir, "text", lambda: text_index.build(tables.chunks(spark, sf_dir), FIELDS))
+
+
+def cells_of(spark: SparkSession, sf_dir: str):
+    """The centres of 32 cells, and the vectors with theirs."""
+
+    def make():
+        vectors = tables.chunk_vectors(spark, sf_dir)
+        model = vector_index.fit_cells(vectors, 32)
+        return model, stored(vector_index.with_cell(vectors, model), "cells")
+
+    return _once(spark, sf_dir, "cells", make)
+
+
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = text_index.field_tokens(tables.chunks(spark, sf_dir), FIELDS)
-    posts = text_index.postings(words)
-    by_field = posts.groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"), F.count_distinct("token").alias("n_terms"))
-    return by_field.join(text_index.field_stats(words), "field").select("field", "n_postings", "n_tokens", "n_terms", "n_chunks", F.round("avgdl", 6).alias("avgdl"))
+    index = index_of(spark, sf_dir)
+    by_field = index.postings.groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    terms = index.frequencies.groupBy("field").agg(F.count("*").alias("n_terms"))
+    return by_field.join(F.broadcast(terms), "field").join(F.broadcast(index.lengths), "field").select("field", "n_postings", "n_tokens", "n_terms", "n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _text_hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return text_index.bm25(tables.queries(spark, sf_dir), tables.chunks(spark, sf_dir), FIELDS, **options)
+    return text_index.bm25(tables.queries(spark, sf_dir), tables.chunks(spark, sf_dir), FIELDS, index=index_of(spark, sf_dir), **options)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +64,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    return ranking.rrf(bm25_topk(spark, sf_dir), vector_topk(spark, sf_dir), k)
+    """Stored, as the steps after it join it with itself: 20 rows a query."""
+    return stored(ranking.rrf(bm25_topk(spark, sf_dir), vector_topk(spark, sf_dir), k), "fused")
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +85,7 @@ def payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = ranking.with_payload(_fused(spark, sf_dir), tables.chunks(spark, sf_dir), PAYLOAD).join(tables.queries(spark, sf_dir), "query_id")
+    hits = stored(ranking.with_payload(_fused(spark, sf_dir), tables.chunks(spark, sf_dir), PAYLOAD), "payload").join(tables.queries(spark, sf_dir), "query_id")
     return ranking.rerank(hits, plugins.lexical_overlap)
 
 
@@ -114,8 +142,23 @@ def conversation_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ann_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = tables.chunk_vectors(spark, sf_dir)
-    return vector_index.cell_top_k(tables.query_vectors(spark, sf_dir), vectors, vector_index.fit_cells(vectors, 32), 20)
+    model, rows = cells_of(spark, sf_dir)
+    return vector_index.cell_top_k(tables.query_vectors(spark, sf_dir), rows, model, 20)
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query's 20 nearest by exact search, whether the search in half of the cells finds nine in ten; in all cells, all."""
+    model, rows = cells_of(spark, sf_dir)
+    asked = tables.query_vectors(spark, sf_dir)
+    exact = stored(vector_index.exact_top_k(asked, tables.chunk_vectors(spark, sf_dir), 20).select("query_id", "chunk_id"), "exact")
+    n = F.count("*")
+    out = None
+    for probes, least in ((16, 0.9), (32, 1.0)):
+        near = stored(vector_index.cell_top_k(asked, rows, model, 20, probes).select("query_id", "chunk_id"), "near")
+        both = exact.join(near.withColumn("found", F.lit(1)).hint("merge"), ["query_id", "chunk_id"], "left")
+        part = both.agg(F.lit(probes).alias("n_probe"), n.alias("n_exact"), (F.count("found") >= least * n).alias("enough"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def doubled_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +171,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     postings_stats, bm25_topk, bm25_filtered, vector_topk, hybrid_search, rrf_sixty, payload_merge, rerank_lexical, context_blocks, prompt_build,
-    citations, retrieval_metrics, rerank_metrics, relevance_bands, citation_markers, conversation_citations, ann_cells, doubled_queries, query_terms,
+    citations, retrieval_metrics, rerank_metrics, relevance_bands, citation_markers, conversation_citations, ann_cells, ann_recall, doubled_queries, query_terms,
 )}
 
 _TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
@@ -186,6 +229,7 @@ ct as (select query_id, row_number() over (partition by query_id order by rank):
 ci as (select * from ct where id <= 5)"""
 
 ORACLES = {
+    "ann_recall": "with e as (select count(*) as n from embeddings), q as (select count(*) as n from embeddings where vec_id in (select item_id from benchmark)) select unnest([16, 32])::int as n_probe, q.n * least(20, e.n) as n_exact, true as enough from e, q",
     "postings_stats": f"with {_WORDS}, a as (select field, count(*) as n_postings, sum(tf)::bigint as n_tokens, count(distinct token) as n_terms from p group by field) select a.*, n_chunks, round(avgdl, 6) as avgdl from a join st on st.field = a.field",
     "bm25_topk": f"with {_TEXT} select query_id, chunk_id, score, rank from t",
     "bm25_filtered": f"with {_HITS}, k as (select s.*, row_number() over (partition by query_id order by score desc, s.chunk_id)::int as rank from s join c on c.chunk_id = s.chunk_id where must > 0 and article_type in ('en', 'de') and journal = 'src1') select query_id, chunk_id, score, rank from k where rank <= 200",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import base_name, extension, stem
+from ..functions.text import base_name, stem
 
+# Field names of metadata files, side files, chunk files, poll results and answer events.
 META = T.StructType([T.StructField(c, T.StringType()) for c in ("article_id", "journal", "source", "doi", "section", "article_type", "title_cn", "title_en", "authors_cn", "abstract_cn", "keywords_cn", "keywords_en")])
 CONTENT_LIST = "array<array<struct<type:string,content:struct<table_caption:array<struct<content:string>>,table_footnote:array<struct<content:string>>>>>>"
 CHUNK_FILE = "doc_id string, md5 string, uuid string, total_chunks int, chunks array<struct<chunk_id:string,doc_id:string,level:string,chunk_type:string,title:string,title_cn:string,journal:string,doi:string,heading_stack:array<string>,content:string,html_body:string>>"
@@ -33,17 +34,20 @@ def paired(documents: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFr
     return documents.join(metadata, "stem"), documents.join(metadata.select("stem"), "stem", "left_anti")
 
 
-def parsed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(md5, text, pages, META, uuid): {md5}/full.md is required; *_content_list_v2.json and {md5}.json beside it are not.
+def parsed_documents(spark: SparkSession, folder: str, metadata: str | None = None) -> DataFrame:
+    """(md5, text, pages, META, uuid): {md5}/full.md is required; *_content_list_v2.json beside it and metadata are not.
 
-    Bytes that aren't UTF-8 become replacement characters; uuid comes from the side file's name.
+    metadata: the folder whose {md5}/*.json are the metadata, the first by name of each; where it isn't given, meta.json
+    in the document's own folder is. Bytes that aren't UTF-8 become replacement characters; uuid comes from the side
+    file's name.
     """
-    read = lambda glob: spark.read.text(folder, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    read = lambda glob, of=folder: spark.read.text(of, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     owner = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("md5")
     texts = read("full.md").select(owner, F.col("value").alias("text"))
     side = read("*_content_list_v2.json").select(owner, F.from_json("value", CONTENT_LIST).alias("pages"), F.regexp_extract("_metadata.file_path", "([^/]+)_content_list_v2\\.json$", 1).alias("uuid"))
     side = side.groupBy("md5").agg(F.max_by("pages", "uuid").alias("pages"), F.max("uuid").alias("uuid"))
-    meta = read("meta.json").select(owner, F.from_json("value", META).alias("m"))
+    meta = read("*.json", metadata) if metadata else read("meta.json")
+    meta = meta.select(owner, F.col("_metadata.file_path").alias("at"), F.from_json("value", META).alias("m")).groupBy("md5").agg(F.min_by("m", "at").alias("m"))
     out = texts.join(side, "md5", "left").join(meta, "md5", "left")
     return out.select("md5", "text", "pages", *[F.coalesce(f"m.{c}", F.lit("")).alias(c) for c in META.names], F.coalesce("uuid", F.lit("")).alias("uuid"))
 
@@ -71,16 +75,24 @@ def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("md5", "uuid", F.explode("chunks").alias("c")).select("md5", "uuid", "c.*")
 
 
-# Kinds of members of a parsed bundle by extension.
-CONTENT_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "json": "application/json", "md": "text/markdown", "html": "text/html", "pdf": "application/pdf"}
-IMAGES = ["png", "jpg", "jpeg", "gif", "svg", "webp"]
+# Images of a parsed bundle by extension, in lower case only; all else but full.md is plain bytes.
+IMAGES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp"}
+FULL_MD, FULL_MD_TYPE, BYTES_TYPE = "full.md", "text/markdown", "application/octet-stream"
 
 
 def bundle_members(members: DataFrame) -> DataFrame:
-    """members (path) with name, kind (full_md, image, other) and content_type."""
-    name, ext = base_name(F.col("path")), extension(F.col("path"))
-    types = F.create_map(*[F.lit(x) for kv in CONTENT_TYPES.items() for x in kv])
-    return members.withColumns({"name": name, "kind": F.when(name == "full.md", "full_md").when(ext.isin(IMAGES), "image").otherwise("other"), "content_type": F.coalesce(types[ext], F.lit("application/octet-stream"))})
+    """members (bundle, seq, path) with name, kind (full_md, image, other, superseded) and content_type; folders go.
+
+    Of several full.md of a bundle the last by seq counts, the others are superseded.
+    """
+    name = base_name(F.col("path"))
+    ext = F.substring_index(name, ".", -1)
+    types = F.create_map(*[F.lit(x) for kv in IMAGES.items() for x in kv])
+    rows = members.where(~F.col("path").endswith("/") & (F.col("path") != "")).withColumn("name", name)
+    last = F.max(F.when(F.col("name") == FULL_MD, F.col("seq"))).over(Window.partitionBy("bundle"))
+    kind = F.when(F.col("name") == FULL_MD, F.when(F.col("seq") < last, "superseded").otherwise("full_md")).when(F.col("name").contains(".") & ext.isin(list(IMAGES)), "image").otherwise("other")
+    rows = rows.withColumn("kind", kind)
+    return rows.withColumn("content_type", F.when(F.col("kind") == "image", types[ext]).when(F.col("name") == FULL_MD, FULL_MD_TYPE).otherwise(BYTES_TYPE))
 
 
 def poll_stream(spark: SparkSession, folder: str) -> DataFrame:
