@@ -2,13 +2,16 @@
 
 Vectors are lengthened to one norm, so that the largest inner product is the smallest distance. Rows are hashed into
 blocks; a block keeps, for each random projection, its rows in sorted order. A query opens a window around its own
-projection in each of these arrays and widens all of them (virtual rehashing) until enough rows lie in the windows of
-enough projections; those rows are verified by their exact inner product.
+projection in each of these arrays and widens all of them step by step (virtual rehashing); each step lists the rows
+that the windows newly take in and counts their collisions, and rows with enough of them are verified by their exact
+inner product. A query is done when a row as near as its k-th best so far would have collided often enough, but for a
+chance of one in fifteen, and nearer ones for much smaller ones: the stop depends on distances alone, not on how many rows there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .shared import read_table, stored
 
-#: Rows of a block on average; projections; part of them that must collide; part of a block's rows wanted so, beside ten for each neighbour.
-BLOCK_ROWS, PROJECTIONS, COLLISIONS, WANTED = 16_384, 96, 0.65, 0.1
-#: Factor by which windows widen, and the first window, in standard deviations of a projection.
-WIDEN, FIRST = 1.15, 0.25
+#: Rows of a block on average; projections; part of them that must collide.
+BLOCK_ROWS, PROJECTIONS, COLLISIONS = 8_192, 96, 0.62
+#: Half a window's width, for a row's distance, at which it collides in one and a half standard deviations more than that part.
+REACH = NormalDist().inv_cdf((1 + COLLISIONS + 1.5 * (COLLISIONS * (1 - COLLISIONS) / PROJECTIONS) ** 0.5) / 2)
+#: Factor by which windows widen, and the first window, in parts of the common norm.
+WIDEN, FIRST = 1.25, 0.05
 QUERIES_AT_ONCE = 128
 
 
@@ -33,66 +38,70 @@ def usable(embedding: str) -> Column:
 
 class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float):
-        self.ids, self.vectors, dim = ids, vectors, vectors.shape[1]
+        self.ids, self.vectors, self.norm = ids, vectors, norm
+        dim = vectors.shape[1]
         missing = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(1), 0.0))
         self.lines = np.random.default_rng(20240601).normal(size=(dim + 1, PROJECTIONS))
         projected = vectors @ self.lines[:dim] + missing[:, None] * self.lines[dim]
-        order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, order, 0).T.copy()
-        #: place of each row in each sorted array
-        kind = np.uint16 if len(ids) < 65_000 else np.uint32
-        self.places = np.empty((PROJECTIONS, len(ids)), kind)
-        np.put_along_axis(self.places, order.T, np.arange(len(ids), dtype=kind)[None, :].repeat(PROJECTIONS, 0), 1)
-        self.kind, self.step = kind, norm * FIRST
-        self.rough = vectors.astype(np.float32)
-        self.wanted, self.level = int(np.ceil(WANTED * len(ids))), 6
-
-    def windows(self, centres: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """First place and width of each query's windows: (queries, projections)."""
-        half = self.step * WIDEN**level
-        lo = np.stack([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centres.T, strict=True)], 1)
-        hi = np.stack([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centres.T, strict=True)], 1)
-        return lo.astype(self.kind), (hi - lo).astype(self.kind)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores) of the best k rows among those that collide often enough."""
-        centres, opened = queries @ self.lines[:-1], {}
-        need = min(len(self.ids), self.wanted + 10 * k + 1)
-
-        def colliding(i: int, level: int) -> np.ndarray:
-            if level not in opened:
-                opened[level] = self.windows(centres, level)
-            lo, width = (x[i][:, None] for x in opened[level])
-            return ((self.places - lo) < width).sum(0, dtype=np.uint8) >= COLLISIONS * PROJECTIONS
-
+        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
+        self.sorted = np.take_along_axis(projected, self.order.T, 0).T.copy()
+        self.start = 0
+
+    def listed(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The rows at places lo to hi of each sorted array, one array after the other."""
+        return np.concatenate([o[a:b] for o, a, b in zip(self.order, lo.tolist(), hi.tolist(), strict=True)])
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, exact: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, scores) of the best k of the verified rows; exact: of all rows."""
+        n = len(self.ids)
+        scale = self.norm / np.sqrt((queries * queries).sum(1))
+        centres = (queries * scale[:, None]) @ self.lines[:-1]
+        needed = int(np.ceil(COLLISIONS * PROJECTIONS))
         for i, q in enumerate(query_ids):
-            level = self.level
-            at = colliding(i, level)
-            if np.count_nonzero(at) < need:
-                while np.count_nonzero(at) < need and level < 60:
-                    level += 1
-                    at = colliding(i, level)
-            else:
-                while level > 0 and np.count_nonzero(less := colliding(i, level - 1)) >= need:
-                    level, at = level - 1, less
-            self.level = level
-            rows = np.flatnonzero(at) if level < 60 else np.arange(len(self.ids))
-            rows = rows[self.ids[rows] != q]
-            if len(rows) > k:
-                near = self.rough[rows] @ queries[i].astype(np.float32)
-                least = np.partition(near, len(rows) - k)[len(rows) - k]
-                rows = rows[near >= least - 1e-5 * max(1.0, abs(float(least)))]
-            exact = (self.vectors[rows] * queries[i]).sum(1)
-            best = np.lexsort((self.ids[rows], -exact))[:k]
-            yield int(q), self.ids[rows][best], exact[best]
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+            vector, level, done = queries[i], max(0, self.start - 3), np.zeros(n, bool)
+            own = self.ids == q
+            rows, scores = np.zeros(0, np.int64), np.zeros(0)
+            counts, lo, hi = np.zeros(n, np.int64), None, None
+            while True:
+                half = self.norm * FIRST * WIDEN**level
+                if exact:
+                    new = np.flatnonzero(~own)
+                else:
+                    wider_lo = np.array([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centres[i], strict=True)])
+                    wider_hi = np.array([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centres[i], strict=True)])
+                    if lo is None:
+                        counts += np.bincount(self.listed(wider_lo, wider_hi), minlength=n)
+                    else:
+                        counts += np.bincount(np.concatenate([self.listed(wider_lo, lo), self.listed(hi, wider_hi)]), minlength=n)
+                    lo, hi = wider_lo, wider_hi
+                    new = np.flatnonzero((counts >= needed) & ~done & ~own)
+                if len(new):
+                    done[new] = True
+                    rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.vectors[new] @ vector])
+                    if len(rows) > k:
+                        at = np.partition(scores, len(scores) - k)[len(scores) - k]
+                        near = scores >= at - 1e-9 * max(1.0, abs(float(at)))  # ties are told apart below
+                        rows, scores = rows[near], scores[near]
+                if exact or done.sum() + own.sum() == n:
+                    break
+                if len(rows) >= k:
+                    worst = np.sqrt(max(0.0, 2 * self.norm**2 - 2 * scale[i] * np.partition(scores, len(scores) - k)[len(scores) - k]))
+                    if half >= REACH * worst:
+                        break
+                level += 1
+            self.start = level
+            found = (self.vectors[rows] * vector).sum(1)
+            best = np.lexsort((self.ids[rows], -found))[:k]
+            yield int(q), self.ids[rows][best], found[best]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = BLOCK_ROWS, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest by inner product, ties to the smaller id.
 
     Vectors that are null, zero, not finite or without an id take no part, on either side; a query meets the vectors of
     its own length, except those with its id; of rows that repeat an id the smallest vector counts. An empty table
-    gives no rows. All rows are indexed, in blocks; each query goes to each block, one row a pair.
+    gives no rows. All rows are indexed, in blocks; each query goes to each block, one row a pair, where it sees the
+    rows in its windows. exact: every row is verified, with the same results where the windows miss none.
     """
     shape = [F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"), F.size(embedding).alias("dim")]
     rows = vectors.where(usable(embedding) & F.col(vec_id).isNotNull()).select(*shape)
@@ -103,13 +112,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
     rows = rows.join(sizes.hint("merge") if sizes.count() > 1000 else F.broadcast(sizes), "dim").select("id", "vector", *at, F.pmod(F.xxhash64("id"), F.col("n_blocks")).alias("block"), F.lit(0).alias("asks"))
     asked = asked.join(sizes.hint("merge") if sizes.count() > 1000 else F.broadcast(sizes), "dim").select("id", "vector", *at, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.lit(1).alias("asks"))
     both = rows.union(asked).select("dim", "block", "asks", "id", "norm", "vector")
-    dealt = both.repartition(F.col("dim"), F.col("block")).sortWithinPartitions("dim", "block", "asks", "id", "vector")
-    found = dealt.mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
+    # several parts a block, so that few blocks share one
+    n_parts = 4 * int(sizes.agg(F.coalesce(F.sum("n_blocks"), F.lit(1))).first()[0])
+    dealt = both.repartition(min(n_parts, 20_000), F.col("dim"), F.col("block")).sortWithinPartitions("dim", "block", "asks", "id", "vector")
+    found = dealt.mapInArrow(_searcher(k, exact), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(k: int):
+def _searcher(k: int, exact: bool):
     """Over rows sorted by block, a block's own rows before its queries: memory holds one block and some queries."""
 
     def answers(block: Block | None, ids: list, vectors: list) -> Iterator[pa.RecordBatch]:
@@ -119,7 +130,7 @@ def _searcher(k: int):
         first = np.unique(q, return_index=True)[1]
         for i in range(0, len(first), QUERIES_AT_ONCE):
             part = first[i : i + QUERIES_AT_ONCE]
-            got = list(block.search(q[part], x[part], k))
+            got = list(block.search(q[part], x[part], k, exact))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))],
                 names=["query_id", "vec_id", "score"],

@@ -304,15 +304,42 @@ def test_nearest_have_recall(spark):
     v = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding")
     q = v.where("vec_id % 20 = 0")
     want = ann.brute_force(v, q, 20)
-    for block_rows in (16_384, 150):
+    for options in ({}, {"block_rows": 150}, {"exact": True}):
         got: dict = {}
-        for r in ann.nearest(v, q, 20, block_rows=block_rows).orderBy("query_id", "rank").collect():
+        for r in ann.nearest(v, q, 20, **options).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         hit = sum(len({i for i, _ in got[k]} & {i for i, _ in x}) for k, x in want.items())
-        assert hit / sum(map(len, want.values())) >= 0.9 and all(len(x) == 20 for x in got.values())
+        assert hit / sum(map(len, want.values())) >= (1 if options.get("exact") else 0.9) and all(len(x) == 20 for x in got.values())
         assert all(dict(want[k])[i] == pytest.approx(s, abs=1e-12) for k, x in got.items() for i, s in x if i in dict(want[k]))
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "norms apart", "two dimensions"])
+def test_a_whole_block_has_recall_and_lists_few_rows(kind):
+    rng = np.random.default_rng(5)
+    n, dim = ann.BLOCK_ROWS, 2 if kind == "two dimensions" else 64
+    x = rng.normal(size=(n, dim))
+    if kind == "clustered":
+        x = rng.normal(size=(40, dim))[rng.integers(0, 40, n)] + 0.2 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "norms apart":
+        x *= rng.exponential(1, size=(n, 1))
+    block, q = ann.Block(np.arange(n), x, float(np.linalg.norm(x, axis=1).max())), np.arange(0, n, n // 40)
+    listed, whole = 0, block.listed
+
+    def counted(lo, hi):
+        nonlocal listed
+        rows = whole(lo, hi)
+        listed += len(rows)
+        return rows
+
+    block.listed = counted
+    found = list(block.search(q, x[q], 20))
+    hit = sum(len(set(a[1]) & set(e[1])) for a, e in zip(found, block.search(q, x[q], 20, exact=True)))
+    assert hit / (20 * len(q)) >= 0.9
+    if kind in ("clustered", "two dimensions"):
+        assert listed < 0.4 * len(q) * n * ann.PROJECTIONS
+
+
 def test_nearest_on_odd_tables(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0, 2.0]), (8, [1.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1))
