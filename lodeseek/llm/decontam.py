@@ -20,8 +20,10 @@ from .shared import read_table, slices, text_column
 from .wordbytes import LOWER, Words, words_of
 
 WINDOW = 10
-#: Words of items in one automaton; more items are taken in several passes, so that what is broadcast stays bounded.
-BLOCK_WORDS = 2_000_000
+#: Words of items in one automaton, counted as if every second character began one; more items are taken in several
+#: passes, so that what is broadcast stays bounded: about 1.3 KB an item word were measured, so at most 390 MB in a
+#: worker, and 130 MB where words have five letters.
+BLOCK_WORDS = 300_000
 
 
 class SuffixAutomaton:
@@ -192,9 +194,10 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
     fewer. Null and empty texts have no words and no hits; items that are null, empty or without an id match nothing;
     equal items each count; repeated rows are scanned alike; other columns pass unread. An empty table of items or
     documents gives no hits or no rows. Items beyond block_words are scanned in further passes whose hits are merged.
+    Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    out = docs
+    docs = out = docs.drop(*HITS.names)
     for block in _blocks(items, block_words):
         shared = spark.sparkContext.broadcast(Scanner(block, window))
         first = out is docs
@@ -253,9 +256,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     """docs without the stretches that items share; documents with over max_coverage of their words hit go altogether.
 
     The columns stay as they are; only the text of contaminated rows changes: each hit stretch is cut out, and one
-    blank stands for it. Clean rows, null and empty texts pass unchanged.
+    blank stands for it. Clean rows, null and empty texts, and columns named like those of scan pass unchanged.
     """
-    return _cut(scan(docs, items, text, window).where(F.col("_n_hit") <= F.lit(max_coverage) * F.col("_n_words")), text).select(*docs.columns)
+    clashing = {c: f"_own{c}" for c in docs.columns if c in HITS.names}
+    hits = scan(docs.withColumnsRenamed(clashing), items, text, window).where(F.col("_n_hit") <= F.lit(max_coverage) * F.col("_n_words"))
+    return _cut(hits, text).drop(*HITS.names).withColumnsRenamed({b: a for a, b in clashing.items()}).select(*docs.columns)
 
 
 def _cut(hits: DataFrame, text: str) -> DataFrame:

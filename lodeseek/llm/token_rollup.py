@@ -2,7 +2,8 @@
 
 A store is a folder with, for each committed batch, signed document rows, the sums of these by group, and a marker that
 is written last. A batch without its marker counts as never written and is replaced when it runs again; a batch with
-one isn't applied again. Totals are the sums of the committed groups, so they never need the documents.
+one isn't applied again. Totals are the sums of the committed groups, so they never need the documents. Signed rows lie
+in folders by a hash of the document, and a batch reads only those that its changes touch; compact() merges batches.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path, read_table, stored, text_or_empty
@@ -26,6 +27,8 @@ PIECE = 100_000
 KEY = ["doc_id", "version"]
 GROUP = ["source", "lang", "version"]
 SIGNED = "doc_id long, source string, lang string, version string, n_docs long, n_tokens long"
+#: Folders of signed rows.
+BUCKETS = 256
 CHANGES = "seq long, op string, doc_id long, source string, lang string, version string, n_tokens long"
 
 
@@ -62,6 +65,10 @@ def with_bpe_tokens(docs: DataFrame, path: str = TOKENIZER, text: str = "text",
     return docs.mapInArrow(run, StructType([*(f for f in docs.schema.fields if f.name != text), StructField(column, LongType())]))
 
 
+def bucket(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+
+
 class TokenRollup:
     """The store in one folder, for one writer at a time."""
 
@@ -72,23 +79,52 @@ class TokenRollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def batches(self) -> list[str]:
-        top = f"{self.path}/commits"
-        if not self._exists(top):
+    def _marked(self, part: str) -> list[str]:
+        """The names below a part that have their marker, by one listing."""
+        if not self._exists(f"{self.path}/{part}"):
             return []
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(top)
-        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)
-        return sorted(f.getPath().getName() for f in found if self._exists(f"{top}/{f.getPath().getName()}/_SUCCESS"))
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/*/_SUCCESS")
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
+        return sorted(f.getPath().getParent().getName() for f in found or [])
 
-    def _committed(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{part}/{b}" for b in self.batches()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def batches(self) -> list[str]:
+        """Names of all committed batches, merged ones too."""
+        return self._marked("commits")
 
-    def current(self) -> DataFrame:
-        """Signed rows summed by document and group: what each document adds now."""
-        rows = self._committed("signed", SIGNED).groupBy(*KEY, "source", "lang").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    def _committed(self, part: str, schema: str) -> DataFrame:
+        """Rows of the newest compaction and of the batches after it."""
+        names, merged = self.batches(), self._marked("compactions")
+        if merged:
+            done = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/compactions/{merged[-1]}").collect()}
+            names = [merged[-1], *(b for b in names if b not in done)]
+        paths = [f"{self.path}/{part}/batch={b}" for b in names]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def current(self, keys: DataFrame | None = None) -> DataFrame:
+        """Signed rows summed by document and group: what each document adds now. keys: only those of these documents."""
+        rows = self._committed("signed", f"{SIGNED}, bucket int")
+        if keys is not None:
+            touched = [r[0] for r in keys.select(bucket().alias("b")).distinct().collect()]  # at most BUCKETS
+            rows = rows.where(F.col("bucket").isin(touched)).join(keys.select(*KEY).hint("merge"), KEY, "left_semi")
+        rows = rows.groupBy(*KEY, "source", "lang").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return rows.where("n_docs <> 0 or n_tokens <> 0")
 
+    def _write(self, name: str, signed: DataFrame) -> None:
+        signed.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/signed/batch={name}")
+        signed = self.spark.read.schema(f"{SIGNED}, bucket int").parquet(f"{self.path}/signed/batch={name}")
+        sums = signed.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums.write.mode("overwrite").parquet(f"{self.path}/sums/batch={name}")
+
+    def compact(self) -> None:
+        """Merge the committed batches into one set of rows; a batch that was merged still isn't applied again.
+
+        Its marker, written last, names the merged batches: without it the batches count as before.
+        """
+        names = self.batches()
+        if names:
+            self._write(into := f"compact-{len(names):08d}", self.current())
+            self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/compactions/{into}")
+
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of changes (seq, op, doc_id, source, lang, version, n_tokens); False if it was committed before.
 
@@ -102,14 +138,11 @@ class TokenRollup:
         last = changes.where("op in ('insert', 'delete', 'revise') and doc_id is not null and version is not null")
         last = last.groupBy(*KEY).agg(F.max(F.struct("seq", "op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))).alias("to"))
         last = stored(last, "changes")
-        before = self.current().join(last.select(*KEY).hint("merge"), KEY, "left_semi")
+        before = self.current(last)
         out = before.select("doc_id", "source", "lang", "version", -F.col("n_docs"), -F.col("n_tokens"))
         into = last.where("to.op <> 'delete'").select("doc_id", "to.source", "to.lang", "version", F.lit(1).cast("long"), "to.n_tokens")
         signed = out.union(into).toDF("doc_id", "source", "lang", "version", "n_docs", "n_tokens")
-        signed.write.mode("overwrite").parquet(f"{self.path}/signed/{batch}")
-        signed = self.spark.read.schema(SIGNED).parquet(f"{self.path}/signed/{batch}")
-        sums = signed.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/sums/{batch}")
+        self._write(batch, signed)
         self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
         return True
 

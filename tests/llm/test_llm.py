@@ -90,7 +90,7 @@ def test_rollup_is_the_sum_of_current_documents(spark):
             elif op != "other":
                 docs[d] = row[3:]
         rows += [(99, "insert", None, "s", "en", "v", 5), (99, None, 1, "s", "en", "v", 5)]
-        changes = spark.createDataFrame(rows, token_rollup.CHANGES).withColumn("extra", F.lit(1))
+        changes = spark.createDataFrame(rows, token_rollup.CHANGES).withColumns({c: F.lit(1) for c in ("extra", "to", "bucket", "n_docs")})
         assert store.apply(f"b{batch}", changes) and not store.apply(f"b{batch}", changes)
         want = Counter()
         for s, lang, v, n in docs.values():
@@ -100,7 +100,11 @@ def test_rollup_is_the_sum_of_current_documents(spark):
         for r in store.totals().collect():
             got[r.source, r.lang, r.version, "docs"], got[r.source, r.lang, r.version, "tokens"] = r.n_docs, r.n_tokens
         assert +got == +want
-    spark.createDataFrame([(1,)], "n long").write.parquet(f"{store.path}/sums/broken")  # a batch without its marker
+        if batch == 2:
+            store.compact()
+            assert not store.apply("b0", changes) and not store.apply("b2", changes)
+    assert store.apply("none", changes.limit(0)) and not store.apply("none", changes)
+    spark.createDataFrame([(1,)], "n long").write.parquet(f"{store.path}/sums/batch=broken")  # a batch without its marker
     assert +got == +Counter({(r.source, r.lang, r.version, k): v for r in store.totals().collect() for k, v in (("docs", r.n_docs), ("tokens", r.n_tokens))})
 
 
@@ -382,7 +386,11 @@ def test_decontamination_on_odd_tables(spark, odd):
     bench = spark.createDataFrame([(1, "a b"), (None, "a b"), (2, None)], "item_id long, text string")
     got = decontam.scan(odd, bench)
     assert got.count() == len(ODD) and {r.doc_id: r._n_hit for r in got.collect()}[3] == 2
-    assert decontam.decontaminate(odd, bench).columns == odd.columns
+    clashing = odd.withColumns({"_items": F.lit("own"), "_n_hit": F.lit(7), "_spans": F.lit(None)})
+    for df in (odd, clashing):
+        out = decontam.decontaminate(df, bench)
+        assert out.columns == df.columns and out.count() == len(ODD) - 3  # the rows that are an item go
+    assert {(r._items, r._n_hit) for r in out.collect()} == {("own", 7)} and decontam.scan(clashing, bench).where("_n_hit = 2").count() == 3
     assert decontam.scan(odd, bench.limit(0)).where("_n_hit > 0").count() == 0 and decontam.scan(odd.limit(0), bench).count() == 0
 
 
