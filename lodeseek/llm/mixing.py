@@ -105,7 +105,8 @@ def _taken_first(ranked: DataFrame) -> DataFrame:
     """ranked with extra: 1 for the first of a source, in rank, that fit its wanted words, else 0.
 
     In the bin where the words run out, later documents that fit what is left are taken too, in rank, twice over, so
-    that the sum comes near although one document may be long. _before: words in earlier bins.
+    that the sum comes near although one document may be long. There the order is Pareto's no more: shorter documents of
+    that one bin are likelier, which is one bin in n / BIN_ROWS of a source. _before: words in earlier bins.
     """
     whole = Window.partitionBy("source", "bin")
     upto = whole.orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -121,8 +122,9 @@ def _taken_first(ranked: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs that the mix takes, with copies, size, source_size, target and taken; the columns of docs come first.
 
-    Joined by id and the text's hash; rows that repeat both are decided alike, by the most copies that one of them got.
+    Columns of docs named like the new ones are replaced; null texts and sources are as in mix. Joined by id and the text's hash; rows that repeat both are decided alike, by the most copies that one of them got.
     """
+    docs = docs.drop("copies", "size", "source_size", "target", "taken")
     own = ["doc_id", "text", "source"]
     keyed = docs.select(*own).withColumn("_h", F.xxhash64(text_or_empty("text")))
     keyed = keyed.withColumn("_key", F.struct("doc_id", "_h"))
