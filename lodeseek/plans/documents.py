@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, lines
+from ..sources.shared import stored
 from ..sources.tables import table
 
 _STEPS = [("<(script|style|title)[^>]*>[^<]*</(script|style|title)>", ""), ("<h1>", "\n# 1 "), ("<b>", "\n\n## 1.1 "), ("<(/h1|br|/?p|/?li|/?ul|/?nav|/?div|/?footer|/?article)([^>]*)>", "\n\n"), ("<[^>]*>", "")]
@@ -71,7 +72,36 @@ def paper_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.paper_chunks(docs).select("doc_id", "chunk_id", "journal", F.array_join("keywords_cn", "|").alias("keywords"), "content")
 
 
-QUERIES = {f.__name__: f for f in (line_kinds, line_elements, heading_paths, l1_packing, table_refs, page_chunks, section_chunk_ids, chunk_summary, paper_chunks)}
+def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, pages): each document as the body of a paper with two tables, of which one has captions in two languages.
+
+    The first table's note stands in the text of even documents, and in the side output (pages) of odd ones.
+    """
+    docs = table(spark, sf_dir, "documents")
+    c, said = F.concat, lambda x: F.lit(x)
+    i, body = F.col("doc_id").cast("string"), F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    parts = [
+        c(said("# 1 "), "source", said(" part")), c(said("见表1 of "), "lang", said(" "), i), said(""), c(said("表 1 "), "lang", said(" caption")), c(said("Table 1 "), "source", said(" caption")),
+        c(said("<table><tr><td>"), F.md5("text"), said("</td></tr></table>")), F.when(F.col("doc_id") % 2 == 0, c(said("注： note "), i)),
+        c(said("$$ "), i), said("x"), said("$$"), said("<details>"), c(said("hidden "), F.md5("text")), said("</details>"), c(said("## 1.1 "), "lang", said(" rest")), c(said("表2 second "), i),
+        said("<table>"), c(said("<tr>"), i, said("</tr>")), said("</table>"), said(""), c(said("Body: "), body),
+    ]
+    side = F.struct(F.lit("table").alias("type"), F.struct(F.array(F.struct(F.lit("表1 x").alias("content"))).alias("table_caption"), F.array(F.struct(c(said(" side "), i).alias("content"))).alias("table_footnote")).alias("content"))
+    return docs.select("doc_id", F.concat_ws("\n", *parts).alias("text"), F.array(F.array(side)).alias("pages"))
+
+
+def decorated_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.elements(decorated(spark, sf_dir)).select("doc_id", "type", "text", "number", "number_str", "depth")
+
+
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decorated(spark, sf_dir)
+    found = stored(lines.elements(docs), "elements")
+    out = chunks.table_chunks(chunks.tables(found, docs.select("doc_id", "pages")))
+    return out.select("doc_id", "chunk_id", "table_number", F.array_join("heading_stack", " > ").alias("path"), "table_caption", "table_caption_en", "content", "html_body", "has_rows")
+
+
+QUERIES = {f.__name__: f for f in (decorated_elements, table_chunks, line_kinds, line_elements, heading_paths, l1_packing, table_refs, page_chunks, section_chunk_ids, chunk_summary, paper_chunks)}
 
 
 def _markdown_sql() -> str:
@@ -100,7 +130,47 @@ ps as (select doc_id, unnest(range(len(parts))) as pos, length(unnest(parts)) as
 pk as (select doc_id, pos, n, 0 as part, n as used from ps where pos = 0
        union all select ps.doc_id, ps.pos, ps.n, case when used + 2 + ps.n > 2000 then part + 1 else part end, case when used + 2 + ps.n > 2000 then ps.n else used + 2 + ps.n end from pk join ps on ps.doc_id = pk.doc_id and ps.pos = pk.pos + 1)"""
 
+_DECORATED = """
+d as (select doc_id, lang, source, md5(text) as md5, 'Body: ' || trim(replace(coalesce(text, ''), chr(10), ' ')) as body from documents)"""
+_SECTIONS = f"""{_ELEMENTS},
+sc as (select *, coalesce(sum((type = 'heading')::int) over o, 0) as section, coalesce(last_value(number_str ignore nulls) over o, 'body') as num, case when a1 is null or a2 > a1 then h2 end as deep
+       from pt window o as (partition by doc_id order by ord rows between unbounded preceding and current row)),
+pg as (select *, row_number() over (partition by doc_id, section order by ord) as i from sc where type = 'paragraph'),
+pk as (select doc_id, section, num, h1, deep, i, text, 0 as part, length(text) as used from pg where i = 1
+       union all select pg.doc_id, pg.section, pg.num, pg.h1, pg.deep, pg.i, pg.text, case when used + 2 + length(pg.text) > 2000 then part + 1 else part end,
+                        case when used + 2 + length(pg.text) > 2000 then length(pg.text) else used + 2 + length(pg.text) end
+                 from pk join pg on pg.doc_id = pk.doc_id and pg.section = pk.section and pg.i = pk.i + 1),
+ch as (select doc_id, section, part, num, (h1 is not null)::int + (deep is not null)::int as depth, case when h1 is not null or deep is not null then '【章节】' || concat_ws(' → ', h1, deep) || chr(10) || chr(10) else '' end || string_agg(text, chr(10) || chr(10) order by i) as content
+       from pk group by doc_id, section, part, num, h1, deep),
+cid as (select *, row_number() over (partition by doc_id, num order by section, part) - 1 as n from ch)"""
+
 ORACLES = {
+    "decorated_elements": f"""with {_DECORATED},
+        e as (select doc_id, unnest([
+          struct_pack(type := 'heading', text := '1 ' || source || ' part', number := null::int, number_str := '1', depth := 1),
+          struct_pack(type := 'paragraph', text := '见表1 of ' || lang || ' ' || doc_id, number := null::int, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'caption', text := '表1 ' || lang || ' caption', number := 1, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'caption_en', text := 'Table 1 ' || source || ' caption', number := 1, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'table', text := '<table><tr><td>' || md5 || '</td></tr></table>', number := null::int, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'footnote', text := case when doc_id % 2 = 0 then '注：note ' || doc_id end, number := null::int, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'equation', text := '$$ ' || doc_id || chr(10) || 'x' || chr(10) || '$$', number := null::int, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'heading', text := '1.1 ' || lang || ' rest', number := null::int, number_str := '1.1', depth := 2),
+          struct_pack(type := 'caption', text := '表2 second ' || doc_id, number := 2, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'table', text := '<table>' || chr(10) || '<tr>' || doc_id || '</tr>' || chr(10) || '</table>', number := null::int, number_str := null::varchar, depth := null::int),
+          struct_pack(type := 'paragraph', text := trim(body), number := null::int, number_str := null::varchar, depth := null::int)]) as x from d)
+        select doc_id, x.type as type, x.text as text, x.number as number, x.number_str as number_str, x.depth as depth from e where x.text is not null""",
+    "table_chunks": f"""with {_DECORATED}
+        select doc_id, doc_id || '__L2__table_1' as chunk_id, 1 as table_number, '1 ' || source || ' part' as path, '表1 ' || lang || ' caption' as table_caption, 'Table 1 ' || source || ' caption' as table_caption_en,
+               concat_ws(chr(10) || chr(10), '【章节】1 ' || source || ' part', '【作者结论】见表1 of ' || lang || ' ' || doc_id, '【表1 ' || lang || ' caption】', '【Table 1 ' || source || ' caption】', '【表注】' || case when doc_id % 2 = 0 then '注：note ' else 'side ' end || doc_id) as content,
+               '<table><tr><td>' || md5 || '</td></tr></table>' as html_body, true as has_rows from d
+        union all select doc_id, doc_id || '__L2__table_2', 2, '1 ' || source || ' part > 1.1 ' || lang || ' rest', '表2 second ' || doc_id, '',
+               concat_ws(chr(10) || chr(10), '【章节】1 ' || source || ' part → 1.1 ' || lang || ' rest', '【表2 second ' || doc_id || '】'), '<table>' || chr(10) || '<tr>' || doc_id || '</tr>' || chr(10) || '</table>', true from d""",
+    "section_chunk_ids": f"with recursive {_SECTIONS} select doc_id, count(*) as n_chunks, sum(length(content))::bigint as n_chars, max(depth)::int as deepest from ch group by doc_id",
+    "page_chunks": f"""with recursive {_SECTIONS},
+        fh as (select doc_id, arg_min(text, ord) filter (type = 'heading') as h from el group by doc_id),
+        fp as (select doc_id, string_agg(text, chr(10) || chr(10) order by ord) as three from (select *, row_number() over (partition by doc_id order by ord) as k from el where type = 'paragraph') where k <= 3 group by doc_id)
+        select page_id as doc_id, page_id || '__L0' as chunk_id, 'L0' as level, null::int as heading_depth, concat_ws(chr(10) || chr(10), url, case when h <> url then h end, three) as content from pages left join fh on fh.doc_id = page_id left join fp on fp.doc_id = page_id
+        union all select doc_id, doc_id || '__L1__' || num || case when n > 0 then '_p' || n else '' end, 'L1', depth::int, content from cid""",
     "line_kinds": f"with {_LINES} select doc_id, kind, count(*) as n_lines, sum(length(line))::bigint as n_chars from k group by all",
     "line_elements": f"with {_ELEMENTS} select doc_id, type, text, number_str, depth from el",
     "heading_paths": f"with {_ELEMENTS} select doc_id, text, concat_ws(' > ', h1, case when a1 is null or a2 > a1 then h2 end) as path from pt where type = 'paragraph'",
