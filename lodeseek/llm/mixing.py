@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
 def _expected(sizes: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     """(source, importance, expected): copies of a document of that importance."""
     groups = sizes.groupBy("source", "importance").agg(F.sum("size").alias("size"))
-    groups = groups.join(sources.select("source", "target").withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    groups = groups.join(sources.select("source", "target").withColumnRenamed("source", "_s").hint("merge"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     groups = groups.withColumn("mass", F.col("size") * F.col("importance"))
     level = fill(groups, ["source"], "size", "mass", F.col("target"), most)
     return level.select("source", "importance", F.when(F.col("size") > 0, F.least(F.lit(most), F.col("_level") * F.col("importance"))).otherwise(F.lit(0.0)).alias("expected"))

@@ -179,6 +179,7 @@ def _block_links(rows: DataFrame, bands: DataFrame, texts: DataFrame, least: flo
     meets = F.when(F.col("other"), F.concat(upto(F.col("n_others")), F.transform(upto(F.col("n_largest")), lambda x: -1 - x))).otherwise(upto(F.col("n_others")))
     dealt = own.withColumn("chunk", F.when(F.col("other"), F.col("chunk")).otherwise(-1 - F.col("chunk"))).select("key", "rep", "class", "keys", "sketch", "text", "chunk", F.explode(meets).alias("meets"))
     dealt = dealt.withColumn("i", F.least("chunk", "meets")).withColumn("j", F.greatest("chunk", "meets")).drop("meets")
+    dealt = dealt.repartition("key", "i", "j")  # else all blocks of a band stay where its join put them
 
     def run(block):
         import pandas as pd

