@@ -103,7 +103,7 @@ def markers(answers: DataFrame, text: str = "content") -> DataFrame:
 def marker_rates(marked: DataFrame, cited: DataFrame) -> DataFrame:
     """(query_id, n_used, n_dangling, n_uncited) of markers (query_id, citation) against citations (query_id, id)."""
     used = marked.where("citation is not null").select("query_id", F.col("citation").alias("id")).distinct().withColumn("_used", F.lit(1))
-    both = used.join(cited.select("query_id", "id").distinct().withColumn("_cited", F.lit(1)), ["query_id", "id"], "full")
+    both = used.join(cited.select("query_id", "id").distinct().withColumn("_cited", F.lit(1)).hint("merge"), ["query_id", "id"], "full")
     return both.groupBy("query_id").agg(
         F.count_if((F.col("_used") == 1) & (F.col("_cited") == 1)).alias("n_used"),
         F.count_if((F.col("_used") == 1) & F.col("_cited").isNull()).alias("n_dangling"),

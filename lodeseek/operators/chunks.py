@@ -42,11 +42,11 @@ def tables(found: DataFrame, content_list: DataFrame | None = None) -> DataFrame
         F.min_by(F.when(has_path, F.col("heading_stack")), F.when(has_path, F.col("at"))).alias("heading_stack"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda x: x["text"]).alias("conclusions"),
     )
-    out = one.join(links, ["doc_id", "table_number"], "left")
+    out = one.join(links.hint("merge"), ["doc_id", "table_number"], "left")
     empty = F.array().cast("array<string>")
     out = out.withColumns({"heading_stack": F.coalesce("heading_stack", empty), "conclusions": F.coalesce("conclusions", empty)})
     if content_list is not None:
-        out = out.join(side_footnotes(content_list), ["doc_id", "table_number"], "left").withColumn("footnote", F.coalesce(present(F.col("footnote")), "_side")).drop("_side")
+        out = out.join(side_footnotes(content_list).hint("merge"), ["doc_id", "table_number"], "left").withColumn("footnote", F.coalesce(present(F.col("footnote")), "_side")).drop("_side")
     return out
 
 
@@ -74,7 +74,7 @@ def pack(paragraphs: DataFrame, by: list[str], max_chars: int = MAX_CHARS) -> Da
         return F.struct(part.alias("part"), F.when(new, p["n"]).otherwise(s["used"] + 2 + p["n"]).alias("used"), F.concat(s["parts"], F.array(part)).alias("parts"))
 
     parts = lens.select(*by, F.inline(F.arrays_zip(F.transform("ps", lambda p: p["at"]).alias("at"), F.aggregate("ps", start, step, lambda s: s["parts"]).alias("part"))))
-    return paragraphs.join(parts, [*by, "at"])
+    return paragraphs.join(parts.hint("merge"), [*by, "at"])
 
 
 def section_chunks(found: DataFrame, max_chars: int = MAX_CHARS, strict_refs: bool = False) -> DataFrame:
@@ -130,7 +130,7 @@ def generic_paper_chunks(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.min_by(F.when(F.col("type") == "heading", F.col("text")), F.when(F.col("type") == "heading", F.col("at"))).alias("h"),
         F.array_sort(F.collect_list(F.when(F.col("type") == "paragraph", F.struct("at", "text")))).alias("ps"),
     )
-    out = docs.select("doc_id", "title").join(first, "doc_id", "left")
+    out = docs.select("doc_id", "title").join(first.hint("merge"), "doc_id", "left")
     three = F.when(F.size("ps") > 0, F.array_join(F.transform(F.slice("ps", 1, 3), lambda p: p["text"]), "\n\n"))
     return out.select("doc_id", F.concat("doc_id", F.lit("__L0")).alias("chunk_id"), "title", F.concat_ws("\n\n", "title", F.when(F.col("h") != F.col("title"), F.col("h")), three).alias("content"))
 
@@ -155,14 +155,14 @@ def chunk_documents(docs: DataFrame, content_list: DataFrame | None = None, form
     below = level1.unionByName(level2, allowMissingColumns=True)
     if form == "journal":
         meta = docs.select("doc_id", F.coalesce("doi", F.lit("")).alias("doi"), F.struct(F.coalesce("title_cn", F.lit("")).alias("title_cn"), F.coalesce("keywords_cn", F.lit("")).alias("keywords_cn")).alias("metadata"))
-        below = below.join(meta, "doc_id")
+        below = below.join(meta.hint("merge"), "doc_id")
     return level0.unionByName(below, allowMissingColumns=True)
 
 
 def summary(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: documents, those without text, chunks by level, their mean and the most of one document."""
     each = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("level") == v).alias(v) for v in ("L0", "L1", "L2")])
-    rows = docs.select("doc_id", "text").join(each, "doc_id", "left")
+    rows = docs.select("doc_id", "text").join(each.hint("merge"), "doc_id", "left")
     no_text = present(F.col("text")).isNull()
     return rows.agg(
         F.count_if(~no_text).alias("n_success"), F.count_if(no_text).alias("n_no_text"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in ("L0", "L1", "L2")], F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"),

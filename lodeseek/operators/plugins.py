@@ -102,7 +102,7 @@ INTENT = "domain string, coverage string, rewritten_query string, keywords array
 def with_intent(queries: DataFrame, replies: DataFrame) -> DataFrame:
     """queries with the fields of a model's JSON reply (query_id, reply); without a readable one the query passes unchanged."""
     parsed = replies.select("query_id", F.from_json("reply", INTENT).alias("i"))
-    out = queries.join(parsed, "query_id", "left")
+    out = queries.join(parsed.hint("merge"), "query_id", "left")
     return out.select("query_id", "query", F.coalesce(present(F.col("i.rewritten_query")), "query").alias("rewritten_query"), F.coalesce("i.domain", F.lit("")).alias("domain"), F.coalesce("i.coverage", F.lit("unknown")).alias("coverage"), F.coalesce("i.keywords", F.array().cast("array<string>")).alias("keywords"), F.coalesce("i.suggestion", F.lit("")).alias("suggestion"))
 
 
@@ -111,7 +111,7 @@ def coverage(queries: DataFrame, terms: DataFrame) -> DataFrame:
     tier = F.create_map(F.lit("high"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(2))
     words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     found = words.join(terms.hint("merge"), "term").groupBy("query_id").agg(F.min(F.struct(F.coalesce(tier[F.col("coverage")], F.lit(3)).alias("tier"), "domain", "coverage")).alias("b"))
-    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("b.domain", F.lit("")).alias("domain"), F.coalesce("b.coverage", F.lit("out_of_domain")).alias("coverage"))
+    return queries.select("query_id").join(found.hint("merge"), "query_id", "left").select("query_id", F.coalesce("b.domain", F.lit("")).alias("domain"), F.coalesce("b.coverage", F.lit("out_of_domain")).alias("coverage"))
 
 
 def expanded(queries: DataFrame, synonyms: DataFrame, most: int = 6, enabled: bool = True) -> DataFrame:
@@ -126,4 +126,4 @@ def expanded(queries: DataFrame, synonyms: DataFrame, most: int = 6, enabled: bo
     first = terms.groupBy("query_id", "term").agg(F.min(F.struct("pos", "at")).alias("o"))
     more = first.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o", "term"))), lambda x: x["term"]), 1, most), " ").alias("more"))
     add = (F.length("more") > 5) & (F.col("more") != F.col("query"))
-    return queries.join(more, "query_id", "left").select("query_id", F.when(add, F.concat_ws(" ", "query", "more")).otherwise(F.col("query")).alias("query"))
+    return queries.join(more.hint("merge"), "query_id", "left").select("query_id", F.when(add, F.concat_ws(" ", "query", "more")).otherwise(F.col("query")).alias("query"))

@@ -55,8 +55,8 @@ def rerank(hits: DataFrame, score: Callable[[DataFrame], DataFrame], top_n: int
     """
     has_text = present(F.col("content")).isNotNull()
     scored = score(hits.where(has_text)).select("query_id", "chunk_id", F.coalesce("scored", F.lit(0.0)).alias("scored"))
-    kept = top_k(scored.join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"]), top_n, order=[F.desc("scored"), F.asc("rank")], rank="at")
-    out = hits.join(kept.select("query_id", "chunk_id", F.col("scored").alias("score_rerank")), ["query_id", "chunk_id"], "left")
+    kept = top_k(scored.join(hits.select("query_id", "chunk_id", "rank").hint("merge"), ["query_id", "chunk_id"]), top_n, order=[F.desc("scored"), F.asc("rank")], rank="at")
+    out = hits.join(kept.select("query_id", "chunk_id", F.col("scored").alias("score_rerank")).hint("merge"), ["query_id", "chunk_id"], "left")
     out = out.withColumn("score_rerank", F.coalesce("score_rerank", F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc(has_text), F.desc("score_rerank"), F.asc("rank"))
     return out.withColumn("rank_rerank", F.row_number().over(order))

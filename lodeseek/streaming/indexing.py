@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,8 +18,8 @@ STEP_ROWS = "doc_id string, step string, status string, batch bigint, n int"
 def index_batch(docs: DataFrame, batch: int, out: str, make_encoder: Callable[[], plugins.Encoder] = plugins.hashing_encoder) -> None:
     """Chunk, encode and write one micro-batch; a batch that runs again replaces what it wrote before.
 
-    Writes chunks and vectors (by bucket of doc_id) and a row a document and step below out/steps/batch=n. An error
-    leaves the batch's documents failed in the ledger, and the stream goes on.
+    Writes chunks and vectors (by bucket of doc_id) and a row a document and step below out/steps/batch=n. An error of
+    code that runs on rows leaves the batch's documents failed in the ledger, and the stream goes on.
     """
     spark = docs.sparkSession
     docs = docs.dropDuplicates(["doc_id"])
@@ -31,11 +32,11 @@ def index_batch(docs: DataFrame, batch: int, out: str, make_encoder: Callable[[]
         steps.append("chunking")
         store.write_by_bucket(merged(spark, f"{out}/chunks", rows), f"{out}/chunks")
         steps.append("es_write")
-        vectors = plugins.embed(rows, make_encoder).join(rows.select("chunk_id", "doc_id", "version"), "chunk_id")
+        vectors = plugins.embed(rows, make_encoder).join(rows.select("chunk_id", "doc_id", "version").hint("merge"), "chunk_id")
         steps.append("embedding")
         store.write_by_bucket(merged(spark, f"{out}/vectors", vectors), f"{out}/vectors")
         steps.append("milvus")
-    except Exception as e:
+    except PythonException as e:  # the encoder or other code on rows; faults of Spark itself end the stream, which starts again from here
         status = f"failed: {type(e).__name__}"
     log = F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.lit("done").alias("status")) for s in steps], F.struct(F.lit("ready").alias("step"), F.lit(status).alias("status")))).alias("s")
     docs.select("doc_id", log).select("doc_id", "s.*", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{out}/steps/batch_{batch}")
@@ -48,7 +49,7 @@ def merged(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
         return rows
     old = spark.read.parquet(path)
     touched = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("bucket")).distinct()
-    kept = old.join(touched, "bucket", "left_semi").join(rows.select("doc_id").distinct(), "doc_id", "left_anti").drop("bucket")
+    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").drop("bucket")
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
