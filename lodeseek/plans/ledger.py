@@ -123,7 +123,7 @@ def quota_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = table(spark, sf_dir, "documents").select(F.md5("text").alias("md5"), "doc_id", F.when(F.col("lang") == "en", F.substring("text", 1, 20)).otherwise("").alias("title_cn"))
+    papers = table(spark, sf_dir, "documents").select(F.md5("text").alias("md5"), "doc_id", F.when(F.col("lang") == "en", F.col("text")).otherwise("").alias("title_cn"))
     return ledger.backfill(papers, tasks(spark, sf_dir).where("status <> 'pending'"), objects(spark, sf_dir))
 
 
@@ -232,7 +232,7 @@ ORACLES = {
         select case when status = 'pending' or (status = 'parsed' and a.md5 is not null) then 'skip' else 'reset' end as decision, count(*) as n from k left join a on a.md5 = k.md5 group by 1""",
     "batch_sizes": "with b as (select source as quota_day, lang as key, length(text) as pages, ((row_number() over (partition by source, lang order by length(text) desc, doc_id::varchar) - 1) // 10)::int as batch from documents) select quota_day, key, batch, count(*) as n, sum(pages)::bigint as pages from b group by all",
     "quota_report": "with u as (select source as day, lang as key, sum(length(text) // 100)::bigint as used from documents group by all) select day, key, used, greatest(0, 1000 - used)::bigint as remaining, greatest(0, 1000 - used) < 1 as exhausted from u",
-    "ledger_backfill": f"""with {_TASKS}, p as (select md5(text) as md5, min(doc_id) as doc_id, arg_min(case when lang = 'en' then substr(text, 1, 20) else '' end, doc_id) as title from documents group by 1),
+    "ledger_backfill": f"""with {_TASKS}, p as (select md5(text) as md5, min(doc_id) as doc_id, arg_min(case when lang = 'en' then text else '' end, doc_id) as title from documents group by 1),
         f as (select string_split(path, '/')[1] as md5, min(path) as path from o where lower(path) like '%.pdf' group by 1)
         select p.md5, doc_id, case when title <> '' then title else '文献-' || doc_id end as original_name, coalesce(path, 'preloaded/' || p.md5) as raw_path, path is not null as has_pdf from p left join f on f.md5 = p.md5 where p.md5 not in (select md5 from t where status <> 'pending')""",
     "status_counts": f"with {_TASKS}, n as (select unnest(range(6))::int as place, unnest(['pending', 'processing', 'parsed', 'indexing', 'ready', 'failed']) as status) select place, n.status, count(t.id) as n from n left join t on t.status = n.status group by all",

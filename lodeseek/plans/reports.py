@@ -51,12 +51,12 @@ def user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    existing = table(spark, sf_dir, "documents").select(F.substring("text", 1, 6).alias("slug")).where("slug like 'T%'")
-    return reports.taken_names(table(spark, sf_dir, "documents").select(F.substring("text", 1, 6).alias("slug")), existing, "slug")
+    existing = table(spark, sf_dir, "documents").select(F.col("text").alias("slug")).where("slug like 'T%'")
+    return reports.taken_names(table(spark, sf_dir, "documents").select(F.col("text").alias("slug")), existing, "slug")
 
 
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit(" "), F.substring("text", 1, 60))
+    name = F.concat(F.lit(" "), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", text.slug(name).alias("slug"), text.valid_slug(text.slug(name)).alias("valid"))
 
 
@@ -152,8 +152,8 @@ ORACLES = {
     "kb_overview": "with b as (select source as kb_id, min(doc_id) as created_at from documents group by 1 union all select 'empty', -1), t as (select case when lang <> 'es' then source end as kb_id, quality from documents d left join labels l on l.doc_id = d.doc_id) select b.kb_id, created_at, count(t.kb_id) as doc_count, count(*) filter (t.kb_id is not null and quality = 1) > 0 as has_ready_docs from b left join t on t.kb_id = b.kb_id group by 1, 2",
     "kb_documents": "with r as (select source as kb_id, doc_id as id, row_number() over (partition by source order by doc_id desc)::int as rank from documents where lang <> 'es') select * from r where rank <= 200",
     "user_list": "select c_custkey as id, c_nationkey as created_at, c_name as username from customer order by 2, 1",
-    "name_conflicts": "select substr(text, 1, 6) as slug, count(*) as n, substr(text, 1, 6) like 'T%' as exists from documents group by 1 having count(*) > 1 or substr(text, 1, 6) like 'T%'",
-    "slugify": "with s as (select doc_id, regexp_replace(lower(trim(' ' || substr(text, 1, 60))), '[^a-z0-9_]', '_', 'g') as slug from documents) select doc_id, slug, length(slug) between 2 and 50 as valid from s",
+    "name_conflicts": "select text as slug, count(*) as n, text like 'T%' as exists from documents group by 1 having count(*) > 1 or text like 'T%'",
+    "slugify": "with s as (select doc_id, regexp_replace(lower(trim(' ' || text)), '[^a-z0-9_]', '_', 'g') as slug from documents) select doc_id, slug, length(slug) between 2 and 50 as valid from s",
     "cascade_delete": f"with {_C} select 'users' as what, count(distinct user_id) as n from c where user_id not in (1, 4) union all select 'conversations', count(*) from c where user_id not in (1, 4) union all select 'messages', sum(n_messages)::bigint from c where user_id not in (1, 4) union all select 'orphans', count(*) from documents where lang = 'es' or source like 'src1%'",
     "derived_titles": "select conv_id, turn, case when length(text) > 30 then substr(text, 1, 30) || '...' else text end as title, case when role = 'user' and trim(text) <> '' then substr(trim(text), 1, 50) else '新对话' end as renamed from conversations",
     "point_lookup": "select d.doc_id as id, md5(text) as md5, case quality when 1 then 'parsed' when 0 then 'failed' else 'pending' end as status from documents d left join labels l on l.doc_id = d.doc_id where md5(text) in (select md5(text) from documents where lang = 'de')",
