@@ -81,12 +81,16 @@ def formatted(messages: DataFrame, learned: str = "assistant") -> DataFrame:
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
-    """conversations with turns (role, text) parsed from the formatted string, and the text under its loss mask."""
+    """conversations with turns (role, text, media) parsed from the formatted string, and the text under its loss mask.
+
+    A part that begins with "<" is a placeholder, since texts have it escaped: it is in media and no part of a text.
+    """
     shown = F.filter(F.split("formatted", CLOSE), lambda x: x != "")
     head = lambda x: F.substring_index(x, "\n", 1)
     body = lambda x: F.substring(x, F.length(head(x)) + 2, F.length(x))
-    plain = lambda b: F.array_join(F.transform(F.split(b, PART), lambda p: unescaped(p)), "")
-    turns = F.transform(shown, lambda x: F.struct(unescaped(F.substring(head(x), len(OPEN) + 1, F.length(x)), role=True).alias("role"), plain(body(x)).alias("text")))
+    plain = lambda b: F.array_join(F.transform(F.filter(F.split(b, PART), lambda p: ~p.startswith("<")), lambda p: unescaped(p)), "")
+    media = lambda b: F.filter(F.split(b, PART), lambda p: p.startswith("<"))
+    turns = F.transform(shown, lambda x: F.struct(unescaped(F.substring(head(x), len(OPEN) + 1, F.length(x)), role=True).alias("role"), plain(body(x)).alias("text"), media(body(x)).alias("media")))
     whole = F.encode("formatted", "UTF-8")
     masked = F.transform("loss", lambda s: plain(F.decode(F.substring(whole, (s["start"] + 1).cast("int"), s["length"].cast("int")), "UTF-8")))
     return conversations.withColumn("turns", turns).withColumn("loss_text", F.array_join(masked, ""))

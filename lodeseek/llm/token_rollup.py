@@ -27,8 +27,8 @@ PIECE = 100_000
 KEY = ["doc_id", "version"]
 GROUP = ["source", "lang", "version"]
 SIGNED = "doc_id long, source string, lang string, version string, n_docs long, n_tokens long"
-#: Folders of signed rows.
-BUCKETS = 256
+#: Folders of signed rows; a batch writes a file to each that it touches.
+BUCKETS = 64
 CHANGES = "seq long, op string, doc_id long, source string, lang string, version string, n_tokens long"
 
 
@@ -110,7 +110,7 @@ class TokenRollup:
         return rows.where("n_docs <> 0 or n_tokens <> 0")
 
     def _write(self, name: str, signed: DataFrame) -> None:
-        signed.withColumn("bucket", bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/signed/batch={name}")
+        signed.withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/signed/batch={name}")
         signed = self.spark.read.schema(f"{SIGNED}, bucket int").parquet(f"{self.path}/signed/batch={name}")
         sums = signed.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(f"{self.path}/sums/batch={name}")

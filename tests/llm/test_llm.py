@@ -226,6 +226,12 @@ def test_chat_parts(spark):
     assert got[1].formatted == "<turn>user\nsee \\lb><part><image:1><part><audio:2><part>tail</turn>\n<turn>assistant\n<document:3></turn>\n<turn>user\n</turn>\n"
     assert [(a.number, a.ref, a.n_tokens) for a in got[1].attachments] == [(1, "i.png", 256), (2, "a.wav", 7), (3, "d.pdf", 512)] and got[1].n_tokens == 3 + 256 + 7 + 512
     assert got[None].formatted == "<turn>\n</turn>\n"
+    rows = spark.createDataFrame([(1, 1, "assistant", [("text", "a <b>", None, None), ("image", None, "i", None), ("text", "<image:1>", None, None)])], kind)
+    back = chat_format.read_back(chat_format.formatted(rows)).first()
+    assert back.loss_text == "a <b><image:1>" and [(t.text, t.media) for t in back.turns] == [("a <b><image:1>", ["<image:1>"])]
+    assert chat_format.read_back(chat_format.formatted(rows.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, t, "assistant", [("text", LONG, None, None)]) for t in range(3)], kind)
+    assert chat_format.read_back(chat_format.formatted(long)).first().loss_text == 3 * LONG
 
 
 # 5
