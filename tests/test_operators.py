@@ -141,6 +141,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "parsed" / "m2" / "other.txt").write_text("x")
     got = files.parsed_documents(spark, str(tmp_path / "parsed")).collect()
     assert len(got) == 1 and (got[0].md5, got[0].uuid, got[0].text[:3], got[0].pages[0][0].type) == ("m1", "u-1", "x\ny", "table"), got
+    (tmp_path / "meta" / "m1").mkdir(parents=True)
+    (tmp_path / "meta" / "m1" / "b.json").write_text(json.dumps({"doi": "10.2"}))
+    (tmp_path / "meta" / "m1" / "a.json").write_text(json.dumps({"doi": "10.1", "journal": "J"}))
+    assert [(r.md5, r.doi, r.journal) for r in files.parsed_documents(spark, str(tmp_path / "parsed"), str(tmp_path / "meta")).collect()] == [("m1", "10.1", "J")]
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "f.json").write_text(json.dumps({"md5": "m", "uuid": "u", "chunks": [{"chunk_id": "1", "content": "x"}, {"chunk_id": "2"}]}))
     (tmp_path / "c" / ".checkpoint.json").write_text("{}")
@@ -150,6 +154,45 @@ def test_files(spark, tmp_path):
     assert [r.c for r in files.answer_events(log).collect()] == ["a"]
 
 
+def test_bundle_members(spark):
+    names = ["x/full.md", "images/a.png", "a.PNG", "b.bmp", "c.svg", "d.json", "sub/", "", "full.md", "e"]
+    rows = spark.createDataFrame([("k", i, n) for i, n in enumerate(names)], "bundle string, seq int, path string")
+    got = {(r.seq, r.name, r.kind, r.content_type) for r in files.bundle_members(rows).collect()}
+    plain = "application/octet-stream"
+    assert got == {
+        (0, "full.md", "superseded", "text/markdown"), (1, "a.png", "image", "image/png"), (2, "a.PNG", "other", plain), (3, "b.bmp", "image", "image/bmp"),
+        (4, "c.svg", "other", plain), (5, "d.json", "other", plain), (8, "full.md", "full_md", "text/markdown"), (9, "e", "other", plain),
+    }
+
+
+def test_paths_by_the_beginning_of_md5(spark):
+    tasks = spark.createDataFrame([(1, "aa11", "b1", "p1"), (2, "aa22", "b1", "p2"), (3, None, None, "p3")], "id int, md5 string, batch_id string, raw_path string")
+    objects = spark.createDataFrame([("zz/x.pdf",)], "path string")
+    papers = spark.createDataFrame([(9, "zz")], "doc_id int, md5 string")
+    wanted = spark.createDataFrame([("aa22",), ("aa2",), ("aa",), ("b1",), ("zz",), ("9",), ("3",), ("none",)], "key string")
+    got = {r.key: (r.path, r.via) for r in ledger.resolve_paths(wanted, tasks, objects, papers).collect()}
+    assert got == {"aa22": ("p2", "by_md5"), "aa2": ("p2", "by_prefix"), "aa": ("p1", "by_prefix"), "b1": ("p1", "by_batch_id"), "zz": ("zz/x.pdf", "by_object"), "9": ("zz/x.pdf", "by_paper"), "3": ("p3", "by_id"), "none": (None, None)}
+
+
+def test_poll_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"data_id": "d1", "file_name": "f", "state": "done"}, {"data_id": "", "file_name": "f2", "state": "running"}, {"data_id": "d3"}, {"state": "done"}]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    out, at = str(tmp_path / "out"), str(tmp_path / "cp")
+    files.poll_stream(spark, str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", at).trigger(availableNow=True).start(out).awaitTermination(120)
+    assert sorted((r.data_id, r.state) for r in spark.read.parquet(out).collect()) == [("d1", "done"), ("f2", "running")]
+
+
+def test_a_task_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    from lodeseek.sources.shared import shared_dir
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(unset)
+
+
 def test_plugins(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, "a b")], "chunk_id int, content string")
     got = {r.chunk_id: r.embedding for r in plugins.embed(rows, plugins.hashing_encoder).collect()}
