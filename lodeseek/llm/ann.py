@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import read_table, stored
 
 #: Rows of a block on average; projections; part of them that must collide.
-BLOCK_ROWS, PROJECTIONS, COLLISIONS = 8_192, 96, 0.62
+BLOCK_ROWS, PROJECTIONS, COLLISIONS = 8_192, 32, 0.5
 #: Half a window's width, for a row's distance, at which it collides in one and a half standard deviations more than that part.
 REACH = NormalDist().inv_cdf((1 + COLLISIONS + 1.5 * (COLLISIONS * (1 - COLLISIONS) / PROJECTIONS) ** 0.5) / 2)
 #: Factor by which windows widen, and the first window, in parts of the common norm.
@@ -43,10 +43,15 @@ class Block:
         missing = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(1), 0.0))
         self.lines = np.random.default_rng(20240601).normal(size=(dim + 1, PROJECTIONS))
         projected = vectors @ self.lines[:dim] + missing[:, None] * self.lines[dim]
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(projected, self.order.T, 0).T.copy()
         self.start = 0
 
+    def windows(self, centres: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places of each query's windows: (queries, projections) each."""
+        half = self.norm * FIRST * WIDEN**level
+        return tuple(np.stack([np.searchsorted(s, c + shift, side) for s, c in zip(self.sorted, centres.T, strict=True)], 1) for shift, side in ((-half, "left"), (half, "right")))
+
     def listed(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The rows at places lo to hi of each sorted array, one array after the other."""
         return np.concatenate([o[a:b] for o, a, b in zip(self.order, lo.tolist(), hi.tolist(), strict=True)])
@@ -57,22 +62,24 @@ class Block:
         scale = self.norm / np.sqrt((queries * queries).sum(1))
         centres = (queries * scale[:, None]) @ self.lines[:-1]
         needed = int(np.ceil(COLLISIONS * PROJECTIONS))
+        opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for i, q in enumerate(query_ids):
-            vector, level, done = queries[i], max(0, self.start - 3), np.zeros(n, bool)
+            vector, level, done = queries[i], max(0, self.start - 1), np.zeros(n, bool)
             own = self.ids == q
             rows, scores = np.zeros(0, np.int64), np.zeros(0)
-            counts, lo, hi = np.zeros(n, np.int64), None, None
+            counts, lo, hi = None, None, None
             while True:
                 half = self.norm * FIRST * WIDEN**level
                 if exact:
                     new = np.flatnonzero(~own)
                 else:
-                    wider_lo = np.array([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centres[i], strict=True)])
-                    wider_hi = np.array([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centres[i], strict=True)])
+                    if level not in opened:
+                        opened[level] = self.windows(centres, level)
+                    wider_lo, wider_hi = (x[i] for x in opened[level])
                     if lo is None:
-                        counts += np.bincount(self.listed(wider_lo, wider_hi), minlength=n)
+                        counts = np.bincount(self.listed(wider_lo, wider_hi), minlength=n)
                     else:
-                        counts += np.bincount(np.concatenate([self.listed(wider_lo, lo), self.listed(hi, wider_hi)]), minlength=n)
+                        counts = counts + np.bincount(np.concatenate([self.listed(wider_lo, lo), self.listed(hi, wider_hi)]), minlength=n)
                     lo, hi = wider_lo, wider_hi
                     new = np.flatnonzero((counts >= needed) & ~done & ~own)
                 if len(new):
