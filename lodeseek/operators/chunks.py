@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords, present, strip
+from ..sources.shared import stored
 from .lines import CAPTION, _number, elements, table_references, with_path
 
 # The limit of a packed chunk, labels of the parts of a chunk's content, and marks of odd documents.
@@ -143,12 +143,12 @@ def document_ids(docs: DataFrame) -> DataFrame:
 def chunk_documents(docs: DataFrame, content_list: DataFrame | None = None, form: str = "journal", max_chars: int = MAX_CHARS, keep: bool = True) -> DataFrame:
     """All chunks of documents (doc_id, text, and META or title): a wide row each, null where a level lacks a field.
 
-    A document with an empty or null text has its L0 chunk only. The elements, which each level reads, are kept on
-    executors' disks unless keep is false; those of a lost executor are found anew.
+    A document with an empty or null text has its L0 chunk only. The elements, which each level reads, are stored in
+    the shared folder unless keep is false.
     """
     found = elements(docs.where(present(F.col("text")).isNotNull()))
     if keep:
-        found = found.persist(StorageLevel.DISK_ONLY)
+        found = stored(found, "elements")
     level0 = (paper_chunks(docs) if form == "journal" else generic_paper_chunks(docs, found)).withColumns({"level": F.lit("L0"), "chunk_type": F.lit("paper")})
     level1 = section_chunks(found, max_chars).drop("at").withColumns({"level": F.lit("L1"), "chunk_type": F.lit("paragraph")})
     level2 = table_chunks(tables(found, content_list)).drop("at").withColumns({"level": F.lit("L2"), "chunk_type": F.lit("table")})

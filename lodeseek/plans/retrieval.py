@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import answers, plugins, ranking, text_index, vector_index
+from ..operators import answers, plugins, ranking, search, text_index, vector_index
 from ..sources import tables
 from ..sources.shared import stored
 
@@ -72,6 +72,12 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir)
 
 
+def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One knowledge base, with filters on both sides; the vectors are those that have the queries' numbers."""
+    target = search.Target(index_of(spark, sf_dir), tables.chunks(spark, sf_dir), tables.chunk_vectors(spark, sf_dir), FIELDS)
+    return search.hybrid(tables.queries(spark, sf_dir), tables.query_vectors(spark, sf_dir), target, {"article_type": ["en", "fr"], "unknown": "x"}, each=50, top=30)
+
+
 def rrf_sixty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, 60)
 
@@ -170,7 +176,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    postings_stats, bm25_topk, bm25_filtered, vector_topk, hybrid_search, rrf_sixty, payload_merge, rerank_lexical, context_blocks, prompt_build,
+    postings_stats, bm25_topk, bm25_filtered, vector_topk, hybrid_search, hybrid_filtered, rrf_sixty, payload_merge, rerank_lexical, context_blocks, prompt_build,
     citations, retrieval_metrics, rerank_metrics, relevance_bands, citation_markers, conversation_citations, ann_cells, ann_recall, doubled_queries, query_terms,
 )}
 
@@ -229,6 +235,13 @@ ct as (select query_id, row_number() over (partition by query_id order by rank):
 ci as (select * from ct where id <= 5)"""
 
 ORACLES = {
+    "hybrid_filtered": f"""with {_HITS}, {_VECTOR},
+        ok as (select chunk_id from c where article_type in ('en', 'fr')),
+        tx as (select * from (select query_id, s.chunk_id, row_number() over (partition by query_id order by score desc, s.chunk_id)::int as rank from s join ok on ok.chunk_id = s.chunk_id where must > 0) where rank <= 50),
+        vx as (select * from (select query_id, vs.chunk_id, row_number() over (partition by query_id order by score desc, vs.chunk_id)::int as rank from vs join ok on ok.chunk_id = vs.chunk_id) where rank <= 50),
+        fu as (select coalesce(vx.query_id, tx.query_id) as query_id, coalesce(vx.chunk_id, tx.chunk_id) as chunk_id, vx.rank as rank_vector, tx.rank as rank_text,
+                 round(coalesce(1.0::double / (20 + vx.rank), 0) + coalesce(1.0::double / (20 + tx.rank), 0), 6) as score_rrf from vx full join tx on vx.query_id = tx.query_id and vx.chunk_id = tx.chunk_id)
+        select * from (select *, row_number() over (partition by query_id order by score_rrf desc, coalesce(rank_vector, 999999), coalesce(rank_text, 999999), chunk_id)::int as rank from fu) where rank <= 30""",
     "ann_recall": "with e as (select count(*) as n from embeddings), q as (select count(*) as n from embeddings where vec_id in (select item_id from benchmark)) select unnest([16, 32])::int as n_probe, q.n * least(20, e.n) as n_exact, true as enough from e, q",
     "postings_stats": f"with {_WORDS}, a as (select field, count(*) as n_postings, sum(tf)::bigint as n_tokens, count(distinct token) as n_terms from p group by field) select a.*, n_chunks, round(avgdl, 6) as avgdl from a join st on st.field = a.field",
     "bm25_topk": f"with {_TEXT} select query_id, chunk_id, score, rank from t",

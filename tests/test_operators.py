@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.operators import answers, ledger, plugins, ranking, reports, store, text_index, vector_index
 from lodeseek.sources import files
+from lodeseek.sources.shared import stored
 from lodeseek.streaming import folds, indexing, tasks
 
 HITS = "query_id int, chunk_id string, rank int"
@@ -70,6 +71,24 @@ def test_cells_find_most(spark):
     assert [r.chunk_id for r in vector_index.wrong_dimension(bad, 2).orderBy("chunk_id").collect()] == [2, 3] and vector_index.prepared(bad).count() == 1
 
 
+def test_hybrid_search_of_a_target(spark):
+    from lodeseek.operators import search
+
+    chunks = spark.createDataFrame([(1, "red apple pie", "en"), (2, "green apple", "fr"), (3, "blue sky over the sea", "en"), (4, None, "en")], "chunk_id long, content string, lang string")
+    vectors = stored(plugins.embed(chunks, plugins.hashing_encoder), "vectors")
+    asked = spark.createDataFrame([(7, "apple"), (8, "")], "query_id long, query string")
+    of_queries = search.query_vectors(asked)
+    assert sorted(r.query_id for r in of_queries.collect()) == [7, 8]  # that of 8 is zero, which finds nothing
+    target = search.Target(text_index.build(chunks, {"content": "text"}), chunks, vectors, {"content": "text"})
+    got = search.hybrid(asked, of_queries, target).orderBy("rank").collect()
+    assert {r.query_id for r in got} == {7} and [r.chunk_id for r in got if r.rank_text] == [2, 1] and len(got) == 3
+    only = search.hybrid(asked, of_queries, target, {"lang": "en", "none": 1}).collect()
+    assert {r.chunk_id for r in only} == {1, 3}
+    model = vector_index.fit_cells(vectors, 2)
+    near = search.Target(target.index, chunks, vector_index.with_cell(vectors, model), target.fields, model)
+    assert [r.chunk_id for r in search.hybrid(asked, of_queries, near, n_probe=2).orderBy("rank").collect()] == [r.chunk_id for r in got]
+
+
 def test_stores(spark, tmp_path):
     base = spark.createDataFrame([(1, 1, "old"), (2, 5, "kept")], "chunk_id int, version int, content string")
     new = spark.createDataFrame([(1, 1, "new"), (2, 4, "late"), (3, 1, "added"), (3, 1, "added")], base.schema)
