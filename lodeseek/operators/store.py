@@ -58,6 +58,22 @@ def export_outcomes(files: DataFrame, exported: DataFrame) -> DataFrame:
     return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def export(files: DataFrame, path: str) -> DataFrame:
+    """Append the chunk files (md5, uuid, ...) that aren't there yet to a folder of JSON rows; returns export_outcomes.
+
+    A file without uuid isn't written; of rows with one uuid a single one is, though each counts as uploaded. Running it
+    again writes nothing.
+    """
+    spark = files.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    exported = spark.read.schema("uuid string").json(path) if there else spark.createDataFrame([], "uuid string")
+    outcomes = export_outcomes(files, exported).collect()  # three rows at most
+    fresh = files.where(present(F.col("uuid")).isNotNull()).join(exported.distinct().hint("merge"), "uuid", "left_anti").dropDuplicates(["uuid"])
+    fresh.write.mode("append").json(path)
+    return spark.createDataFrame(outcomes, "outcome string, n long")
+
+
 def output_name(uuid: Column, doc_id: Column, md5: Column) -> Column:
     stem = F.coalesce(present(uuid), F.concat_ws("_", doc_id.cast("string"), F.substring(md5, 1, 8)))
     return F.concat(stem, F.lit(".json"))

@@ -100,6 +100,18 @@ def test_stores(spark, tmp_path):
     assert {r.chunk_id: r.content for r in spark.read.parquet(str(tmp_path / "t")).collect()}[1] == "again"
 
 
+def test_exports_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([("m1", "u1"), ("m2", ""), ("m3", None), ("m4", "u4")], "md5 string, uuid string")
+    path = str(tmp_path / "out")
+    counts = lambda df: {r.outcome: r.n for r in df.collect()}
+    assert counts(store.export(rows.where("md5 < 'm4'"), path)) == {"uploaded": 1, "no_uuid": 2}
+    assert counts(store.export(rows, path)) == {"uploaded": 1, "exists": 1, "no_uuid": 2}
+    assert counts(store.export(rows, path)) == {"exists": 2, "no_uuid": 2}
+    assert sorted((r.md5, r.uuid) for r in spark.read.json(path).collect()) == [("m1", "u1"), ("m4", "u4")]
+    titles = spark.createDataFrame([("a", "b"), ("", "b"), (None, "b")], "m string, t string").select(store.vector_title(F.col("m"), F.col("t")).alias("x"))
+    assert [r.x for r in titles.collect()] == ["a", "b", "b"]
+
+
 def test_quota_is_best_fit(spark):
     docs = spark.createDataFrame([("d", m, p) for m, p in [("a", 900), ("b", 500), ("c", 400), ("d", 600), ("e", 50)]], "quota_day string, md5 string, pages bigint")
     keys = spark.createDataFrame([("d", "k1", 1000), ("d", "k2", 1000)], "quota_day string, key string, remaining int")
