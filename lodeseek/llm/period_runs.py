@@ -178,7 +178,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), GROUPED, "right")))
-        words = pc.fill_null(pc.list_flatten(lists.slice(at, to - at)).cast(pa.large_string()), "")
+        words = pc.fill_null(pc.list_flatten(lists.slice(at, to - at)), "")
         yield batch.slice(at, to - at), words, np.r_[0, np.cumsum(sizes[at:to])]
         at = to
 
@@ -204,7 +204,7 @@ def with_runs(texts: DataFrame, words: str = "words", runs: str = "runs", collap
             np.add.at(gone, first[text] + start + length, -1)
             kept = np.cumsum(gone[:-1]) == 0
             ends = np.r_[0, np.cumsum(kept)][first]
-            left = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat.filter(pa.array(kept))), " ").cast(pa.string())
+            left = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(kept))), " ")
             rows = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (start, length, period)], names=["start", "length", "period"])
             found = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(first))), pa.int32()), rows)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in schema.names[:-2]), found, left], names=schema.names)
