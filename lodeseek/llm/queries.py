@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_sql, chat_format, decontam, html_extract, lm_scoring, mixing, near_dedup, period_runs, substring_dedup, token_rollup, toxicity
+from . import alignment, ann, bpe_sql, chat_format, decontam, html_extract, lm_scoring, mixing, near_dedup, period_runs, substring_dedup, token_rollup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": mixing.query,
         "op9_near_dedup": near_dedup.query,
         "op10_html_extract": html_extract.query,
+        "op11_token_alignment": alignment.query,
         "op12_period_runs": period_runs.query,
         "op13_bpe_duckdb": bpe_sql.query,
     }
