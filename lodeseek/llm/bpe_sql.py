@@ -1,6 +1,6 @@
 """Byte-level BPE over whole texts: each partition encodes and decodes with DuckDB, as rows of tokens and positions.
 
-A text is cut by the pre-tokenizer's pattern. Words that a task hasn't met before become rows (word, position, token),
+A text is cut by the pre-tokenizer's pattern. Words that a worker hasn't met before become rows (word, position, token),
 first a token a byte. A recursive query joins neighbours with the merge table and contracts in each word the leftmost
 of the pairs of least rank, until no word has a pair that merges. Decoding joins ids with the vocabulary and puts their
 bytes together by an ordered aggregation.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Text that is encoded at a time, bytes of new words in one recursive query, and its contractions before it starts anew
 #: from what it has (its rows of all steps stay in memory until then).
-SLICE, NEW_BYTES, STEPS = 8 << 20, 256 << 10, 64
-#: Words whose tokens a task remembers; then it begins anew.
+SLICE, NEW_BYTES, STEPS = 4 << 20, 256 << 10, 64
+#: Words whose tokens a worker remembers; then it begins anew.
 REMEMBERED = 600_000
 #: Ids that are decoded at a time.
-DECODED = 2_000_000
+DECODED = 500_000
 
 CONTRACT = """
 with recursive s as (
@@ -68,6 +68,14 @@ def _connection():
     return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
 
 
+class _Numbers(dict):
+    """A number for each word, given when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Tokens of words, for one task: words that it knows by number, and DuckDB for new ones."""
 
@@ -80,7 +88,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.sizes, self.tokens, self.n_ids = [], [], 0
 
     def contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,16 +137,12 @@ class Encoder:
 
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        find, numbers, fresh = regex.compile(PATTERN).findall, self.numbers, []
-        lengths, codes = [], []
+        find, numbers, n_known = regex.compile(PATTERN).findall, self.numbers, len(self.numbers)
+        codes = []
         for text in texts:
             words = find(text)
-            for word in words:
-                if word not in numbers:
-                    numbers[word] = len(numbers)
-                    fresh.append(word)
-            lengths.append(len(words))
             codes.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        fresh = list(islice(numbers, n_known, None))
         if fresh:
             self.learn(fresh)
             self.sizes, self.tokens = [np.concatenate(self.sizes)], [np.concatenate(self.tokens)]
@@ -153,6 +157,10 @@ class Encoder:
         return out
 
 
+#: The encoder of each vocabulary in this Python worker, which serves one task after the other.
+_encoders: dict[str, Encoder] = {}
+
+
 def _replacing(df: DataFrame, column: str) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != column), T.StructField(column, T.BinaryType())])
 
@@ -170,9 +178,10 @@ def with_ids(docs: DataFrame, path: str = RANKS, text: str = "text", column: str
     schema = _replacing(kept.drop(text), column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        if path not in _encoders:
+            _encoders[path] = Encoder(*shared.value)
+        encoder = _encoders[path]
         for batch in chain.from_iterable(slices(b, text, SLICE) for b in batches):
-            encoder = encoder or Encoder(*shared.value)
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ids = pa.array([x.astype("<u4").tobytes() for x in encoder.encode(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), ids], names=schema.names)
