@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import answers, plugins, ranking, search, text_index, vector_index
+from ..operators import answers, plugins, ranking, search, text_index, text_segments, vector_index
+from ..operators.keyed_table import KeyedTable
 from ..sources import tables
-from ..sources.shared import stored
+from ..sources.shared import new_path, stored
 
 FIELDS = {"content": "text", "title_cn": "text", "keywords_cn": "keyword"}
+FIVE = {**FIELDS, "metadata_title_cn": "text", "metadata_keywords_cn": "keyword"}
 PAYLOAD = ["doc_id", "content", "title_cn", "journal", "title", "heading_stack"]
 
 
 _built: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, what: str, make):
-    """What make() stores in the shared folder, built once for each application and folder of tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, what)
+def _once(spark: SparkSession, sf_dir: str, what: str, tables_read: tuple[str, ...], make):
+    """What make() stores in the shared folder, built once for each application and state of the tables' files."""
+    key = (spark.sparkContext.applicationId, what, tables.listing(spark, sf_dir, *tables_read))
     if key not in _built:
         _built[key] = make()
     return _built[key]
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> text_index.Index:
-    return _once(spark, sf_dir, "text", lambda: text_index.build(tables.chunks(spark, sf_dir), FIELDS))
+    return _once(spark, sf_dir, "text", ("documents",), lambda: text_segments.build(tables.chunks(spark, sf_dir), FIELDS))
 
 
 def cells_of(spark: SparkSession, sf_dir: str):
@@ -37,7 +39,7 @@ def cells_of(spark: SparkSession, sf_dir: str):
         model = vector_index.fit_cells(vectors, 32)
         return model, stored(vector_index.with_cell(vectors, model), "cells")
 
-    return _once(spark, sf_dir, "cells", make)
+    return _once(spark, sf_dir, "cells", ("embeddings",), make)
 
 
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,52 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_hits(spark, sf_dir, filters={"article_type": ["en", "de"], "journal": "src1", "unknown": "x"})
 
 
+def maintained_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, text_segments.TextIndex]:
+    """The last rows, and their index after three batches: all chunks; those labelled toxic shortened to their titles, and
+    repeated contents deleted, where they aren't among these; those of low quality with their source added."""
+
+    def make():
+        index = text_segments.TextIndex(spark, new_path(spark, "segments"), FIVE)
+        store = KeyedTable(spark, new_path(spark, "chunks"))
+        rows = tables.with_metadata(tables.chunks(spark, sf_dir)).select("chunk_id", *FIVE)
+        labels = tables.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chunk_id")
+        first = rows.groupBy(F.sha2("content", 256).alias("digest")).agg(F.min("chunk_id").alias("first"))
+        copies = rows.select("chunk_id", F.sha2("content", 256).alias("digest")).join(first.hint("merge"), "digest").where("chunk_id > first").select("chunk_id")
+        short = rows.join(labels.where("toxic = 1").select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("content", F.col("title_cn"))
+        longer = rows.join(labels.where("quality = 0").select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("content", F.concat_ws(" ", "content", "metadata_keywords_cn"))
+        for n, (upserts, deleted) in enumerate([(rows, None), (short, copies), (longer, None)]):
+            index.apply(upserts, deleted)
+            if deleted is not None:
+                store.delete(deleted)
+            store.upsert(upserts.withColumn("version", F.lit(n).cast("long")))
+        index.merge()
+        store.merge()
+        return store, index
+
+    store, index = _once(spark, sf_dir, "segments", ("documents", "labels"), make)
+    return store.read(), index
+
+
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five fields of an index that followed upserts and deletions."""
+    rows, index = maintained_index(spark, sf_dir)
+    return text_index.bm25(tables.queries(spark, sf_dir), rows, FIVE, index.open(), k=50)
+
+
+def segments_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signed statistics of segments, and what their postings come to."""
+    index = maintained_index(spark, sf_dir)[1].open()
+    by_field = index.postings.groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    terms = index.frequencies.groupBy("field").agg(F.count("*").alias("n_terms"), F.sum("df").alias("sum_df"))
+    joined = by_field.join(F.broadcast(terms), "field").join(F.broadcast(index.lengths), "field")
+    return joined.select("field", "n_postings", "n_tokens", "n_terms", "sum_df", "n_chunks", F.round("avgdl", 6).alias("avgdl"))
+
+
+def maintained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a keyed table has after the same batches."""
+    return maintained_index(spark, sf_dir)[0].select("chunk_id", F.md5("content").alias("digest"), "metadata_keywords_cn")
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_index.exact_top_k(tables.query_vectors(spark, sf_dir), tables.chunk_vectors(spark, sf_dir))
 
@@ -176,7 +224,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    postings_stats, bm25_topk, bm25_filtered, vector_topk, hybrid_search, hybrid_filtered, rrf_sixty, payload_merge, rerank_lexical, context_blocks, prompt_build,
+    postings_stats, bm25_topk, bm25_filtered, bm25_segments, segments_stats, maintained_rows, vector_topk, hybrid_search, hybrid_filtered, rrf_sixty, payload_merge, rerank_lexical, context_blocks, prompt_build,
     citations, retrieval_metrics, rerank_metrics, relevance_bands, citation_markers, conversation_citations, ann_cells, ann_recall, doubled_queries, query_terms,
 )}
 
@@ -188,6 +236,29 @@ w as (select chunk_id, 'content' as field, {_TOK.format("content")} as words fro
       union all select chunk_id, 'keywords_cn', case when keywords_cn <> '' then [keywords_cn] else [] end from c),
 st as (select field, count(*) as n_chunks, avg(len(words)) as avgdl from w where len(words) > 0 group by field),
 p as (select field, chunk_id, dl, token, count(*) as tf from (select field, chunk_id, len(words) as dl, unnest(words) as token from w) group by all)"""
+_FIVE = f"""
+lb as (select doc_id, max(toxic) as toxic, min(quality) as quality from labels group by doc_id),
+c as (select * from (
+    select d.doc_id as chunk_id, string_split(text, chr(10))[1] as title_cn, lang as keywords_cn, string_split(text, chr(10))[-1] as metadata_title_cn, source as metadata_keywords_cn,
+           case when quality = 0 then concat_ws(' ', text, source) when toxic = 1 then string_split(text, chr(10))[1] else text end as content,
+           d.doc_id > min(d.doc_id) over (partition by text) as copy, coalesce(quality = 0 or toxic = 1, false) as labelled
+    from documents d left join lb on lb.doc_id = d.doc_id) where labelled or not copy),
+w as (select chunk_id, 'content' as field, {_TOK.format("content")} as words from c
+      union all select chunk_id, 'title_cn', {_TOK.format("title_cn")} from c
+      union all select chunk_id, 'metadata_title_cn', {_TOK.format("metadata_title_cn")} from c
+      union all select chunk_id, 'keywords_cn', case when keywords_cn <> '' then [keywords_cn] else [] end from c
+      union all select chunk_id, 'metadata_keywords_cn', case when metadata_keywords_cn <> '' then [metadata_keywords_cn] else [] end from c),
+st as (select field, count(*) as n_chunks, avg(len(words)) as avgdl from w where len(words) > 0 group by field),
+p as (select field, chunk_id, dl, token, count(*) as tf from (select field, chunk_id, len(words) as dl, unnest(words) as token from w) group by all),
+d as (select field, token, count(*) as df from p group by all)"""
+_FIVE_HITS = f"""{_FIVE},
+qw as (select item_id as query_id, f.field, case when f.field like '%keywords%' then [text] else {_TOK.format("text")} end as words
+       from benchmark, (values ('content'), ('title_cn'), ('keywords_cn'), ('metadata_title_cn'), ('metadata_keywords_cn')) f(field)),
+q as (select query_id, field, token, count(*) as qtf from (select query_id, field, unnest(words) as token from qw) group by all),
+s as (select q.query_id, p.chunk_id, round(sum(qtf * ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+        * case when q.field = 'content' then 1.0::double when q.field like '%title%' then 2.0::double else 1.5::double end), 6) as score, count(*) filter (q.field = 'content') as must
+      from q join p on q.field = p.field and q.token = p.token join d on d.field = p.field and d.token = p.token join st on st.field = p.field
+      group by 1, 2)"""
 _HITS = f"""{_WORDS},
 d as (select field, token, count(*) as df from p group by all),
 qw as (select item_id as query_id, 'content' as field, {_TOK.format("text")} as words from benchmark
@@ -244,6 +315,10 @@ ORACLES = {
         select * from (select *, row_number() over (partition by query_id order by score_rrf desc, coalesce(rank_vector, 999999), coalesce(rank_text, 999999), chunk_id)::int as rank from fu) where rank <= 30""",
     "ann_recall": "with e as (select count(*) as n from embeddings), q as (select count(*) as n from embeddings where vec_id in (select item_id from benchmark)) select unnest([16, 32])::int as n_probe, q.n * least(20, e.n) as n_exact, true as enough from e, q",
     "postings_stats": f"with {_WORDS}, a as (select field, count(*) as n_postings, sum(tf)::bigint as n_tokens, count(distinct token) as n_terms from p group by field) select a.*, n_chunks, round(avgdl, 6) as avgdl from a join st on st.field = a.field",
+    "bm25_segments": f"with {_FIVE_HITS} select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s where must > 0) where rank <= 50",
+    "segments_stats": f"""with {_FIVE}, a as (select field, count(*) as n_postings, sum(tf)::bigint as n_tokens from p group by field), b as (select field, count(*) as n_terms, sum(df)::bigint as sum_df from d group by field)
+        select a.field, n_postings, n_tokens, n_terms, sum_df, n_chunks, round(avgdl, 6) as avgdl from a join b on a.field = b.field join st on st.field = a.field""",
+    "maintained_rows": f"with {_FIVE} select chunk_id, md5(content) as digest, metadata_keywords_cn from c",
     "bm25_topk": f"with {_TEXT} select query_id, chunk_id, score, rank from t",
     "bm25_filtered": f"with {_HITS}, k as (select s.*, row_number() over (partition by query_id order by score desc, s.chunk_id)::int as rank from s join c on c.chunk_id = s.chunk_id where must > 0 and article_type in ('en', 'de') and journal = 'src1') select query_id, chunk_id, score, rank from k where rank <= 200",
     "vector_topk": f"with {_VECTOR} select query_id, chunk_id, score, rank from v",

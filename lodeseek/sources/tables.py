@@ -19,6 +19,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_metadata(rows: DataFrame) -> DataFrame:
+    """chunks with the two fields of their metadata that are searched: the last line as a title, the source as a keyword."""
+    return rows.withColumn("metadata_title_cn", F.substring_index("content", "\n", -1)).withColumn("metadata_keywords_cn", F.col("journal"))
+
+
+def listing(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Path, size and time of the tables' files, by which a change shows."""
+    found = []
+    for name in names:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(found))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

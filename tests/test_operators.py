@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import answers, ledger, plugins, ranking, reports, store, text_index, vector_index
+from lodeseek.operators import answers, ledger, plugins, ranking, reports, store, text_index, text_segments, vector_index
 from lodeseek.sources import files
 from lodeseek.sources.shared import stored
 from lodeseek.streaming import folds, indexing, tasks
@@ -51,7 +51,8 @@ def test_context_prompt_and_citations(spark):
 def test_chinese_and_keyword_fields(spark):
     rows = spark.createDataFrame([(1, "高血压患者", "高血压"), (2, "糖尿病", "x"), (3, None, "高血压管理")], "chunk_id int, content string, keywords_cn string")
     asked = spark.createDataFrame([(9, "高血压")], "query_id int, query string")
-    hits = text_index.bm25(asked, rows, {"content": "text", "keywords_cn": "keyword"}).collect()
+    fields = {"content": "text", "keywords_cn": "keyword"}
+    hits = text_index.bm25(asked, rows, fields, text_segments.build(rows, fields)).collect()
     assert [r.chunk_id for r in hits] == [1]
 
 
@@ -79,7 +80,7 @@ def test_hybrid_search_of_a_target(spark):
     asked = spark.createDataFrame([(7, "apple"), (8, "")], "query_id long, query string")
     of_queries = search.query_vectors(asked)
     assert sorted(r.query_id for r in of_queries.collect()) == [7, 8]  # that of 8 is zero, which finds nothing
-    target = search.Target(text_index.build(chunks, {"content": "text"}), chunks, vectors, {"content": "text"})
+    target = search.Target(text_segments.build(chunks, {"content": "text"}), chunks, vectors, {"content": "text"})
     got = search.hybrid(asked, of_queries, target).orderBy("rank").collect()
     assert {r.query_id for r in got} == {7} and [r.chunk_id for r in got if r.rank_text] == [2, 1] and len(got) == 3
     only = search.hybrid(asked, of_queries, target, {"lang": "en", "none": 1}).collect()
