@@ -5,23 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
-from . import plugins, ranking, text_index, vector_index
+from . import plugins, ranking, text_index, vector_cells, vector_index
 
 
 @dataclass
 class Target:
-    """The tables of a knowledge base; with a model, vectors are with_cell's, and the search is in the nearest cells."""
+    """The tables of a knowledge base; with cells, which then have its vectors, the search is in the nearest of them."""
 
     index: text_index.Index
     chunks: DataFrame
-    vectors: DataFrame
+    vectors: DataFrame | None
     fields: Mapping[str, str]
-    model: KMeansModel | None = None
+    cells: vector_cells.VectorCells | None = None
 
 
 def query_vectors(queries: DataFrame, make_encoder=plugins.hashing_encoder) -> DataFrame:
@@ -46,7 +45,8 @@ def hybrid(queries: DataFrame, vectors: DataFrame, target: Target, filters: Mapp
     vectors = stored(vectors, "asked")  # a model's work, which is done once
     text = text_index.bm25(queries, target.chunks, target.fields, k=each, filters=filters, index=target.index)
     rows, only = target.vectors, allowed(target.chunks, filters)
-    if only is not None:
-        rows = rows.join(only.hint("merge"), "chunk_id", "left_semi")
-    near = vector_index.exact_top_k(vectors, rows, each) if target.model is None else vector_index.cell_top_k(vectors, rows, target.model, each, n_probe)
+    if target.cells is not None:
+        near = target.cells.top_k(vectors, each, n_probe, only)
+    else:
+        near = vector_index.exact_top_k(vectors, rows if only is None else rows.join(only.hint("merge"), "chunk_id", "left_semi"), each)
     return ranking.rrf(text, near, k, top)

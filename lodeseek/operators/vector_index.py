@@ -1,18 +1,16 @@
-"""Vector search for all queries at once: exact, and approximate over cells of k-means."""
+"""Vector search for all queries at once, exact; see vector_cells for the approximate one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import doubles, norm, unit
+from ..functions.vectors import doubles, norm
 from ..sources.shared import stored
 from .ranking import top_k
 
@@ -57,25 +55,33 @@ def _passes(queries: DataFrame) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_passes)) == i) for i in range(n_passes)]
 
 
-def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows (chunk_id, vector, norm, cell) of each query (query_id, vector, norm, cells), within its cells."""
+def search_rows(rows_of: Callable[[set[int]], DataFrame], queries: DataFrame, k: int, probe: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The k nearest rows of each query (query_id, vector, norm) within its cells.
+
+    probe: the cells of each of a matrix of unit vectors, in rows of one length. rows_of: the rows (chunk_id, vector,
+    norm, cell) of some cells, which are all that a pass of queries reads.
+    """
     found = None
     for asked in _passes(queries):
-        got = asked.select("query_id", "vector", "norm", "cells").collect()  # QUERIES_A_PASS on average
-        by_cell: dict[tuple, list[int]] = {}
-        for i, q in enumerate(got):
-            for c in q["cells"]:
-                by_cell.setdefault((len(q["vector"]), c), []).append(i)
-        table = {at: (np.array(of), np.array([got[i]["vector"] for i in of]) / np.array([got[i]["norm"] for i in of])[:, None]) for at, of in by_cell.items()}
-        shared = rows.sparkSession.sparkContext.broadcast((np.array([q["query_id"] for q in got], np.int64), table))
+        got = asked.select("query_id", "vector", "norm").collect()  # QUERIES_A_PASS on average
+        names = np.array([q["query_id"] for q in got], np.int64)
+        table = {}
+        for dim in {len(q["vector"]) for q in got}:
+            at = np.array([i for i, q in enumerate(got) if len(q["vector"]) == dim])
+            matrix = np.array([got[i]["vector"] for i in at]) / np.array([got[i]["norm"] for i in at])[:, None]
+            cells = probe(matrix)
+            for c in np.unique(cells):
+                of = np.flatnonzero((cells == c).any(axis=1))
+                table[dim, int(c)] = (at[of], matrix[of])
+        shared = queries.sparkSession.sparkContext.broadcast((names, table))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, of = shared.value
             best = Best(len(names), k)
             for batch in batches:
                 ids, norms, cells = (batch.column(c).to_numpy() for c in (0, 2, 3))
-                sizes = np.diff(batch.column(1).offsets.to_numpy())
-                values, first = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+                first = batch.column(1).offsets.to_numpy()
+                sizes, values = np.diff(first), batch.column(1).values.to_numpy()
                 for dim, cell in set(zip(sizes.tolist(), cells.tolist(), strict=True)) & set(of):
                     at = np.flatnonzero((sizes == dim) & (cells == cell))
                     who, matrix = of[dim, cell]
@@ -87,12 +93,13 @@ def _search(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             if sum(n):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=QUERY_ROW.names)
 
+        rows = rows_of({c for _, c in table})
         hits = rows.select(F.col("chunk_id").cast("long"), "vector", "norm", "cell").mapInArrow(run, QUERY_ROW)
         found = hits if found is None else found.unionByName(hits)
     return stored(top_k(found, k), "hits")  # k rows a query, which joins with themselves read again
 
 
-def _asked(queries: DataFrame) -> DataFrame:
+def asked_vectors(queries: DataFrame) -> DataFrame:
     return prepared(queries.withColumnRenamed("query_id", "chunk_id")).withColumnRenamed("chunk_id", "query_id")
 
 
@@ -103,27 +110,5 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFra
     matrices and keeps the best k of each query; vectors are read once a pass and never shuffled. Only vectors of a
     query's own length are compared with it.
     """
-    return _search(prepared(vectors).withColumn("cell", F.lit(0)), _asked(queries).withColumn("cells", F.array(F.lit(0))), k)
-
-
-def fit_cells(vectors: DataFrame, n_cells: int = 128, sample: int = 100_000, seed: int = 1) -> KMeansModel:
-    """Centres of cells, fitted on a sample of at most about `sample` normalised vectors."""
-    rows = prepared(vectors)
-    part = min(1.0, sample / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    return KMeans(k=n_cells, seed=seed, maxIter=10).fit(chosen.select(array_to_vector(unit(F.col("vector"))).alias("features")))
-
-
-def with_cell(vectors: DataFrame, model: KMeansModel) -> DataFrame:
-    """(chunk_id, vector, norm, cell): worth storing where more than one batch of queries comes."""
-    rows = prepared(vectors).withColumn("features", array_to_vector(unit(F.col("vector"))))
-    return model.transform(rows).select("chunk_id", "vector", "norm", F.col("prediction").alias("cell"))
-
-
-def cell_top_k(queries: DataFrame, rows: DataFrame, model: KMeansModel, k: int = 200, n_probe: int = 16) -> DataFrame:
-    """As exact_top_k, over the n_probe cells nearest to each query. rows: with_cell's. All cells are an exact search."""
-    centres = np.array(model.clusterCenters())
-    asked = _asked(queries)
-    apart = F.array(*[F.struct(F.aggregate(F.zip_with(unit(F.col("vector")), F.lit(c.tolist()), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    near = F.slice(F.array_sort(apart), 1, n_probe)
-    return _search(rows, asked.withColumn("cells", F.transform(near, lambda x: x["cell"])), k)
+    rows = prepared(vectors).withColumn("cell", F.lit(0))
+    return search_rows(lambda _: rows, asked_vectors(queries), k, lambda matrix: np.zeros((len(matrix), 1), np.int64))

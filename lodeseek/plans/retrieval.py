@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import answers, plugins, ranking, search, text_index, text_segments, vector_index
+from ..operators import answers, plugins, ranking, search, text_index, text_segments, vector_cells, vector_index
 from ..operators.keyed_table import KeyedTable
 from ..sources import tables
 from ..sources.shared import new_path, stored
@@ -31,13 +33,13 @@ def index_of(spark: SparkSession, sf_dir: str) -> text_index.Index:
     return _once(spark, sf_dir, "text", ("documents",), lambda: text_segments.build(tables.chunks(spark, sf_dir), FIELDS))
 
 
-def cells_of(spark: SparkSession, sf_dir: str):
-    """The centres of 32 cells, and the vectors with theirs."""
+def cells_of(spark: SparkSession, sf_dir: str) -> vector_cells.VectorCells:
+    """The vectors in 128 cells."""
 
     def make():
-        vectors = tables.chunk_vectors(spark, sf_dir)
-        model = vector_index.fit_cells(vectors, 32)
-        return model, stored(vector_index.with_cell(vectors, model), "cells")
+        cells = vector_cells.VectorCells(spark, new_path(spark, "cells"))
+        cells.create(tables.chunk_vectors(spark, sf_dir), 128)
+        return cells
 
     return _once(spark, sf_dir, "cells", ("embeddings",), make)
 
@@ -196,23 +198,41 @@ def conversation_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ann_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, rows = cells_of(spark, sf_dir)
-    return vector_index.cell_top_k(tables.query_vectors(spark, sf_dir), rows, model, 20)
+    return cells_of(spark, sf_dir).top_k(tables.query_vectors(spark, sf_dir), 20)
+
+
+def ann_every_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of all cells is an exact one."""
+    return cells_of(spark, sf_dir).top_k(tables.query_vectors(spark, sf_dir), 20, 128)
 
 
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each query's 20 nearest by exact search, whether the search in half of the cells finds nine in ten; in all cells, all."""
-    model, rows = cells_of(spark, sf_dir)
-    asked = tables.query_vectors(spark, sf_dir)
+    """How many of each query's 20 nearest rows are found in 1, 4, 16 and 64 of 128 cells, and how many rows these have."""
+    cells, asked = cells_of(spark, sf_dir), tables.query_vectors(spark, sf_dir)
     exact = stored(vector_index.exact_top_k(asked, tables.chunk_vectors(spark, sf_dir), 20).select("query_id", "chunk_id"), "exact")
-    n = F.count("*")
-    out = None
-    for probes, least in ((16, 0.9), (32, 1.0)):
-        near = stored(vector_index.cell_top_k(asked, rows, model, 20, probes).select("query_id", "chunk_id"), "near")
-        both = exact.join(near.withColumn("found", F.lit(1)).hint("merge"), ["query_id", "chunk_id"], "left")
-        part = both.agg(F.lit(probes).alias("n_probe"), n.alias("n_exact"), (F.count("found") >= least * n).alias("enough"))
-        out = part if out is None else out.union(part)
-    return out
+    parts = []
+    for n in (1, 4, 16, 64):
+        near = cells.top_k(asked, 20, n).select("query_id", "chunk_id", F.lit(1).alias("found"))
+        both = exact.join(near.hint("merge"), ["query_id", "chunk_id"], "left")
+        parts.append(both.agg(F.lit(n).alias("n_probe"), F.count("*").alias("n_exact"), F.count("found").alias("n_found"), (F.count("found") / F.count("*")).alias("recall")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ann_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of all cells after batches: queries' own vectors deleted, and those of low-quality documents negated."""
+
+    def make():
+        cells = vector_cells.VectorCells(spark, new_path(spark, "cells"))
+        vectors = tables.chunk_vectors(spark, sf_dir)
+        cells.create(vectors, 32)
+        low = tables.table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("chunk_id")).distinct()
+        cells.apply(vectors.join(low, "chunk_id", "left_semi").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+        cells.apply(deleted=tables.queries(spark, sf_dir).select(F.col("query_id").alias("chunk_id")))
+        cells.merge()
+        return cells
+
+    cells = _once(spark, sf_dir, "changed cells", ("embeddings", "labels", "benchmark"), make)
+    return cells.top_k(tables.query_vectors(spark, sf_dir), 20, 32)
 
 
 def doubled_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +245,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     postings_stats, bm25_topk, bm25_filtered, bm25_segments, segments_stats, maintained_rows, vector_topk, hybrid_search, hybrid_filtered, rrf_sixty, payload_merge, rerank_lexical, context_blocks, prompt_build,
-    citations, retrieval_metrics, rerank_metrics, relevance_bands, citation_markers, conversation_citations, ann_cells, ann_recall, doubled_queries, query_terms,
+    citations, retrieval_metrics, rerank_metrics, relevance_bands, citation_markers, conversation_citations, ann_cells, ann_every_cell, ann_recall, ann_maintained, doubled_queries, query_terms,
 )}
 
 _TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
@@ -313,7 +333,10 @@ ORACLES = {
         fu as (select coalesce(vx.query_id, tx.query_id) as query_id, coalesce(vx.chunk_id, tx.chunk_id) as chunk_id, vx.rank as rank_vector, tx.rank as rank_text,
                  round(coalesce(1.0::double / (20 + vx.rank), 0) + coalesce(1.0::double / (20 + tx.rank), 0), 6) as score_rrf from vx full join tx on vx.query_id = tx.query_id and vx.chunk_id = tx.chunk_id)
         select * from (select *, row_number() over (partition by query_id order by score_rrf desc, coalesce(rank_vector, 999999), coalesce(rank_text, 999999), chunk_id)::int as rank from fu) where rank <= 30""",
-    "ann_recall": "with e as (select count(*) as n from embeddings), q as (select count(*) as n from embeddings where vec_id in (select item_id from benchmark)) select unnest([16, 32])::int as n_probe, q.n * least(20, e.n) as n_exact, true as enough from e, q",
+    "ann_every_cell": f"with {_VECTOR} select query_id, chunk_id, score, rank from v where rank <= 20",
+    "ann_maintained": f"""with {_VECTOR}, lo as (select distinct doc_id from labels where quality = 0),
+        g as (select query_id, chunk_id, case when chunk_id in (select doc_id from lo) then -score else score end as score from vs where chunk_id not in (select item_id from benchmark))
+        select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from g) where rank <= 20""",
     "postings_stats": f"with {_WORDS}, a as (select field, count(*) as n_postings, sum(tf)::bigint as n_tokens, count(distinct token) as n_terms from p group by field) select a.*, n_chunks, round(avgdl, 6) as avgdl from a join st on st.field = a.field",
     "bm25_segments": f"with {_FIVE_HITS} select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s where must > 0) where rank <= 50",
     "segments_stats": f"""with {_FIVE}, a as (select field, count(*) as n_postings, sum(tf)::bigint as n_tokens from p group by field), b as (select field, count(*) as n_terms, sum(df)::bigint as sum_df from d group by field)

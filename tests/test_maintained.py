@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import text_index, text_segments
+from lodeseek.operators import text_index, text_segments, vector_cells, vector_index
 from lodeseek.operators.keyed_table import KeyedTable
 from lodeseek.sources.snapshots import Snapshots, tail_to_merge
 
@@ -140,3 +141,44 @@ def test_segments_of_nothing(spark, tmp_path):
     index.apply(spark.createDataFrame([(1, "w1", None)], "chunk_id long, content string, keywords_cn string"))
     index.apply(deleted=spark.createDataFrame([(1,), (1,), (None,)], "chunk_id long"))
     assert index.open().postings.count() == 0 and index.open().frequencies.count() == 0 and index.open().lengths.count() == 0
+
+
+def _rows(df):
+    return sorted(map(tuple, df.select("query_id", "chunk_id", "score", "rank").collect()))
+
+
+def test_cells_in_folders(spark, tmp_path):
+    """A third of the vectors are one vector, and a cell of many is split; files that are read grow with the probed cells."""
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(900, 8)) + 6 * np.eye(8)[rng.integers(0, 8, 900)], np.tile(rng.normal(size=8), (450, 1))])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)] + [(5000, None), (5001, [0.0] * 8), (5002, [1.0])], "chunk_id long, embedding array<double>")
+    asked = vectors.where("chunk_id % 150 = 0 or chunk_id > 4000").withColumnRenamed("chunk_id", "query_id")
+    cells = vector_cells.VectorCells(spark, str(tmp_path / "c"))
+    cells.create(vectors, 6, leaf_rows=120)
+    leaves = cells._leaves()
+    assert len({c for c, _, _ in leaves}) == 6 < len(leaves)
+    exact = _rows(vector_index.exact_top_k(asked.where("query_id <> 5002"), vectors, 15))
+    assert _rows(cells.top_k(asked, 15, len(leaves))) == exact
+    one, sizes = asked.where("query_id = 150"), []
+    for n in (1, 3, len(leaves)):
+        before = cells._alive
+        probed = {}
+        cells._alive = lambda parts, c=None, i=None: probed.update(cells=c, leaves=i) or before(parts, c, i)
+        cells.top_k(one, 15, n)
+        cells._alive = before
+        files = before(cells.snapshots.parts(), probed["cells"], probed["leaves"]).select("_metadata.file_path", "_metadata.file_size").distinct().collect()
+        assert all(f"cell={c}" in "".join(f.file_path for f in files) for c in probed["cells"])
+        sizes.append(sum(f.file_size for f in files))
+    assert sizes[0] < sizes[1] < sizes[2]
+
+    changed = vectors.where("chunk_id between 100 and 130").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    cells.apply(changed.union(spark.createDataFrame([(9000, points[3].tolist()), (8, None)], "chunk_id long, embedding array<double>")))
+    cells.apply(deleted=spark.createDataFrame([(150,), (901,), (77777,)], "chunk_id long"))
+    now = vectors.where("not chunk_id between 100 and 130 and chunk_id not in (8, 150, 901)").union(changed).union(spark.createDataFrame([(9000, points[3].tolist())], "chunk_id long, embedding array<double>"))
+    exact = _rows(vector_index.exact_top_k(asked.where("query_id <> 5002"), now, 15))
+    assert _rows(cells.top_k(asked, 15, len(leaves))) == exact
+    files = {p["path"] for p in cells.snapshots.parts()}
+    cells.apply(deleted=spark.createDataFrame([(150,)], "chunk_id long"))
+    assert files < {p["path"] for p in cells.snapshots.parts()}
+    cells.merge()
+    assert len(cells.snapshots.parts()) < 4 and _rows(cells.top_k(asked, 15, len(leaves))) == exact

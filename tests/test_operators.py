@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.operators import answers, ledger, plugins, ranking, reports, store, text_index, text_segments, vector_index
+from lodeseek.operators import answers, ledger, plugins, ranking, reports, store, text_index, text_segments, vector_cells, vector_index
 from lodeseek.sources import files
 from lodeseek.sources.shared import stored
 from lodeseek.streaming import folds, indexing, tasks
@@ -56,14 +56,15 @@ def test_chinese_and_keyword_fields(spark):
     assert [r.chunk_id for r in hits] == [1]
 
 
-def test_cells_find_most(spark):
+def test_cells_find_most(spark, tmp_path):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
     asked = vectors.where("chunk_id < 30").withColumnRenamed("chunk_id", "query_id")
     exact = {(r.query_id, r.chunk_id) for r in vector_index.exact_top_k(asked, vectors, 10).collect()}
-    model = vector_index.fit_cells(vectors, 16)
-    near = {(r.query_id, r.chunk_id) for r in vector_index.cell_top_k(asked, vector_index.with_cell(vectors, model), model, 10, 10).collect()}
+    cells = vector_cells.VectorCells(spark, str(tmp_path / "cells"))
+    cells.create(vectors, 16)
+    near = {(r.query_id, r.chunk_id) for r in cells.top_k(asked, 10, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
-    every = {(r.query_id, r.chunk_id) for r in vector_index.cell_top_k(asked, vector_index.with_cell(vectors, model), model, 10, 16).collect()}
+    every = {(r.query_id, r.chunk_id) for r in cells.top_k(asked, 10, 16).collect()}
     assert every == exact
     mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [None, 1.0]), (7, [2.0, 0.0])], "chunk_id long, embedding array<float>")
     got = vector_index.exact_top_k(mixed.where("chunk_id in (1, 4)").withColumnRenamed("chunk_id", "query_id"), mixed, 2).collect()
@@ -72,7 +73,7 @@ def test_cells_find_most(spark):
     assert [r.chunk_id for r in vector_index.wrong_dimension(bad, 2).orderBy("chunk_id").collect()] == [2, 3] and vector_index.prepared(bad).count() == 1
 
 
-def test_hybrid_search_of_a_target(spark):
+def test_hybrid_search_of_a_target(spark, tmp_path):
     from lodeseek.operators import search
 
     chunks = spark.createDataFrame([(1, "red apple pie", "en"), (2, "green apple", "fr"), (3, "blue sky over the sea", "en"), (4, None, "en")], "chunk_id long, content string, lang string")
@@ -85,9 +86,11 @@ def test_hybrid_search_of_a_target(spark):
     assert {r.query_id for r in got} == {7} and [r.chunk_id for r in got if r.rank_text] == [2, 1] and len(got) == 3
     only = search.hybrid(asked, of_queries, target, {"lang": "en", "none": 1}).collect()
     assert {r.chunk_id for r in only} == {1, 3}
-    model = vector_index.fit_cells(vectors, 2)
-    near = search.Target(target.index, chunks, vector_index.with_cell(vectors, model), target.fields, model)
+    cells = vector_cells.VectorCells(spark, str(tmp_path / "cells"))
+    cells.create(vectors, 2)
+    near = search.Target(target.index, chunks, None, target.fields, cells)
     assert [r.chunk_id for r in search.hybrid(asked, of_queries, near, n_probe=2).orderBy("rank").collect()] == [r.chunk_id for r in got]
+    assert {r.chunk_id for r in search.hybrid(asked, of_queries, near, {"lang": "en"}, n_probe=2).collect()} == {1, 3}
 
 
 def test_stores(spark, tmp_path):
