@@ -1,4 +1,4 @@
-"""Folds of event logs: the state of tasks, steps, documents and answers. Each works on a batch; most also on a stream."""
+"""Folds of event logs: the state of tasks, steps, documents and answers, each of a batch; their streams are in tasks and states."""
 
 from __future__ import annotations
 
@@ -26,16 +26,13 @@ def task_states(events: DataFrame, timeout_s: int = 1200, now=None) -> DataFrame
 
 
 def step_states(events: DataFrame) -> DataFrame:
-    """(doc_id, steps): the latest status of each step (doc_id, step, status, ts, seq) as a map. Also on a stream, in complete mode, by step."""
+    """(doc_id, steps): the latest status of each step (doc_id, step, status, ts, seq) as a map."""
     latest = events.groupBy("doc_id", "step").agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "seq")).alias("s"))
     return latest.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step", "s")))).alias("steps"))
 
 
 def documents(changes: DataFrame) -> DataFrame:
-    """(kb_id, doc_id, doc): the last update of each document (seq, kb_id, type, doc_id, doc) that no deletion follows.
-
-    An update in update mode on a stream gives the same rows, with tombstones for deletions.
-    """
+    """(kb_id, doc_id, doc, seq): the last update of each document (seq, kb_id, type, doc_id, doc) that no deletion follows."""
     last = changes.groupBy("kb_id", "doc_id").agg(F.max_by(F.struct("type", "doc", "seq"), "seq").alias("c"))
     return last.where("c.type = 'doc_update'").select("kb_id", "doc_id", "c.doc", "c.seq")
 

@@ -11,8 +11,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.keyed_table import KeyedTable
 
-STEP = T.StructType([T.StructField("status", T.StringType()), T.StructField("ts", T.TimestampType())])
-STEPS = T.MapType(T.StringType(), STEP)
+#: at: microseconds, which compare alike wherever they come from.
+STEPS = T.StructField("steps", T.MapType(T.StringType(), T.StructType([T.StructField("status", T.StringType()), T.StructField("at", T.LongType())])))
 EVENT = "t string, k string, s string, c string, message string"
 ANSWER = "n_citations bigint, status string, error string, next_seq bigint, timer bigint"
 
@@ -21,22 +21,22 @@ class StepState(StatefulProcessor):
     """The latest status of each step of a document, from a ledger that was there before and from events."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.steps = handle.getMapState("steps", "step string", "status string, ts timestamp, seq bigint")
+        self.steps = handle.getMapState("steps", "step string", "status string, at bigint, seq bigint")
 
-    def _add(self, step: str, status: str, ts, seq: int) -> bool:
+    def _add(self, step: str, status: str, at: int, seq: int) -> bool:
         old = self.steps.getValue((step,)) if self.steps.containsKey((step,)) else None
-        if old is not None and (old[1], old[2]) > (ts, seq):
+        if old is not None and (old[1], old[2]) > (at, seq):
             return False
-        self.steps.updateValue((step,), (status, ts, seq))
+        self.steps.updateValue((step,), (status, at, seq))
         return True
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        for step, s in (initialState.steps or {}).items():
-            self._add(step, s["status"], s["ts"], -1)
+        for step, s in dict(initialState.steps or ()).items():
+            self._add(step, s["status"], s["at"], -1)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if any([self._add(r.step, r.status, r.ts, r.seq) for r in rows]):
-            yield Row(doc_id=key[0], steps={k[0]: Row(status=v[0], ts=v[1]) for k, v in sorted(self.steps.iterator())})
+        if any([self._add(r.step, r.status, r.at, r.seq) for r in rows]):
+            yield Row(doc_id=key[0], steps={k[0]: Row(status=v[0], at=v[1]) for k, v in sorted(self.steps.iterator())})
 
     def close(self) -> None:
         pass
@@ -49,10 +49,14 @@ def step_stream(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame
     which is the state that the stream starts from; at equal times the stream's event counts. Documents without events
     have no row: the ledger with the stream's rows in place of its own is the state of all.
     """
-    out = T.StructType([events.schema["doc_id"], T.StructField("steps", STEPS)])
-    before = None if ledger is None else ledger.select("doc_id", "steps").groupBy("doc_id")
-    rows = events.select("doc_id", "step", "status", "ts", F.col("seq").cast("long").alias("seq")).where("doc_id is not null and step is not null and ts is not null")
-    return rows.groupBy("doc_id").transformWithState(StepState(), out, "Update", "None", before)
+    out = T.StructType([events.schema["doc_id"], STEPS])
+    before = None
+    if ledger is not None:
+        before = ledger.select("doc_id", F.transform_values("steps", lambda k, v: F.struct(v["status"].alias("status"), F.unix_micros(v["ts"]).alias("at"))).alias("steps")).groupBy("doc_id")
+    rows = events.where("doc_id is not null and step is not null and ts is not null")
+    rows = rows.select("doc_id", "step", "status", F.unix_micros("ts").alias("at"), F.col("seq").cast("long").alias("seq"))
+    found = rows.groupBy("doc_id").transformWithState(StepState(), out, "Update", "None", before)
+    return found.select("doc_id", F.transform_values("steps", lambda k, v: F.struct(v["status"].alias("status"), F.timestamp_micros(v["at"]).alias("ts"))).alias("steps"))
 
 
 class ChangeState(StatefulProcessor):
@@ -80,7 +84,8 @@ def change_stream(changes: DataFrame, ttl_s: int = 7 * 86_400) -> DataFrame:
     document and micro-batch, its last change so far, as a tombstone without doc where that is a deletion.
 
     State is one number a document, kept for ttl_s after its last change; of events that come later than that, one that
-    is older than the last change passes too.
+    is older than the last change passes too. That time is the clock's, for which Spark runs micro-batches without data
+    too; with a trigger that ends, turn off spark.sql.streaming.noDataMicroBatches.enabled.
     """
     out = T.StructType([changes.schema["kb_id"], changes.schema["doc_id"], T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType()), changes.schema["doc"]])
     rows = changes.where("doc_id is not null and seq is not null").withColumn("seq", F.col("seq").cast("long"))
