@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import keywords, present, strip
 from ..sources.shared import stored
@@ -59,21 +64,33 @@ def side_footnotes(content_list: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", _number(F.col("table_number")).alias("table_number")).agg(F.min_by("note", "pos").alias("_side"))
 
 
+def _parts(lens: list[int], max_chars: int) -> np.ndarray:
+    """Numbers of the chunks of paragraphs of these lengths: from each chunk's start the next one is found by a search in sums."""
+    ends = np.cumsum(np.asarray(lens, np.int64) + 2)  # each with two line feeds after it
+    starts, at = np.zeros(len(ends), np.int64), 0
+    after = np.maximum(np.searchsorted(ends, np.r_[0, ends[:-1]] + max_chars + 2, "right"), np.arange(1, len(ends) + 1)).tolist()
+    while at < len(ends):
+        starts[at] = 1
+        at = after[at]
+    return np.cumsum(starts) - 1
+
+
 def pack(paragraphs: DataFrame, by: list[str], max_chars: int = MAX_CHARS) -> DataFrame:
     """paragraphs (by, at, text) with part: the number of the chunk in its section, packed greedily in order of at.
 
     A paragraph that would make the chunk, joined by two line feeds, longer than max_chars starts the next; one longer
-    than that stays whole. The fold runs over lengths only, one array a section.
+    than that stays whole. Only lengths are gathered, one array a section, in work that grows with their number.
     """
     lens = paragraphs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", F.length("text").alias("n")))).alias("ps"))
-    start = F.struct(F.lit(-1).alias("part"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("parts"))
+    lens = lens.select(*by, F.transform("ps", lambda p: p["at"]).alias("ats"), F.transform("ps", lambda p: p["n"]).alias("lens"))
+    schema = T.StructType([*(f for f in lens.schema.fields if f.name != "lens"), T.StructField("parts", T.ArrayType(T.IntegerType()))])
 
-    def step(s, p):
-        new = (s["part"] < 0) | (s["used"] + 2 + p["n"] > max_chars)
-        part = F.when(new, s["part"] + 1).otherwise(s["part"])
-        return F.struct(part.alias("part"), F.when(new, p["n"]).otherwise(s["used"] + 2 + p["n"]).alias("used"), F.concat(s["parts"], F.array(part)).alias("parts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = pa.array([_parts(x, max_chars) for x in batch.column(len(by) + 1).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 1], parts], names=schema.names)
 
-    parts = lens.select(*by, F.inline(F.arrays_zip(F.transform("ps", lambda p: p["at"]).alias("at"), F.aggregate("ps", start, step, lambda s: s["parts"]).alias("part"))))
+    parts = lens.mapInArrow(run, schema).select(*by, F.inline(F.arrays_zip("ats", "parts"))).withColumnsRenamed({"ats": "at", "parts": "part"})
     return paragraphs.join(parts.hint("merge"), [*by, "at"])
 
 

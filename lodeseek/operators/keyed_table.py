@@ -26,21 +26,32 @@ class KeyedTable:
         self.snapshots = Snapshots(spark, path)
 
     def upsert(self, rows: DataFrame) -> int:
-        """Commit rows as they are; of rows with one key the last version counts, of equal versions the later batch's,
-        then the greatest row. Null keys are left out. All batches have the same columns. Returns the new version."""
-        rows = rows.dropna(subset=self.key).withColumn(_GONE, F.lit(False))
-        order = [F.desc_nulls_last(self.version), F.desc(F.xxhash64(*rows.columns))]
-        best = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*self.key).orderBy(*order))).where("_n = 1").drop("_n")
-        return self._add(best)
+        return self.apply(rows)
 
     def delete(self, keys: DataFrame) -> int:
-        """Commit the deletion of what earlier batches have of these keys, whatever its version; later batches may bring them back."""
-        parts = self.snapshots.parts()
-        if not parts:
-            return 0
-        schema = self._stored([parts[0]]).drop(_SEQ, _GONE).schema
-        columns = [F.col(f.name) if f.name in self.key else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-        return self._add(keys.select(*self.key).dropna().distinct().select(*columns).withColumn(_GONE, F.lit(True)))
+        return self.apply(deleted=keys)
+
+    def apply(self, upserts: DataFrame | None = None, deleted: DataFrame | None = None) -> int:
+        """Commit a batch of rows and of keys that go, and return the new version (the last one if nothing can change).
+
+        Of rows with one key the last version counts, of equal versions the later batch's, then one by hash. A deletion
+        hides what earlier batches have of a key, whatever its version; later batches may bring it back, and a key that is
+        both stays as its row says. Null keys are left out. All batches have the same columns.
+        """
+        parts, rows = self.snapshots.parts(), None
+        if upserts is not None:
+            rows = upserts.dropna(subset=self.key).withColumn(_GONE, F.lit(False))
+            order = [F.desc_nulls_last(self.version), F.desc(F.xxhash64(*rows.columns))]
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*self.key).orderBy(*order))).where("_n = 1").drop("_n")
+        if deleted is not None and parts:
+            schema = (rows if rows is not None else self._stored(parts[:1])).drop(_SEQ, _GONE).schema
+            columns = [F.col(f.name) if f.name in self.key else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+            gone = deleted.select(*self.key).dropna().distinct()
+            if rows is not None:
+                gone = gone.join(rows.select(*self.key).hint("merge"), self.key, "left_anti")
+            gone = gone.select(*columns).withColumn(_GONE, F.lit(True))
+            rows = gone if rows is None else rows.unionByName(gone)
+        return self._add(rows) if rows is not None else max(self.snapshots.versions(), default=0)
 
     def _add(self, rows: DataFrame) -> int:
         last = max(self.snapshots.versions(), default=0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import reduce
 
 import pandas as pd
@@ -39,32 +40,35 @@ def allocate(files: DataFrame, keys: DataFrame, by: str = "quota_day") -> DataFr
 
     Files in descending order of pages get the key with the least sufficient remainder, the first on ties, or null.
     Of files with equal pages those that get a key come first by md5, and no more than the day's whole remainder
-    divided by their pages: only so many are gathered to be fitted, the others get null. Each file has a page at least;
-    files of unknown pages get null.
+    divided by their pages: only so many are gathered to be fitted, the others get null. A file of less than a page counts
+    as one of one page; files of unknown pages get null.
     """
     kind = files.schema[by].dataType.simpleString()
     totals = keys.groupBy(F.col(by).alias("_by")).agg(F.sum(F.greatest("remaining", F.lit(0))).alias("_total"))
     order = F.struct(F.col("md5").isNull(), "md5")
-    rows = files.select(by, "md5", F.col("pages").cast("bigint").alias("pages"))
-    able = rows.join(F.broadcast(totals), F.col(by).eqNullSafe(F.col("_by"))).where("pages <= _total").withColumn("_salt", F.pmod(F.xxhash64("md5"), F.lit(64)))
-    limit = F.floor(F.col("_total") / F.greatest("pages", F.lit(1)))
+    rows = files.select(by, "md5", F.when(F.col("pages") < 1, 1).otherwise(F.col("pages")).cast("bigint").alias("pages"))
+    able = rows.join(totals.hint("merge"), F.col(by).eqNullSafe(F.col("_by"))).where("pages <= _total").withColumn("_salt", F.pmod(F.xxhash64("md5"), F.lit(64)))
+    limit = F.floor(F.col("_total") / F.col("pages"))
     for spread in (["_salt"], []):  # first within 64 parts of a hot group, so that no task sorts the whole of it
-        able = able.withColumn("_rank", F.rank().over(Window.partitionBy(by, "pages", *spread).orderBy(order))).where((F.col("_rank") <= limit) | (F.col("pages") < 1))
+        able = able.withColumn("_rank", F.rank().over(Window.partitionBy(by, "pages", *spread).orderBy(order))).where(F.col("_rank") <= limit)
     last = able.groupBy(F.col(by).alias("_by"), F.col("pages").alias("_pages")).agg(F.max(order).alias("_last"))
     beyond = F.col("_last").isNull() | (order > F.col("_last"))
-    others = rows.join(F.broadcast(last), F.col(by).eqNullSafe(F.col("_by")) & (F.col("pages") == F.col("_pages")), "left").where(beyond)
+    others = rows.join(last.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("pages") == F.col("_pages")), "left").where(beyond)
 
     def fit(files: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         keys = keys.sort_values("key")
-        names, left = list(keys["key"]), [int(x) for x in keys["remaining"]]
+        names = list(keys["key"])
+        left = sorted((int(r), i) for i, r in enumerate(keys["remaining"]))  # so the least sufficient is found by a search
         got = []
         files = files.sort_values(["pages", "md5"], ascending=[False, True])
         for n in files["pages"]:
-            able = [i for i, r in enumerate(left) if r >= n]
-            best = min(able, key=lambda i: left[i], default=None)
-            if best is not None:
-                left[best] -= int(n)
-            got.append(None if best is None else names[best])
+            at = bisect_left(left, (int(n), -1))
+            if at == len(left):
+                got.append(None)
+                continue
+            r, i = left.pop(at)
+            insort(left, (r - int(n), i))
+            got.append(names[i])
         return files.assign(key=pd.Series(got, files.index, object))[[by, "md5", "pages", "key"]].astype({by: object, "md5": object})
 
     fitted = able.select(by, "md5", "pages").groupBy(by).cogroup(keys.select(F.col(by).alias("_by"), "key", "remaining").groupBy("_by")).applyInPandas(fit, f"{by} {kind}, md5 string, pages bigint, key string")

@@ -22,12 +22,6 @@ def upsert(base: DataFrame, updates: DataFrame, key: Sequence[str] = ("chunk_id"
     return best.select("r.*")
 
 
-def write_by_bucket(rows: DataFrame, path: str, key: str = "doc_id", n_buckets: int = 64) -> None:
-    """Replace the buckets that the rows fall in; the others stay as they are (dynamic partition overwrite)."""
-    out = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n_buckets)))
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def limited(rows: DataFrame, widths: Mapping[str, int] = WIDTHS, other: int = OTHER_WIDTH) -> DataFrame:
     """Rows for the vector store: those with content, strings cut to their width, the embedding and lists as they are."""
     keep = rows.where(present(F.col("content")).isNotNull())

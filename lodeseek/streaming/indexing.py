@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import chunks, plugins, store
+from ..operators import chunks, plugins
+from ..operators.keyed_table import KeyedTable
+from ..operators.text_segments import TextIndex
 
 PARSED = "doc_id string, title string, text string"
-STEP_ROWS = "doc_id string, step string, status string, batch bigint, n int"
+FIELDS = {"content": "text", "title_cn": "text"}
 
 
 def index_batch(docs: DataFrame, batch: int, out: str, make_encoder: Callable[[], plugins.Encoder] = plugins.hashing_encoder) -> None:
     """Chunk, encode and write one micro-batch; a batch that runs again replaces what it wrote before.
 
-    Writes chunks and vectors (by bucket of doc_id) and a row a document and step below out/steps/batch=n. An error of
-    code that runs on rows leaves the batch's documents failed in the ledger, and the stream goes on.
+    Chunks and vectors are keyed tables, to which a batch adds its own rows and the deletion of what its documents had
+    before; the text index gets both too; a row a document and step goes below out/steps/batch=n. An error of code that
+    runs on rows leaves the batch's documents failed in the ledger, and the stream goes on.
     """
     spark = docs.sparkSession
     docs = docs.dropDuplicates(["doc_id"])
@@ -30,11 +33,18 @@ def index_batch(docs: DataFrame, batch: int, out: str, make_encoder: Callable[[]
         rows.write.mode("overwrite").parquet(path)
         rows = spark.read.parquet(path)
         steps.append("chunking")
-        store.write_by_bucket(merged(spark, f"{out}/chunks", rows), f"{out}/chunks")
+        table, index = KeyedTable(spark, f"{out}/chunks"), TextIndex(spark, f"{out}/index", FIELDS)
+        old = former(table, docs)
+        index.apply(rows.withColumn("title_cn", F.col("title")), old)
+        table.apply(rows, old)  # after the index, so that a batch that runs again still knows what was there
+        table.merge()
+        index.merge()
         steps.append("es_write")
         vectors = plugins.embed(rows, make_encoder).join(rows.select("chunk_id", "doc_id", "version").hint("merge"), "chunk_id")
         steps.append("embedding")
-        store.write_by_bucket(merged(spark, f"{out}/vectors", vectors), f"{out}/vectors")
+        stored_vectors = KeyedTable(spark, f"{out}/vectors")
+        stored_vectors.apply(vectors, former(stored_vectors, docs))
+        stored_vectors.merge()
         steps.append("milvus")
     except PythonException as e:  # the encoder or other code on rows; faults of Spark itself end the stream, which starts again from here
         status = f"failed: {type(e).__name__}"
@@ -42,15 +52,11 @@ def index_batch(docs: DataFrame, batch: int, out: str, make_encoder: Callable[[]
     docs.select("doc_id", log).select("doc_id", "s.*", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{out}/steps/batch_{batch}")
 
 
-def merged(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that the new rows fall in, with old documents replaced."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return rows
-    old = spark.read.parquet(path)
-    touched = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("int").alias("bucket")).distinct()
-    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(rows.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").drop("bucket")
-    return kept.unionByName(rows, allowMissingColumns=True)
+def former(table: KeyedTable, docs: DataFrame) -> DataFrame | None:
+    """(chunk_id) of what the table has of these documents."""
+    if not table.snapshots.versions():
+        return None
+    return table.read().join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id")
 
 
 def start(spark: SparkSession, folder: str, out: str, checkpoint: str, **options) -> StreamingQuery:

@@ -100,12 +100,7 @@ def keep_documents(table: KeyedTable):
 
     def apply(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
-        kept = batch.where("not deleted").drop("deleted")
-        if not table.snapshots.versions() or not kept.isEmpty():
-            table.upsert(kept)
-        gone = batch.where("deleted").select("kb_id", "doc_id")
-        if not gone.isEmpty():
-            table.delete(gone)
+        table.apply(batch.where("not deleted").drop("deleted"), batch.where("deleted").select("kb_id", "doc_id"))
         table.merge()
         batch.unpersist()
 

@@ -139,3 +139,31 @@ def test_text_functions(spark):
     assert one(text.keywords(F.lit("a; b，；c,"))) == ["a", "b", "c"] and one(text.keywords(F.lit(None).cast("string"))) == []
     assert one(text.strip(F.lit("　 a b\t"))) == "a b" and one(text.cut(F.lit("abcd"), 3)) == "abc..."
     assert (one(text.stem(F.lit("/x/a.b.pdf"))), one(text.extension(F.lit("/x/A.PDF"))), one(text.slug(F.lit(" My-Kb ")))) == ("a.b", "pdf", "my_kb")
+
+
+def test_packing_is_greedy_and_linear(spark):
+    """Against a fold, on random sections; and a section of very many paragraphs in work that grows with their number."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    rows = [(d, at, "x" * rng.choice([0, 1, 5, 30, 200])) for d in range(20) for at in range(rng.randrange(40))]
+    want = {}
+    for d in range(20):
+        part, used = -1, 0
+        for _, at, text in sorted(r for r in rows if r[0] == d):
+            new = part < 0 or used + 2 + len(text) > 100
+            part, used = (part + 1, len(text)) if new else (part, used + 2 + len(text))
+            want[d, at] = part
+    frame = spark.createDataFrame(rows, "doc_id int, at int, text string")
+    assert {(r.doc_id, r.at): r.part for r in chunks.pack(frame, ["doc_id"], 100).collect()} == want
+
+    def seconds(n):
+        began = time.process_time()
+        parts = chunks._parts([n % 700 for n in range(n)], 2000)
+        assert len(parts) == n and (parts[1:] >= parts[:-1]).all()
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(1_000_000) < 5
+    assert chunks._parts([], 100).tolist() == [] and chunks._parts([500], 100).tolist() == [0]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.operators import answers, ledger, plugins, ranking, reports, store, text_index, text_segments, vector_cells, vector_index
+from lodeseek.operators.keyed_table import KeyedTable
 from lodeseek.sources import files
 from lodeseek.sources.shared import stored
 from lodeseek.streaming import folds, indexing, tasks
@@ -99,9 +100,6 @@ def test_stores(spark, tmp_path):
     assert {r.chunk_id: r.content for r in store.upsert(base, new).collect()} == {1: "new", 2: "kept", 3: "added"}
     good, bad = store.split_valid(spark.createDataFrame([('{"k": 1}',), ("{",), (None,)], "j string"), "j", "k int")
     assert good.count() == 1 and bad.count() == 2
-    store.write_by_bucket(base.withColumn("doc_id", F.col("chunk_id")), str(tmp_path / "t"))
-    store.write_by_bucket(base.where("chunk_id = 1").withColumn("content", F.lit("again")).withColumn("doc_id", F.col("chunk_id")), str(tmp_path / "t"))
-    assert {r.chunk_id: r.content for r in spark.read.parquet(str(tmp_path / "t")).collect()}[1] == "again"
 
 
 def test_exports_are_written_once(spark, tmp_path):
@@ -122,6 +120,13 @@ def test_quota_is_best_fit(spark):
     assert {r.md5: r.key for r in ledger.allocate(docs, keys).collect()} == {"a": "k1", "d": "k2", "b": None, "c": "k2", "e": "k1"}
 
 
+def test_files_without_pages_count_as_one_page(spark):
+    docs = spark.createDataFrame([("d", f"{i:03}", i % 2) for i in range(100)], "quota_day string, md5 string, pages bigint")
+    keys = spark.createDataFrame([("d", "k1", 30)], "quota_day string, key string, remaining int")
+    got = ledger.allocate(docs, keys).collect()
+    assert len(got) == 100 and [r.md5 for r in sorted(got, key=lambda r: r.md5) if r.key] == [f"{i:03}" for i in range(30)]
+
+
 def test_quota_gathers_only_what_may_fit(spark, monkeypatch):
     import random
 
@@ -269,8 +274,11 @@ def test_continuous_indexing(spark, tmp_path):
     run()
     (folder / "2.json").write_text(json.dumps({"doc_id": "d1", "title": "one", "text": "# 1 A\nnew text"}))
     run()
-    found = {r.chunk_id: r.content for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()}
+    found = {r.chunk_id: r.content for r in KeyedTable(spark, str(tmp_path / "out/chunks")).read().collect()}
     assert found["d1__L1__1"] == "【章节】1 A\n\nnew text" and found["d2__L1__body"] == "x" and len(found) == 4
-    assert spark.read.parquet(str(tmp_path / "out/vectors")).count() == 4
+    assert KeyedTable(spark, str(tmp_path / "out/vectors")).read().count() == 4
+    index = text_segments.TextIndex(spark, str(tmp_path / "out/index"), indexing.FIELDS).open()
+    words = {r.token for r in index.postings.collect()}
+    assert "new" in words and "hello" not in words  # what the document had before is gone
     steps = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out/steps"))
     assert {(r.step, r.status) for r in steps.collect()} == {(s, "done") for s in ("chunking", "embedding", "es_write", "milvus", "ready")}
