@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ["done", "failed"]
@@ -25,6 +25,19 @@ def task_states(events: DataFrame, timeout_s: int = 1200, now=None) -> DataFrame
     return rows.select("md5", status.alias("status"), error.alias("error_msg"), F.when(in_time, F.col("end.ts")).when(late, limit).otherwise(F.col("last")).alias("at"))
 
 
+def late_rows(events: DataFrame, delay_s: int) -> DataFrame:
+    """(batch, n_late) of events (ts, batch): those of a micro-batch that are delay_s or more behind the latest before the one that it follows.
+
+    Batches without such have no row. This is what a stream with that watermark drops: a watermark moves when a
+    micro-batch ends, and holds for the rows of the one after the next.
+    """
+    latest = events.groupBy("batch").agg(F.max("ts").alias("ts"))  # a row a micro-batch
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -2)
+    marks = latest.select("batch", (F.max("ts").over(before) - F.make_dt_interval(secs=F.lit(delay_s))).alias("mark"))
+    found = events.join(marks.hint("merge"), "batch").where(F.unix_millis("ts") <= F.unix_millis("mark"))
+    return found.groupBy("batch").agg(F.count("*").alias("n_late"))
+
+
 def step_states(events: DataFrame) -> DataFrame:
     """(doc_id, steps): the latest status of each step (doc_id, step, status, ts, seq) as a map."""
     latest = events.groupBy("doc_id", "step").agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "seq")).alias("s"))

@@ -6,7 +6,8 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .folds import TERMINAL
@@ -54,7 +55,7 @@ class TaskState(StatefulProcessor):
 def task_state_stream(events: DataFrame, timeout_s: int = 1200, delay: str = "10 minutes") -> DataFrame:
     """A stream of (md5, status, error_msg) from one of poll events (md5, state, err_msg, ts, seq).
 
-    Timers run in event time behind a watermark; events later than `delay` behind it are dropped. Needs the RocksDB
+    Timers run in event time behind a watermark; events later than `delay` behind it are dropped, and LateRows counts them. Needs the RocksDB
     state store (spark.sql.streaming.stateStore.providerClass).
     """
     marked = events.withWatermark("ts", delay)
@@ -62,5 +63,37 @@ def task_state_stream(events: DataFrame, timeout_s: int = 1200, delay: str = "10
     return marked.groupBy("md5").transformWithStateInPandas(TaskState(timeout_s), OUT, "Update", "eventTime")
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streams drop because they are behind the watermark; for spark.streams.addListener."""
+
+    def __init__(self):
+        self.counts: list[tuple[str, int, str, int]] = []
+        self._upto: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        for o in p.stateOperators:
+            if o.numRowsDroppedByWatermark:
+                self.counts.append((str(p.id), p.batchId, o.operatorName, o.numRowsDroppedByWatermark))
+        self._upto[str(p.runId)] = max(p.batchId, self._upto.get(str(p.runId), -1))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def upto(self, run: str) -> int:
+        """The last micro-batch of a run that was told of; -1 if none was."""
+        return self._upto.get(run, -1)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(query, batch, operator, n_late): a row for each micro-batch and operator that dropped any."""
+        return spark.createDataFrame(self.counts, "query string, batch bigint, operator string, n_late bigint")
+
+
 def deadline(first: dt.datetime, timeout_s: int = 1200) -> dt.datetime:
     return first + dt.timedelta(seconds=timeout_s)

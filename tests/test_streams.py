@@ -3,9 +3,11 @@
 import datetime as dt
 import os
 import random
+import time
 
 from lodeseek.operators.keyed_table import KeyedTable
-from lodeseek.streaming import folds, states
+from lodeseek.sources import poll
+from lodeseek.streaming import folds, states, tasks
 
 T0 = dt.datetime(2024, 1, 1)
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -129,3 +131,64 @@ def test_steps_beside_a_ledger(spark, tmp_path):
     alone = {}
     _run(states.step_stream(_source(spark, tmp_path / "in", STEPS)), tmp_path / "cp2", lambda df, n: alone.update({r.doc_id: r.steps for r in df.collect()}))
     assert alone == {r.doc_id: r.steps for r in folds.step_states(spark.createDataFrame(new, STEPS)).collect()}
+
+
+def test_polled_results_come_once(spark, tmp_path):
+    """A restart in the middle of a micro-batch reads what was noted, and the service isn't asked again."""
+    service = tmp_path / "service"
+    service.mkdir()
+    (service / "batches.json").write_text('["x", "y", "z"]')
+    seen, fail = {}, [False]
+
+    def each(df, n):
+        rows = sorted((r.md5, r.state, r.err_msg or "", r.seq) for r in df.collect())
+        if fail[0]:
+            seen[f"lost {n}"] = rows
+            raise RuntimeError("killed")
+        seen[n] = rows
+
+    def run():
+        rows = poll.polled(spark, "tests.fake_service:Service", str(tmp_path / "log"), folder=str(service), batchesPerTask=2, seconds=0)
+        q = rows.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(each).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(100)
+        except Exception as e:
+            assert "killed" in str(e)
+        q.stop()
+
+    asked = lambda: [int((service / f"asked-{b}").read_text()) for b in "xyz"]
+    run()
+    assert len(seen) == 1 and len(seen[0]) == 6 and asked() == [1, 1, 1]
+    assert [p.name for p in sorted((tmp_path / "log").glob("*/group*"))] == ["group-000000.json", "group-000001.json"]
+    fail[0] = True
+    run()
+    lost = seen.pop("lost 1")
+    assert asked() == [2, 2, 2] and len(lost) == 6
+    fail[0] = False
+    run()
+    assert seen[1] == lost  # the same rows
+    rows = [r for n in seen for r in seen[n]]
+    assert len(rows) == len(set(rows)) and {r[3] for r in rows} == set(range(1, max(asked()) + 1))
+    assert all((f"{b}-b", "failed", "bad", 2) in lost for b in "xyz")
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    rng = random.Random(23)
+    schema = "md5 string, state string, err_msg string, ts timestamp, seq long"
+    parts = [[(f"t{rng.randrange(4)}", "running", "", T0 + dt.timedelta(minutes=10 * n + rng.randrange(-25, 10), seconds=rng.randrange(60)), 100 * n + i) for i in range(30)] for n in range(4)]
+    late = tasks.LateRows()
+    spark.streams.addListener(late)
+    try:
+        for n, part in enumerate(parts):
+            _put(spark, tmp_path / "in", n, part, schema)
+        q = tasks.task_state_stream(_source(spark, tmp_path / "in", schema), delay="10 minutes").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).format("noop").trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+        for _ in range(100):
+            if late.upto(str(q.runId)) >= 3:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(late)
+    rows = [(*r, n) for n, part in enumerate(parts) for r in part]
+    twin = {r.batch: r.n_late for r in folds.late_rows(spark.createDataFrame(rows, schema + ", batch long"), 600).collect()}
+    assert sum(twin.values()) > 5 and {r.batch: r.n_late for r in late.table(spark).groupBy("batch").sum("n_late").withColumnRenamed("sum(n_late)", "n_late").collect()} == twin
