@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import present, tokens
+from .phrases import occurrences
 
 Encoder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -107,22 +108,23 @@ def with_intent(queries: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def coverage(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, domain, coverage) by a table (domain, term, coverage): the best tier among terms that the query has."""
+    """(query_id, domain, coverage) by a table (domain, term, coverage): the best tier among terms, of one word or several, that the query has."""
     tier = F.create_map(F.lit("high"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(2))
-    words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    words = occurrences(queries, terms, "query_id", "query", "term").select("query_id", F.col("phrase").alias("term")).distinct()
+    terms = terms.withColumn("term", F.array_join(tokens(F.col("term")), " "))
     found = words.join(terms.hint("merge"), "term").groupBy("query_id").agg(F.min(F.struct(F.coalesce(tier[F.col("coverage")], F.lit(3)).alias("tier"), "domain", "coverage")).alias("b"))
     return queries.select("query_id").join(found.hint("merge"), "query_id", "left").select("query_id", F.coalesce("b.domain", F.lit("")).alias("domain"), F.coalesce("b.coverage", F.lit("out_of_domain")).alias("coverage"))
 
 
 def expanded(queries: DataFrame, synonyms: DataFrame, most: int = 6, enabled: bool = True) -> DataFrame:
-    """(query_id, query) with the terms of synonyms (phrase, terms) for phrases that are tokens of the query, at most so many.
+    """(query_id, query) with the terms of synonyms (phrase, terms) for the phrases, of one word or several, that it has, at most so many.
 
     They are appended only if there are any, differ from the query and are longer than 5 characters together.
     """
     if not enabled:
         return queries.select("query_id", "query")
-    words = queries.select("query_id", F.posexplode(tokens(F.col("query"))).alias("pos", "phrase"))
-    terms = words.join(synonyms.hint("merge"), "phrase").select("query_id", "pos", F.posexplode("terms").alias("at", "term"))
+    words = occurrences(queries, synonyms, "query_id", "query")
+    terms = words.join(synonyms.withColumn("phrase", F.array_join(tokens(F.col("phrase")), " ")).hint("merge"), "phrase").select("query_id", "pos", F.posexplode("terms").alias("at", "term"))
     first = terms.groupBy("query_id", "term").agg(F.min(F.struct("pos", "at")).alias("o"))
     more = first.groupBy("query_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o", "term"))), lambda x: x["term"]), 1, most), " ").alias("more"))
     add = (F.length("more") > 5) & (F.col("more") != F.col("query"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluate, plugins, ranking, reports, vector_index
+from ..operators.phrases import occurrences
 from ..sources import tables
 from ..sources.tables import table
 from .ledger import tasks
@@ -98,6 +99,15 @@ def query_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plugins.expanded(tables.queries(spark, sf_dir), firsts.select("phrase", F.array("w.a", "w.b").alias("terms")))
 
 
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the beginnings of first lines, of one to four words, stand in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    phrases = docs.select(F.array_join(F.slice(text.tokens(F.substring_index("text", "\n", 1)), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), " ").alias("phrase"))
+    found = occurrences(docs, phrases.distinct(), "doc_id")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "phrase"))), lambda m: F.concat_ws(":", m["pos"].cast("string"), m["phrase"]))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.sum("n_words").alias("n_words"), F.md5(F.array_join(rows, ",")).alias("digest"))
+
+
 def intent_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies as a model would give them, some of them broken."""
     good = F.to_json(F.struct(F.lit("d").alias("domain"), F.lit("high").alias("coverage"), F.concat(F.lit("about "), F.col("query")).alias("rewritten_query"), F.split("query", " ").alias("keywords")))
@@ -137,7 +147,7 @@ def top_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     conversation_list, message_page, history_window, kb_overview, kb_documents, user_list, name_conflicts, slugify, cascade_delete, derived_titles, point_lookup,
-    hash_embedding, coverage_class, query_expand, intent_fields, embedding_drift, coverage_accuracy, coverage_confusion, overlap_at_k, top_messages,
+    hash_embedding, coverage_class, query_expand, phrase_matches, intent_fields, embedding_drift, coverage_accuracy, coverage_confusion, overlap_at_k, top_messages,
 )}
 
 _TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
@@ -161,6 +171,13 @@ ORACLES = {
         m as (select distinct item_id, n.n, case n % 3 when 0 then 0 when 1 then 1 else 2 end as tier, 'd' || n as domain from w join n on n.term = w.term),
         b as (select item_id, min((tier, domain)) as b from m group by 1)
         select k.item_id as query_id, coalesce(b[2], '') as domain, case b[1] when 0 then 'high' when 1 then 'medium' when 2 then 'low' else 'out_of_domain' end as coverage from benchmark k left join b on b.item_id = k.item_id""",
+    "phrase_matches": f"""with recursive k as (select distinct array_to_string(w, ' ') as phrase, len(w) as n from (select list_slice({_TOK.format("string_split(text, chr(10))[1]")}, 1, doc_id % 4 + 1) as w from documents) where len(w) > 0),
+        t as (select doc_id, {_TOK.format("text")} as ws from documents), x as (select doc_id, ws, unnest(range(len(ws))) as pos from t),
+        g as (select doc_id, pos, n, array_to_string(ws[pos + 1 : pos + n], ' ') as phrase from x, range(1, 5) s(n) where pos + n <= len(ws)),
+        m as (select doc_id, pos, max(g.n) as n, arg_max(g.phrase, g.n) as phrase from g join k on k.phrase = g.phrase and k.n = g.n group by all),
+        r as (select doc_id, min(pos) as pos, arg_min(n, pos) as n, arg_min(phrase, pos) as phrase from m group by doc_id
+              union all select m.doc_id, min(m.pos), arg_min(m.n, m.pos), arg_min(m.phrase, m.pos) from r join m on m.doc_id = r.doc_id and m.pos >= r.pos + r.n group by m.doc_id)
+        select doc_id, count(*) as n_matches, sum(n)::bigint as n_words, md5(string_agg(pos || ':' || phrase, ',' order by pos)) as digest from r group by doc_id""",
     "query_expand": f"""with d as (select {_TOK.format("string_split(text, chr(10))[1]")} as w from documents), f as (select w[1] as phrase, min((w[2], w[3])) as t from d where len(w) >= 3 group by 1),
         q as (select item_id, unnest({_TOK.format('text')}) as phrase, unnest(range(len({_TOK.format('text')}))) as pos from benchmark),
         m as (select item_id, pos, 0 as at_, t[1] as term from q join f on f.phrase = q.phrase union all select item_id, pos, 1, t[2] from q join f on f.phrase = q.phrase),

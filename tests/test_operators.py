@@ -282,3 +282,31 @@ def test_continuous_indexing(spark, tmp_path):
     assert "new" in words and "hello" not in words  # what the document had before is gone
     steps = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out/steps"))
     assert {(r.step, r.status) for r in steps.collect()} == {(s, "done") for s in ("chunking", "embedding", "es_write", "milvus", "ready")}
+
+
+def test_phrases_of_several_words(spark):
+    """Against a walk from left to right; parts of longer phrases, phrases that overlap, and odd rows."""
+    import random
+
+    from lodeseek.operators.phrases import occurrences
+
+    rng, words = random.Random(6), list("abcde")
+    texts = [(i, " ".join(rng.choices(words, k=rng.randrange(25)))) for i in range(60)] + [(98, None), (99, "")]
+    given = {" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 4]))) for _ in range(25)} - {"a", "b"}
+    want = []
+    for i, t in texts:
+        at, w = 0, (t or "").split()
+        while at < len(w):
+            n = next((n for n in (4, 3, 2, 1) if at + n <= len(w) and " ".join(w[at : at + n]) in given), 0)
+            if n:
+                want.append((i, at, n, " ".join(w[at : at + n])))
+            at += n or 1
+    frame = spark.createDataFrame(texts, "id int, text string")
+    phrases = spark.createDataFrame([(p,) for p in [*given, *list(given)[:3], "", None]] + [(next(iter(given)).upper(),)], "phrase string")
+    assert sorted(map(tuple, occurrences(frame, phrases, "id").collect())) == sorted(want)
+    assert occurrences(frame, phrases.limit(0), "id").collect() == [] and occurrences(frame.limit(0), phrases, "id").collect() == []
+    asked = spark.createDataFrame([(1, "acute heart failure in adults"), (2, "heart"), (3, "lung")], "query_id int, query string")
+    terms = spark.createDataFrame([("heart", "heart failure", "high"), ("heart", "heart", "low"), ("lung", "x", "high")], "domain string, term string, coverage string")
+    assert {r.query_id: (r.domain, r.coverage) for r in plugins.coverage(asked, terms).collect()} == {1: ("heart", "high"), 2: ("heart", "low"), 3: ("", "out_of_domain")}
+    synonyms = spark.createDataFrame([("heart failure", ["cardiac insufficiency"]), ("heart", ["cor"])], "phrase string, terms array<string>")
+    assert {r.query_id: r.query for r in plugins.expanded(asked, synonyms).collect()} == {1: "acute heart failure in adults cardiac insufficiency", 2: "heart", 3: "lung"}
