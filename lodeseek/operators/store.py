@@ -12,6 +12,7 @@ from ..functions.text import present
 # Widths of the vector store's string fields, and that of any other.
 WIDTHS = {"chunk_id": 128, "doc_id": 32, "doi": 128, "level": 4, "chunk_type": 16, "journal": 128, "section": 128, "article_type": 128, "title_cn": 512}
 OTHER_WIDTH = 256
+METADATA_TITLE = "metadata_title_cn"
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: Sequence[str] = ("chunk_id",), version: str = "version") -> DataFrame:
@@ -23,8 +24,13 @@ def upsert(base: DataFrame, updates: DataFrame, key: Sequence[str] = ("chunk_id"
 
 
 def limited(rows: DataFrame, widths: Mapping[str, int] = WIDTHS, other: int = OTHER_WIDTH) -> DataFrame:
-    """Rows for the vector store: those with content, strings cut to their width, the embedding and lists as they are."""
+    """Rows for the vector store: those with content, strings cut to their width, the embedding and lists as they are.
+
+    A title from the metadata (metadata_title_cn), where there is one, is the title.
+    """
     keep = rows.where(present(F.col("content")).isNotNull())
+    if METADATA_TITLE in keep.columns:
+        keep = keep.withColumn("title_cn", vector_title(F.col(METADATA_TITLE), F.col("title_cn"))).drop(METADATA_TITLE)
     cut = [F.substring(F.coalesce(c, F.lit("")), 1, widths.get(c, other)).alias(c) if kind == "string" and c != "content" else F.col(c) for c, kind in keep.dtypes]
     return keep.select(*cut)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger, store
 from ..sources import files
+from ..sources.shared import new_path
 from ..sources.tables import table
 from ..streaming import folds
 
@@ -46,7 +47,7 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.md5("text").alias("doc_id"), F.col("text").alias("title_cn"), F.col("text").alias("level"), F.col("text").alias("summary"), F.col("doc_id").alias("n"))
+    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.md5("text").alias("doc_id"), F.col("text").alias("title_cn"), F.when(F.col("lang") == "en", F.substring_index("text", "\n", 1)).alias("metadata_title_cn"), F.col("text").alias("level"), F.col("text").alias("summary"), F.col("doc_id").alias("n"))
     return store.limited(rows).select("n", "doc_id", "title_cn", "level", "summary")
 
 
@@ -127,6 +128,17 @@ def ledger_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.backfill(papers, tasks(spark, sf_dir).where("status <> 'pending'"), objects(spark, sf_dir))
 
 
+def catalogue_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ledger_backfill, from a stored chunk table that has a row of level L0 and one of L1 for each line of a document."""
+    docs = table(spark, sf_dir, "documents").withColumn("md5", F.md5("text"))
+    title = F.when(F.col("lang") == "en", F.col("text")).otherwise("").alias("title_cn")
+    papers = docs.select("md5", "doc_id", title, F.col("source").alias("journal"), F.lit("L0").alias("level"), F.substring("text", 1, 200).alias("content"))
+    lines = docs.select("md5", "doc_id", F.lit("").alias("title_cn"), F.col("source").alias("journal"), F.lit("L1").alias("level"), F.explode(F.split("text", "\n")).alias("content"))
+    path = new_path(spark, "catalogue")
+    files.store_chunks(papers.unionByName(lines), path)
+    return ledger.backfill(files.chunk_catalogue(spark, path), tasks(spark, sf_dir).where("status <> 'pending'"), objects(spark, sf_dir))
+
+
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.status_counts(tasks(spark, sf_dir))
 
@@ -197,7 +209,7 @@ def answer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     chunk_upsert, index_delete, resume_pending, vector_truncate, image_links, export_outcomes, output_names, quarantine, bundle_kinds, folder_inventory, parsed_ids,
-    dedup_decision, folder_decision, quota_alloc, batch_sizes, quota_report, ledger_backfill, status_counts, consistency, orphan_adoption, step_fold, retry_plan, step_rollup,
+    dedup_decision, folder_decision, quota_alloc, batch_sizes, quota_report, ledger_backfill, catalogue_backfill, status_counts, consistency, orphan_adoption, step_fold, retry_plan, step_rollup,
     path_resolution, batch_failures, task_state, changelog_fold, answer_fold,
 )}
 
@@ -211,11 +223,15 @@ ev as (select user_id as doc_id, case event_type when 'signup' then 'upload' whe
 la as (select doc_id, step, arg_max(status, (ts, event_id)) as status from ev group by all),
 st as (select doc_id, max(status) filter (step = 'upload') as upload, max(status) filter (step = 'mineru') as mineru, max(status) filter (step = 'chunking') as chunking, max(status) filter (step = 'embedding') as embedding, max(status) filter (step = 'es_write') as es_write from la group by doc_id)"""
 
+_BACKFILL = f"""with {_TASKS}, p as (select md5(text) as md5, min(doc_id) as doc_id, arg_min(case when lang = 'en' then text else '' end, doc_id) as title from documents group by 1),
+        f as (select string_split(path, '/')[1] as md5, min(path) as path from o where lower(path) like '%.pdf' group by 1)
+        select p.md5, doc_id, case when title <> '' then title else '文献-' || doc_id end as original_name, coalesce(path, 'preloaded/' || p.md5) as raw_path, path is not null as has_pdf from p left join f on f.md5 = p.md5 where p.md5 not in (select md5 from t where status <> 'pending')"""
+
 ORACLES = {
     "chunk_upsert": "select d.doc_id as chunk_id, coalesce(l.quality, 0) as version, case when l.doc_id is not null then 'label ' || toxic else md5(text) end as content from documents d left join labels l on l.doc_id = d.doc_id",
     "index_delete": "select doc_id, lang from documents where doc_id not in (select doc_id from labels where quality = 1 and toxic = 1)",
     "resume_pending": "select doc_id, source from documents where doc_id not in (select doc_id from labels)",
-    "vector_truncate": "select doc_id as n, md5(text) as doc_id, substr(text, 1, 512) as title_cn, substr(text, 1, 4) as level, substr(text, 1, 256) as summary from documents where text <> ''",
+    "vector_truncate": "select doc_id as n, md5(text) as doc_id, substr(case when lang = 'en' and string_split(text, chr(10))[1] <> '' then string_split(text, chr(10))[1] else text end, 1, 512) as title_cn, substr(text, 1, 4) as level, substr(text, 1, 256) as summary from documents where text <> ''",
     "image_links": "select doc_id, '![fig ' || doc_id || '](/parsed/' || md5(text) || '/images/a.png) ' || text || ' ![x](http://images/b)' as text from documents",
     "export_outcomes": "select case when lang = 'fr' then 'no_uuid' when doc_id in (select doc_id from labels) then 'exists' else 'uploaded' end as outcome, count(*) as n from documents group by 1",
     "output_names": "select doc_id, case when lang = 'en' then 'u' || doc_id else doc_id || '_' || substr(md5(text), 1, 8) end || '.json' as name from documents",
@@ -232,9 +248,8 @@ ORACLES = {
         select case when status = 'pending' or (status = 'parsed' and a.md5 is not null) then 'skip' else 'reset' end as decision, count(*) as n from k left join a on a.md5 = k.md5 group by 1""",
     "batch_sizes": "with b as (select source as quota_day, lang as key, length(text) as pages, ((row_number() over (partition by source, lang order by length(text) desc, doc_id::varchar) - 1) // 10)::int as batch from documents) select quota_day, key, batch, count(*) as n, sum(pages)::bigint as pages from b group by all",
     "quota_report": "with u as (select source as day, lang as key, sum(length(text) // 100)::bigint as used from documents group by all) select day, key, used, greatest(0, 1000 - used)::bigint as remaining, greatest(0, 1000 - used) < 1 as exhausted from u",
-    "ledger_backfill": f"""with {_TASKS}, p as (select md5(text) as md5, min(doc_id) as doc_id, arg_min(case when lang = 'en' then text else '' end, doc_id) as title from documents group by 1),
-        f as (select string_split(path, '/')[1] as md5, min(path) as path from o where lower(path) like '%.pdf' group by 1)
-        select p.md5, doc_id, case when title <> '' then title else '文献-' || doc_id end as original_name, coalesce(path, 'preloaded/' || p.md5) as raw_path, path is not null as has_pdf from p left join f on f.md5 = p.md5 where p.md5 not in (select md5 from t where status <> 'pending')""",
+    "ledger_backfill": _BACKFILL,
+    "catalogue_backfill": _BACKFILL,
     "status_counts": f"with {_TASKS}, n as (select unnest(range(6))::int as place, unnest(['pending', 'processing', 'parsed', 'indexing', 'ready', 'failed']) as status) select place, n.status, count(t.id) as n from n left join t on t.status = n.status group by all",
     "consistency": f"with {_TASKS} select id, md5, md5 not in (select string_split(path, '/')[1] from o where path like '%/full.md') as lost, created_at from t where status = 'parsed'",
     "orphan_adoption": "select case when lang <> 'es' then source else 'default' end as kb_id, count(*) as n from documents group by 1",

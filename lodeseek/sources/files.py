@@ -95,6 +95,16 @@ def bundle_members(members: DataFrame) -> DataFrame:
     return rows.withColumn("content_type", F.when(F.col("kind") == "image", types[ext]).when(F.col("name") == FULL_MD, FULL_MD_TYPE).otherwise(BYTES_TYPE))
 
 
+def store_chunks(chunks: DataFrame, path: str) -> None:
+    """Write chunks into folders by level, each sorted by document in ranges, so that a catalogue reads one folder."""
+    chunks.repartitionByRange("level", "doc_id").sortWithinPartitions("level", "doc_id").write.mode("overwrite").partitionBy("level").parquet(path)
+
+
+def chunk_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(md5, doc_id, title_cn, journal) of the papers in a stored chunk table: its rows of level L0, whose folder alone is read."""
+    return spark.read.parquet(path).where("level = 'L0'").select("md5", "doc_id", "title_cn", "journal")
+
+
 def poll_stream(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of poll results from JSON files; the file's name stands in for a missing id, rows without either go."""
     rows = spark.readStream.schema(POLL).json(folder)

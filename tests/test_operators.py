@@ -310,3 +310,12 @@ def test_phrases_of_several_words(spark):
     assert {r.query_id: (r.domain, r.coverage) for r in plugins.coverage(asked, terms).collect()} == {1: ("heart", "high"), 2: ("heart", "low"), 3: ("", "out_of_domain")}
     synonyms = spark.createDataFrame([("heart failure", ["cardiac insufficiency"]), ("heart", ["cor"])], "phrase string, terms array<string>")
     assert {r.query_id: r.query for r in plugins.expanded(asked, synonyms).collect()} == {1: "acute heart failure in adults cardiac insufficiency", 2: "heart", 3: "lung"}
+
+
+def test_a_catalogue_reads_one_level(spark, tmp_path):
+    rows = [("m1", 1, "one", "j", "L0", "c"), ("m1", 1, "", "j", "L1", "d"), ("m2", 2, None, "j", "L0", "e"), ("m2", 2, "", "j", "L2", "f")]
+    files.store_chunks(spark.createDataFrame(rows, "md5 string, doc_id int, title_cn string, journal string, level string, content string"), str(tmp_path / "c"))
+    papers = files.chunk_catalogue(spark, str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in papers.collect()) == [("m1", 1, "one", "j"), ("m2", 2, None, "j")]
+    plan = papers._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(level" in plan and "content" not in plan.split("ReadSchema")[1].split("\n")[0]
