@@ -160,16 +160,20 @@ def learning(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model | None:
     """Learn from a bounded sample of labelled rows, chosen by a hash of their ids; None if a class has none.
 
-    docs: doc_id, text; labels: doc_id, toxic. Rows whose crc32(doc_id) mod 5 is 0, null labels, empty texts and texts
-    over LONGEST are not learned from; of contrary labels of one id the toxic one counts. The logistic fit is made on
-    the texts that the dictionaries were trained on.
+    docs: doc_id, text; labels: doc_id, toxic. Rows whose crc32(doc_id) mod 5 is 0, null labels and empty texts are not
+    learned from; of a text over LONGEST a piece of that length is, from a place that a hash of the text gives; of
+    contrary labels of one id the toxic one counts, of several texts the least. The logistic fit is made on the texts
+    that the dictionaries were trained on.
     """
     spark, sample = docs.sparkSession, sample or SAMPLE
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learning()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.where("_toxic = 1").limit(2 * sample[1]).union(known.where("_toxic = 0").limit(2 * sample[0]))
     chosen = spark.createDataFrame(chosen.collect(), "doc_id long, _toxic int")  # at most 2 ids a document sampled
-    texts = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, LONGEST))
+    texts = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0)
+    at = (1 + F.pmod(F.xxhash64("text"), F.length("text") - LONGEST + 1)).cast("int")
+    texts = texts.withColumn("text", F.when(F.length("text") <= LONGEST, F.col("text")).otherwise(F.substr("text", at, F.lit(LONGEST))))
+    texts = texts.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))  # so no more rows than ids were chosen
     rows = sorted({(r["_toxic"], r["text"]) for r in texts.collect()}, key=lambda r: hash_of(r[1]))
     of = {k: [t for y, t in rows if y == k][: sample[k]] for k in (0, 1)}
     if not of[0] or not of[1]:

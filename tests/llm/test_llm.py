@@ -73,6 +73,22 @@ def test_toxicity_on_odd_tables(spark, odd):
     assert toxicity.without_toxic(odd.limit(0), labels).count() == 0
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    rng = random.Random(8)
+    plain = [sentence(rng, 1) for _ in range(300)]
+    rude = ["blasted", "rotten", "vermin", "scoundrel"]
+
+    def text(bad):
+        return " ".join(rng.choice(rude) if bad and rng.random() < 0.2 else rng.choice(plain) for _ in range(6000))
+
+    rows = [(i, text(i % 2), i % 2) for i in range(60)]
+    assert min(len(t) for _, t, _ in rows) > toxicity.LONGEST
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[1][:2]] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert all((r._score >= 0.5) == (r.doc_id % 2 == 1) for r in got) and len(got) == 65
+
+
 # 2
 
 
