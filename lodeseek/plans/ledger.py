@@ -247,6 +247,11 @@ ORACLES = {
     "folder_decision": f"""with {_TASKS}, k as (select md5, max(status) as status from t group by md5), a as (select distinct string_split(path, '/')[1] as md5 from o)
         select case when status = 'pending' or (status = 'parsed' and a.md5 is not null) then 'skip' else 'reset' end as decision, count(*) as n from k left join a on a.md5 = k.md5 group by 1""",
     "batch_sizes": "with b as (select source as quota_day, lang as key, length(text) as pages, ((row_number() over (partition by source, lang order by length(text) desc, doc_id::varchar) - 1) // 10)::int as batch from documents) select quota_day, key, batch, count(*) as n, sum(pages)::bigint as pages from b group by all",
+    "quota_alloc": """with recursive f as (select *, row_number() over (partition by d order by pages desc, md5) as r from (select source as d, doc_id::varchar as md5, length(text) // 100 + 1 as pages from documents)),
+        a as (select distinct d, 0::bigint as r, '' as md5, 0::bigint as pages, 1000::bigint as one, 1000::bigint as two, null::varchar as key from f
+              union all select d, r, md5, pages, case when pick = 'key-a' then one - pages else one end, case when pick = 'key-b' then two - pages else two end, pick
+              from (select f.*, one, two, case when one >= f.pages and (two < f.pages or one <= two) then 'key-a' when two >= f.pages then 'key-b' end as pick from a join f on f.d = a.d and f.r = a.r + 1))
+        select d as quota_day, md5, pages, key, ((row_number() over (partition by d, key order by pages desc, md5) - 1) // 10)::int as batch from a where r > 0 and key is not null""",
     "quota_report": "with u as (select source as day, lang as key, sum(length(text) // 100)::bigint as used from documents group by all) select day, key, used, greatest(0, 1000 - used)::bigint as remaining, greatest(0, 1000 - used) < 1 as exhausted from u",
     "ledger_backfill": _BACKFILL,
     "catalogue_backfill": _BACKFILL,
