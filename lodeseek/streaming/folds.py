@@ -70,3 +70,24 @@ def answers(events: DataFrame) -> DataFrame:
 def for_subscribers(events: DataFrame) -> DataFrame:
     """Events that go out: those of a knowledge base; sinks partition by it."""
     return events.where("kb_id is not null")
+
+
+#: Parts that the updates of one knowledge base are dealt to; each subscription meets them all.
+SPREAD = 8
+
+
+def delivered(updates: DataFrame, spans: DataFrame, piece_s: int = 60, late: str | None = None) -> DataFrame:
+    """(session_id, kb_id, seq, ts, and the other columns of updates): each update to each session that listens then.
+
+    updates: kb_id, seq, ts and others. spans: pieces (session_id, kb_id, from_ts, to_ts) of the times between a session's
+    connection and its end, at most piece_s long and not over one another; a piece has from_ts and hasn't to_ts in it.
+    On streams, late is how far either may be behind its watermark; rows then come once, and later ones are left out. An
+    update of a knowledge base that very many follow makes as many rows, in SPREAD parts.
+    """
+    u = for_subscribers(updates).withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(SPREAD)).cast("int"))
+    s = spans.where("kb_id is not null and session_id is not null and from_ts < to_ts").select("session_id", F.col("kb_id").alias("_kb"), "from_ts", "to_ts", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_in"))
+    if late is not None:
+        u, s = u.withWatermark("ts", late), s.withWatermark("to_ts", late)
+    then = (F.col("ts") >= F.col("from_ts")) & (F.col("ts") < F.col("to_ts")) & (F.col("ts") >= F.col("to_ts") - F.make_dt_interval(secs=F.lit(piece_s)))
+    both = u.join(s.hint("merge"), (F.col("kb_id") == F.col("_kb")) & (F.col("_part") == F.col("_in")) & then)
+    return both.select("session_id", *updates.columns)

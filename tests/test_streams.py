@@ -192,3 +192,31 @@ def test_late_rows_are_counted(spark, tmp_path):
     rows = [(*r, n) for n, part in enumerate(parts) for r in part]
     twin = {r.batch: r.n_late for r in folds.late_rows(spark.createDataFrame(rows, schema + ", batch long"), 600).collect()}
     assert sum(twin.values()) > 5 and {r.batch: r.n_late for r in late.table(spark).groupBy("batch").sum("n_late").withColumnRenamed("sum(n_late)", "n_late").collect()} == twin
+
+
+def test_updates_reach_who_listens(spark, tmp_path):
+    """Two streams under two watermarks against the batch join, and that against a loop."""
+    rng = random.Random(29)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    updates = [(rng.choice(["a", "a", "b", None]), i, at(10 * i + rng.randrange(10)), f"d{i % 7}") for i in range(90)]
+    spans = []
+    for i in range(12):
+        kb, begin, end = rng.choice("ab"), rng.randrange(600), 0
+        end = begin + rng.randrange(1, 400)
+        spans += [(f"s{i}", kb, at(x), at(min(x + 60, end))) for x in range(begin, end, 60)]
+    spans += [("s0", None, at(0), at(50)), (None, "a", at(0), at(50)), ("s1", "a", at(50), at(50))]
+    u_schema, s_schema = "kb_id string, seq long, ts timestamp, doc_id string", "session_id string, kb_id string, from_ts timestamp, to_ts timestamp"
+    want = sorted((s, *u) for u in updates for s, kb, a, b in spans if s and kb and kb == u[0] and a <= u[2] < b)
+    batch = folds.delivered(spark.createDataFrame(updates, u_schema), spark.createDataFrame(spans, s_schema))
+    assert sorted(map(tuple, batch.collect())) == want and len(want) > 30
+    found = []
+    updates.sort(key=lambda r: r[2])
+    spans.sort(key=lambda r: r[3])
+    for n in range(3):
+        cut = lambda rows, column, n=n: rng.sample(part := [r for r in rows if at(330 * n) <= r[column] < at(330 * (n + 1)) or n == 2 and r[column] >= at(990)], len(part))
+        _put(spark, tmp_path / "u", n, cut(updates, 2), u_schema)
+        _put(spark, tmp_path / "s", n, cut(spans, 3), s_schema)
+        stream = folds.delivered(_source(spark, tmp_path / "u", u_schema), _source(spark, tmp_path / "s", s_schema), late="10 minutes")
+        q = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, n: found.extend(map(tuple, df.collect()))).trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+    assert sorted(found) == want
