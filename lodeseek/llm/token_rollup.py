@@ -9,6 +9,7 @@ in folders by a hash of the document, and a batch reads only those that its chan
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,6 +30,9 @@ GROUP = ["source", "lang", "version"]
 SIGNED = "doc_id long, source string, lang string, version string, n_docs long, n_tokens long"
 #: Folders of signed rows; a batch writes a file to each that it touches.
 BUCKETS = 64
+#: Batches after which they are merged, once they are as large as what was merged before.
+MANY_BATCHES = 8
+MARK = "_COMMITTED"
 CHANGES = "seq long, op string, doc_id long, source string, lang string, version string, n_tokens long"
 
 
@@ -83,20 +87,36 @@ class TokenRollup:
         """The names below a part that have their marker, by one listing."""
         if not self._exists(f"{self.path}/{part}"):
             return []
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/*/_SUCCESS")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/*/{MARK}")
         found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
         return sorted(f.getPath().getParent().getName() for f in found or [])
 
+    def _mark(self, part: str, name: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/{name}/{MARK}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, True).close()
+
+    def _bytes(self, names: list[str]) -> int:
+        total = 0
+        for name in names:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/signed/batch={name}")
+            total += p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        return total
+
     def batches(self) -> list[str]:
         """Names of all committed batches, merged ones too."""
         return self._marked("commits")
 
+    def _parts(self) -> tuple[list[str], list[str]]:
+        """The newest compaction, if there is one, and the batches after it."""
+        names, merged = self.batches(), self._marked("compactions")
+        if not merged:
+            return [], names
+        done = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/compactions/{merged[-1]}").collect()}
+        return merged[-1:], [b for b in names if b not in done]
+
     def _committed(self, part: str, schema: str) -> DataFrame:
         """Rows of the newest compaction and of the batches after it."""
-        names, merged = self.batches(), self._marked("compactions")
-        if merged:
-            done = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/compactions/{merged[-1]}").collect()}
-            names = [merged[-1], *(b for b in names if b not in done)]
+        names = [x for some in self._parts() for x in some]
         paths = [f"{self.path}/{part}/batch={b}" for b in names]
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{part}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -118,12 +138,15 @@ class TokenRollup:
     def compact(self) -> None:
         """Merge the committed batches into one set of rows; a batch that was merged still isn't applied again.
 
-        Its marker, written last, names the merged batches: without it the batches count as before.
+        Its marker, written last, stands beside the names of the merged batches: without it the batches count as before.
+        Each compaction has a name of its own, so one that dies leaves those before it whole. apply() calls it when there
+        are MANY_BATCHES since the last one and they are as large as that.
         """
         names = self.batches()
         if names:
-            self._write(into := f"compact-{len(names):08d}", self.current())
+            self._write(into := f"compact-{len(names):08d}-{uuid.uuid4().hex}", self.current())
             self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/compactions/{into}")
+            self._mark("compactions", into)
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch of changes (seq, op, doc_id, source, lang, version, n_tokens); False if it was committed before.
@@ -144,6 +167,10 @@ class TokenRollup:
         signed = out.union(into).toDF("doc_id", "source", "lang", "version", "n_docs", "n_tokens")
         self._write(batch, signed)
         self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{batch}")
+        self._mark("commits", batch)
+        merged, fresh = self._parts()
+        if len(fresh) >= MANY_BATCHES and self._bytes(fresh) >= self._bytes(merged):
+            self.compact()
         return True
 
     def totals(self) -> DataFrame:

@@ -124,6 +124,29 @@ def test_rollup_is_the_sum_of_current_documents(spark):
     assert +got == +Counter({(r.source, r.lang, r.version, k): v for r in store.totals().collect() for k, v in (("docs", r.n_docs), ("tokens", r.n_tokens))})
 
 
+def test_rollup_merges_by_itself_and_survives_a_death(spark, monkeypatch):
+    store = token_rollup.TokenRollup(spark, new_path(spark, "rollup"))
+    change = lambda i, n: spark.createDataFrame([(i, "insert", d, "s", "en", "v", n) for d in (1, 2)], token_rollup.CHANGES)
+    monkeypatch.setattr(token_rollup, "MANY_BATCHES", 3)
+    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    for i in range(4):
+        assert store.apply(f"b{i}", change(i, i + 1)) and not store.apply(f"b{i}", change(i, 99))
+    spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    assert len(store._parts()[0]) == 1 and [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 2, 8)]
+    with monkeypatch.context() as m:
+
+        def dies(*a):
+            raise KeyboardInterrupt
+
+        m.setattr(token_rollup.TokenRollup, "_mark", dies)
+        with pytest.raises(KeyboardInterrupt):
+            store.compact()
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 2, 8)]
+    store.compact()
+    store.compact()
+    assert store._parts()[1] == [] and [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 2, 8)] and not store.apply("b0", change(9, 99))
+
+
 def test_token_counts_are_of_whole_texts(spark, odd):
     import base64
     from pathlib import Path
