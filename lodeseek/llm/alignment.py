@@ -22,7 +22,7 @@ from .token_rollup import PATTERN, pieces
 
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: A pair of ids is one number: the first id times this, plus the second.
-SECOND = 1 << 20
+SECOND, PAIR_BITS = 1 << 20, 40
 #: Pairs of the corpus that go to every task at a time (17 bytes each); more are looked up in further passes.
 PAIRS_A_PASS = 4_000_000
 #: Bytes of text that are aligned at a time.
@@ -87,20 +87,21 @@ class Aligner:
         found = [self.ids(t) for t in texts]
         (a, of_a, n_a), (b, of_b, n_b) = (self._flat([f[k] for f in found]) for k in (0, 1))
         end_a, end_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])  # over all texts, which end alike in both
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        links = np.union1d(end_a, end_b)
-        link_a, link_b = np.searchsorted(end_a, links), np.searchsorted(end_b, links)
+        at_a, at_b = (np.bincount(e, minlength=int(end_a[-1]) + 1 if len(a) else 1) for e in (end_a, end_b))  # by byte
+        both, links = np.flatnonzero(at_a & at_b), np.flatnonzero(at_a | at_b)
+        link_a, link_b = (np.cumsum(x)[links] - x[links] for x in (at_a, at_b))
         text = of_a[link_a] if len(links) else links
-        pair = a[link_a] * SECOND + b[link_b]
-        order = np.lexsort((pair, text))
-        text, pair = text[order], pair[order]
-        begin = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(pair) != 0)]) if len(text) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[begin, len(text)])
+        # Sorted as one number: the text, then the pair.
+        keys = np.sort((text << PAIR_BITS) | (a[link_a] * SECOND + b[link_b])) if len(links) else links
+        text, pair = keys >> PAIR_BITS, keys & ((1 << PAIR_BITS) - 1)
+        begin = np.flatnonzero(np.r_[True, np.diff(keys) != 0]) if len(keys) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[begin, len(keys)])
         first = np.searchsorted(text[begin], np.arange(len(texts) + 1)).astype(np.int32)
-        group_text = of_a[np.searchsorted(end_a, both)] if len(both) else both
+        groups = np.cumsum(at_a & at_b)
+        group_text = of_a[np.cumsum(at_a)[both] - 1] if len(both) else both
         return {
             "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(group_text, minlength=len(texts)), "n_links": np.bincount(text, minlength=len(texts)),
-            "groups": self._shown(a, b, end_a, end_b, both, n_a, n_b),
+            "groups": self._shown(a, b, groups[end_a - 1], groups[end_b - 1], len(both), n_a, n_b),
             "pairs": pa.ListArray.from_arrays(pa.array(first), pa.array(pair[begin], pa.int64())), "times": pa.ListArray.from_arrays(pa.array(first), pa.array(times, pa.int32())),
         }
 
@@ -109,11 +110,10 @@ class Aligner:
         n = np.array([len(x) for x in ids], np.int64)
         return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), np.repeat(np.arange(len(ids)), n), n
 
-    def _shown(self, a, b, end_a, end_b, both, n_a, n_b) -> list[str]:
-        """a1,a2|b1;a3|b2,b3 of each text."""
-        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+    def _shown(self, a, b, group_a, group_b, n_groups, n_a, n_b) -> list[str]:
+        """a1,a2|b1;a3|b2,b3 of each text, from the groups that its tokens are in."""
         last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True][: len(a)], np.r_[group_b[1:] != group_b[:-1], True][: len(b)]
-        upto_a, upto_b = np.cumsum(np.bincount(group_a, minlength=len(both))), np.r_[0, np.cumsum(np.bincount(group_b, minlength=len(both)))]
+        upto_a, upto_b = np.cumsum(np.bincount(group_a, minlength=n_groups)), np.r_[0, np.cumsum(np.bincount(group_b, minlength=n_groups))]
         out = np.empty(len(a) + len(b), object)
         (a_more, a_last), (b_more, b_last) = self.shown
         out[np.arange(len(a)) + upto_b[group_a]] = np.where(last_a, a_last[a], a_more[a])
