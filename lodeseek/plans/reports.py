@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluate, plugins, ranking, reports, vector_index
-from ..operators.phrases import occurrences
+from ..operators.phrases import matches
 from ..sources import tables
 from ..sources.tables import table
 from .ledger import tasks
@@ -103,9 +103,10 @@ def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the beginnings of first lines, of one to four words, stand in all documents."""
     docs = table(spark, sf_dir, "documents")
     phrases = docs.select(F.array_join(F.slice(text.tokens(F.substring_index("text", "\n", 1)), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), " ").alias("phrase"))
-    found = occurrences(docs, phrases.distinct(), "doc_id")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", "phrase"))), lambda m: F.concat_ws(":", m["pos"].cast("string"), m["phrase"]))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.sum("n_words").alias("n_words"), F.md5(F.array_join(rows, ",")).alias("digest"))
+    found = matches(docs, phrases.distinct(), "doc_id")
+    shown = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["pos"].cast("string"), m["phrase"])), ",")
+    n_words = F.aggregate("matches", F.lit(0).cast("long"), lambda n, m: n + m["n_words"])
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), n_words.alias("n_words"), F.md5(shown).alias("digest"))
 
 
 def intent_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +313,20 @@ def test_phrases_of_several_words(spark):
     assert {r.query_id: r.query for r in plugins.expanded(asked, synonyms).collect()} == {1: "acute heart failure in adults cardiac insufficiency", 2: "heart", 3: "lung"}
 
 
+def test_phrases_in_passes_shuffle_no_text(spark, monkeypatch):
+    """Several passes find what one does, and what a task looks up at once may end inside a batch; only phrases are shuffled."""
+    from lodeseek.operators import phrases as module
+
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i % 30)), f"w{i % 7} w{i * 2 % 7} w{i * 3 % 7}"[: 2 + 3 * (i % 3)]) for i in range(90)]
+    frame = spark.createDataFrame(rows, "id int, text string, phrase string")
+    once = module.occurrences(frame, frame, "id")
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, once.collect()))
+    monkeypatch.setattr(module, "PHRASES_A_PASS", 4)
+    assert sorted(map(tuple, module.occurrences(frame, frame, "id").collect())) == want and len(want) > 100
+    assert list(module._cuts(np.array([0, 999_999, 1_000_000, 3_000_000, 3_000_001]))) == [(0, 2), (2, 3), (3, 4)]
+
+
 def test_a_catalogue_reads_one_level(spark, tmp_path):
     rows = [("m1", 1, "one", "j", "L0", "c"), ("m1", 1, "", "j", "L1", "d"), ("m2", 2, None, "j", "L0", "e"), ("m2", 2, "", "j", "L2", "f")]
     files.store_chunks(spark.createDataFrame(rows, "md5 string, doc_id int, title_cn string, journal string, level string, content string"), str(tmp_path / "c"))
