@@ -136,7 +136,7 @@ class VectorCells:
         path = self.snapshots.new_part()
         n = max(1, -(-n_bytes // TASK_BYTES), min(self.spark.sparkContext.defaultParallelism, n_bytes // SMALL_BYTES))
         order = ["cell", "leaf", "chunk_id"]  # so a cell of any size is dealt to as many tasks as it needs
-        (rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)).sortWithinPartitions(*order).write.partitionBy("cell").parquet(f"{path}/rows")
+        rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.partitionBy("cell").parquet(f"{path}/rows")
         some = not self.spark.read.schema(ROW).parquet(f"{path}/rows").isEmpty()
         if gone is not None:
             write_sorted(gone, f"{path}/gone", 1 + n_bytes // 16, "chunk_id")

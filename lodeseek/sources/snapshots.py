@@ -12,9 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of a file by which the number of tasks grows with what is written, and those of a file of a small table, which
-#: has no more files than the cluster has cores.
-TASK_BYTES, SMALL_BYTES = 256 << 20, 4 << 20
+#: Bytes of a file by which the number of tasks grows with what is written (its rows, which a task sorts, take many times
+#: as much), and those of a file of a small table, which has no more files than the cluster has cores.
+TASK_BYTES, SMALL_BYTES = 32 << 20, 4 << 20
 
 
 class Snapshots:
@@ -94,7 +94,10 @@ def tail_to_merge(sizes: list[int]) -> int:
 
 
 def write_sorted(rows: DataFrame, path: str, n_bytes: int, *order: str) -> DataFrame:
-    """Write rows in ranges of their order, as many as n_bytes asks for, so that a reader skips by least and greatest."""
+    """Write rows in ranges of their order, as many as n_bytes asks for, so that a reader skips by least and greatest.
+
+    Also into one range rows are shuffled: were they coalesced, one task would do all that comes before.
+    """
     n = max(1, -(-n_bytes // TASK_BYTES), min(rows.sparkSession.sparkContext.defaultParallelism, n_bytes // SMALL_BYTES))
-    (rows.repartitionByRange(n, *order) if n > 1 else rows.coalesce(1)).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

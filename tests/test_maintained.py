@@ -182,3 +182,22 @@ def test_cells_in_folders(spark, tmp_path):
     assert files < {p["path"] for p in cells.snapshots.parts()}
     cells.merge()
     assert len(cells.snapshots.parts()) < 4 and _rows(cells.top_k(asked, 15, len(leaves))) == exact
+
+
+def test_small_parts_keep_what_comes_before_in_its_tasks(spark, tmp_path, monkeypatch):
+    """A small result of a large aggregation is written by one task, which doesn't also do the aggregation."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from lodeseek.sources import snapshots
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(self, *a, **k):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    out = snapshots.write_sorted(spark.range(1000).groupBy((F.col("id") % 10).alias("chunk_id")).count(), str(tmp_path / "p"), 1, "chunk_id")
+    assert [r.chunk_id for r in out.collect()] == list(range(10)) and len(list((tmp_path / "p").glob("part-*"))) == 1
+    text_segments.build(spark.range(20).selectExpr("id as chunk_id", "'a b' as content", "'k' as keywords_cn"), FIELDS, str(tmp_path / "i"))
+    assert len(plans) > 5 and not [p for p in plans if "Coalesce" in p]
