@@ -51,6 +51,15 @@ class Snapshots:
         p, fs = self._at(path)
         return fs.getContentSummary(p).getLength()
 
+    def files_of(self, path: str) -> int:
+        """Files with data below a path."""
+        p, fs = self._at(f"{path}/part-*")
+        return len(fs.globStatus(p) or [])
+
+    def delete(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.delete(p, True)
+
     def commit(self, parts: list[dict], after: int) -> int:
         """Make these parts the version that follows `after`; an error if that isn't the last one any more."""
         to, fs = self._at(f"{self.path}/manifests/{after + 1:010d}.json")
@@ -93,11 +102,14 @@ def tail_to_merge(sizes: list[int]) -> int:
     return at
 
 
+def n_tasks(spark: SparkSession, n_bytes: int) -> int:
+    return max(1, -(-n_bytes // TASK_BYTES), min(spark.sparkContext.defaultParallelism, n_bytes // SMALL_BYTES))
+
+
 def write_sorted(rows: DataFrame, path: str, n_bytes: int, *order: str) -> DataFrame:
     """Write rows in ranges of their order, as many as n_bytes asks for, so that a reader skips by least and greatest.
 
     Also into one range rows are shuffled: were they coalesced, one task would do all that comes before.
     """
-    n = max(1, -(-n_bytes // TASK_BYTES), min(rows.sparkSession.sparkContext.defaultParallelism, n_bytes // SMALL_BYTES))
-    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
+    rows.repartitionByRange(n_tasks(rows.sparkSession, n_bytes), *order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

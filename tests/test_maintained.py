@@ -201,3 +201,29 @@ def test_small_parts_keep_what_comes_before_in_its_tasks(spark, tmp_path, monkey
     assert [r.chunk_id for r in out.collect()] == list(range(10)) and len(list((tmp_path / "p").glob("part-*"))) == 1
     text_segments.build(spark.range(20).selectExpr("id as chunk_id", "'a b' as content", "'k' as keywords_cn"), FIELDS, str(tmp_path / "i"))
     assert len(plans) > 5 and not [p for p in plans if "Coalesce" in p]
+
+
+def test_a_build_shuffles_no_texts(spark, tmp_path, monkeypatch):
+    """Words are counted by the tasks that read texts; only ids that stand twice make rows move; postings by token come when they are asked for."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(self, *a, **k):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    rows = spark.range(0, 40, 1, 4).selectExpr("id as chunk_id", "concat('b a B ', 'w', id % 7) as content", "if(id % 2 = 0, 'k k', '') as keywords_cn")
+    rows = rows.unionByName(spark.createDataFrame([(90, None, None), (None, "a", "k")], "chunk_id long, content string, keywords_cn string"))
+    index = text_segments.TextIndex(spark, str(tmp_path / "i"), FIELDS)
+    index.apply(rows)
+    counted = [p for p in plans if "MapInArrow" in p]
+    assert counted and not [p for p in counted if "Exchange" in p]
+    assert len(list((tmp_path / "i/parts").glob("*/words/part-*"))) == 1 and not list((tmp_path / "i/parts").glob("*/postings*"))  # the small files of many tasks become one
+    found = sorted(map(tuple, index.open().postings.collect()))
+    assert len(found) == 3 * 40 + 20 and ("content", "b", 3, 2, 4) in found and ("keywords_cn", "k k", 4, 1, 1) in found
+    assert index.sort_postings() == 2 and index.sort_postings() is None
+    assert sorted(map(tuple, index.open().postings.collect())) == found and [r.token for r in index.open().postings.collect()] == sorted(f[1] for f in found)
+    twice = rows.unionByName(rows.selectExpr("chunk_id", "'a' as content", "'z' as keywords_cn"))  # of two the greater counts
+    assert sorted(map(tuple, text_segments.build(twice.where("chunk_id < 40"), FIELDS, str(tmp_path / "j")).postings.collect())) == found
