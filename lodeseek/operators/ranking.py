@@ -43,8 +43,12 @@ def merge_payload(preferred: DataFrame, other: DataFrame, key: Sequence[str], st
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Payload columns joined after the last top-k, so that only rows that are shown carry texts."""
-    return hits.join(chunks.select("chunk_id", *columns), "chunk_id", "left")
+    """Payload columns joined after the last top-k, so that only rows that are shown carry texts.
+
+    A left join can't broadcast its left side, so the chunks that are shown are picked first: the others aren't shuffled.
+    """
+    shown = chunks.select("chunk_id", *columns).join(hits.select("chunk_id"), "chunk_id", "left_semi")
+    return hits.join(shown, "chunk_id", "left")
 
 
 def rerank(hits: DataFrame, score: Callable[[DataFrame], DataFrame], top_n: int = 5) -> DataFrame:

@@ -333,6 +333,15 @@ def test_text_hits_by_chunk_equal_those_by_posting(spark, monkeypatch):
     assert "Aggregate" not in plan
 
 
+def test_payload_is_of_shown_chunks_only(spark, tmp_path):
+    """Chunks that no hit shows are left out before the join, and a hit without a chunk stays."""
+    spark.range(5000).selectExpr("id as chunk_id", "repeat('x', id % 50) as content").write.parquet(str(tmp_path / "chunks"))
+    spark.createDataFrame([(1, 3), (1, 7000), (2, 3)], "query_id long, chunk_id long").write.parquet(str(tmp_path / "hits"))
+    out = ranking.with_payload(spark.read.parquet(str(tmp_path / "hits")), spark.read.parquet(str(tmp_path / "chunks")), ["content"])
+    assert sorted((r.query_id, r.chunk_id, r.content) for r in out.collect()) == [(1, 3, "xxx"), (1, 7000, None), (2, 3, "xxx")]
+    assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_phrases_in_passes_shuffle_no_text(spark, monkeypatch):
     """Several passes find what one does, and what a task looks up at once may end inside a batch; only phrases are shuffled."""
     from lodeseek.operators import phrases as module
