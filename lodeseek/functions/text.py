@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode blanks at either end."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    """Without Unicode blanks at either end. Texts that begin and end with printable ASCII, which most do, aren't searched for blanks."""
+    return F.when(c.rlike("^[!-~](?:.*[!-~])?\\z"), c).otherwise(F.regexp_replace(c, "(?U)^\\s+|\\s+$", ""))
 
 
 def present(c: Column) -> Column:

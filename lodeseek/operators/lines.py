@@ -61,7 +61,8 @@ def elements(docs: DataFrame) -> DataFrame:
     """
     rows = lines(docs)
     by_line = Window.partitionBy("doc_id").orderBy("ord")
-    before, upto, after = by_line.rowsBetween(Window.unboundedPreceding, -1), by_line.rowsBetween(Window.unboundedPreceding, 0), by_line.rowsBetween(1, Window.unboundedFollowing)
+    before, upto = by_line.rowsBetween(Window.unboundedPreceding, -1), by_line.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)  # from the end, as a frame that ends there is gone through anew for each row
     opens = F.lag("seg").over(by_line).isNull() | (F.lag("seg").over(by_line) != F.col("seg"))
     rows = rows.withColumn("_opens", opens)
     kind = F.col("kind")
@@ -87,9 +88,9 @@ def elements(docs: DataFrame) -> DataFrame:
     found = rows.groupBy("doc_id", "_of", "_n").agg(F.array_sort(F.collect_list(shown)).alias("xs"), F.first("kind").alias("kind"), F.min("_end").alias("_end"))
     in_block = kind.isin("table", "equation")
     plain = F.transform("xs", lambda v: v["x"])
-    x = F.when(in_block, F.array_join(plain, "\n")).otherwise(F.array_join(plain, " "))
-    found = found.withColumn("x", F.when(in_block & ~((kind == "table") & (F.size("xs") == 1) & x.rlike(TABLE_END)), strip(x)).when(kind == "text", strip(x)).otherwise(x)).where("x <> ''")
+    found = found.withColumn("x", F.when(in_block, F.array_join(plain, "\n")).otherwise(F.array_join(plain, " ")))
     x = F.col("x")
+    found = found.withColumn("x", F.when(in_block & ~((kind == "table") & (F.size("xs") == 1) & x.rlike(TABLE_END)), strip(x)).when(kind == "text", strip(x)).otherwise(x)).where("x <> ''")
     part = lambda p, g: F.regexp_extract(x, p, g)
     is_heading, is_sub, is_en = kind == "heading", kind == "subheading", kind == "caption_en"
     found = found.withColumn("num", F.when(is_heading, part(HEADING, 1)).when(is_sub, part(SUBHEADING, 1)))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text
+from lodeseek.functions.text import strip
 from lodeseek.operators import chunks, lines
 
 CASES = {
@@ -167,3 +168,14 @@ def test_packing_is_greedy_and_linear(spark):
     seconds(1000)
     assert seconds(1_000_000) < 5
     assert chunks._parts([], 100).tolist() == [] and chunks._parts([500], 100).tolist() == [0]
+
+
+def test_elements_look_back_only(spark):
+    """No window frame that ends at the last row, which is gone through anew for each row; stripping sees every Unicode blank."""
+    docs = spark.createDataFrame([(1, "# 1 A\nx\n y \n\nz"), (2, "only"), (3, "a\nb\n# 1.1 B\n\n")], "doc_id int, text string")
+    found = lines.elements(docs)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert [(r.doc_id, r.text) for r in found.orderBy("doc_id", "at").collect()] == [(1, "1 A"), (1, "x y"), (1, "z"), (2, "only"), (3, "a b"), (3, "1.1 B")]
+    given = ["a", "ab\r", " a b", "a\u3000", "\u00a0", "", None, "a\u2028", "\u2028b c", "a\nb", "é x\t", "a é"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").orderBy("i").select(strip(F.col("t")).alias("t")).collect()]
+    assert got == ["a", "ab", "a b", "a", "", "", None, "a", "b c", "a\nb", "é x", "a é"]
