@@ -127,4 +127,5 @@ def with_path(found: DataFrame) -> DataFrame:
 def table_references(text: Column) -> Column:
     """Sorted numbers of the tables that a text names; a range gives its end points only."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, groups in zip(REFERENCES, ((1, 2), (1, 2), (1,), (1,)), strict=True) for g in groups]
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(*found), _number), lambda n: n.isNotNull())))
+    numbers = F.array_sort(F.array_distinct(F.filter(F.transform(F.concat(*found), _number), lambda n: n.isNotNull())))
+    return F.when(text.isNull() | text.contains("表") | text.rlike("(?i)table"), numbers).otherwise(F.array().cast("array<int>"))  # most texts name none

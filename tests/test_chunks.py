@@ -179,3 +179,10 @@ def test_elements_look_back_only(spark):
     given = ["a", "ab\r", " a b", "a\u3000", "\u00a0", "", None, "a\u2028", "\u2028b c", "a\nb", "é x\t", "a é"]
     got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").orderBy("i").select(strip(F.col("t")).alias("t")).collect()]
     assert got == ["a", "ab", "a b", "a", "", "", None, "a", "b c", "a\nb", "é x", "a é"]
+
+
+def test_references_are_searched_in_texts_that_may_have_them(spark):
+    given = ["TABLE 3 and tAbLe４", "见表2、5", "no number", "", None, "the tab le 7"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", lines.table_references(F.col("t")).alias("refs"))
+    assert [r.refs for r in rows.orderBy("i").collect()] == [[3, 4], [2, 5], [], [], None, []]
+    assert "Contains(" in rows._jdf.queryExecution().optimizedPlan().toString()
